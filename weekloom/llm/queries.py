@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weekloom.llm import decontaminate, linededup, mixing, quality
+from weekloom.llm import decontaminate, linededup, mixing, quality, tokenfile
 from weekloom.llm.common import table
 
 
@@ -22,4 +22,8 @@ def op9_mix_sources(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op6_quality_rules, op9_mix_sources)}
+def op10_token_file(spark, sf_dir):
+    return tokenfile.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op6_quality_rules, op9_mix_sources, op10_token_file)}
