@@ -198,36 +198,58 @@ def learn(docs: DataFrame, path: str | None = None, train_docs: int = TRAIN_DOCS
     return model
 
 
+class Scorer:
+    """Scores texts and keeps the scores of words it has seen, up to CACHE of them."""
+
+    def __init__(self, model: Model):
+        self.model, self.place, self.scores = model, {}, np.zeros((0, len(model.languages)))
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.place) + len(words - self.place.keys()) > CACHE:
+            self.place, self.scores = {}, self.scores[:0]
+        new = sorted(words - self.place.keys(), key=len)
+        parts = [self.scores]
+        for at in range(0, len(new), 4000):
+            own = new[at : at + 4000]
+            alpha, _ = forward(own, self.model)
+            parts.append(np.log(np.maximum(alpha[np.arange(len(own)), np.fromiter(map(len, own), np.int64, len(own))], 1e-300)))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.scores = np.concatenate(parts)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        langs, values = [], []
+        for lo in range(0, len(texts), 500):
+            some = [count_words(x) for x in texts[lo : lo + 500]]
+            if self.model.languages:
+                self._learn({w for c in some for w in c})
+            for c in some:
+                if not c or not self.model.languages:
+                    langs.append(UNKNOWN)
+                    values.append(0.0)
+                    continue
+                total = self.model.prior + np.fromiter(c.values(), float, len(c)) @ self.scores[[self.place[w] for w in c]]
+                best = int(total.argmax())
+                langs.append(self.model.languages[best])
+                values.append(float(1 / np.exp(total - total[best]).sum()))
+        return langs, values
+
+
 def _score_batches(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            langs, values = scorer(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(values, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return run
+
 
+def _keep_batches(model: Model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
-        scores = np.zeros((0, len(model.languages)))
+        scorer = Scorer(model)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 500):
-                some = [count_words(x) for x in texts[lo : lo + 500]]
-                new = sorted({w for c in some for w in c} - place.keys(), key=len)
-                if len(place) + len(new) > CACHE:
-                    place, scores, new = {}, scores[:0], sorted({w for c in some for w in c}, key=len)
-                parts = [scores]
-                for at in range(0, len(new), 4000):
-                    own = new[at : at + 4000]
-                    alpha, _ = forward(own, model)
-                    parts.append(np.log(np.maximum(alpha[np.arange(len(own)), np.fromiter(map(len, own), np.int64, len(own))], 1e-300)))
-                place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-                scores = np.concatenate(parts)
-                langs, values = [], []
-                for c in some:
-                    if not c or not model.languages:
-                        langs.append(UNKNOWN)
-                        values.append(0.0)
-                        continue
-                    total = model.prior + np.fromiter(c.values(), float, len(c)) @ scores[[place[w] for w in c]]
-                    best = int(total.argmax())
-                    langs.append(model.languages[best])
-                    values.append(float(1 / np.exp(total - total[best]).sum()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo : lo + 500].cast(pa.int64()), pa.array(langs), pa.array(values, pa.float64())], ["doc_id", "lang_pred", "score"])
+            langs, values = scorer(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN and v >= least for x, v in zip(langs, values, strict=True)], pa.bool_()))
 
     return run
 
@@ -242,12 +264,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return predict(docs, learn(docs, **options)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs, all columns, without the rows whose text is null or has no letter in any script, or of which no language is likelier than not."""
+def keep_known(docs: DataFrame, model: Model | None = None, least: float = 0.5) -> DataFrame:
+    """docs, all columns, without the rows whose text is null or has no letter, or of which no language is likelier than not. A model without languages keeps all."""
     model = model or learn(docs)
-    if not model.languages:
-        return docs
-    marked = docs.select("*", F.xxhash64("text").alias("__text"))
-    texts = marked.select(F.col("__text").alias("doc_id"), "text")
-    bad = written(predict(texts, model).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < 0.5)).select(F.col("doc_id").alias("__text")).distinct(), "rejected")
-    return marked.join(bad, "__text", "left_anti").select(*docs.columns)
+    return docs.mapInArrow(_keep_batches(model, least), docs.schema) if model.languages else docs

@@ -77,4 +77,15 @@ select doc_id, source, copy_no, md5('order 1|' || doc_id || '|' || copy_no) as o
 from (select *, unnest(generate_series(1, n)) as copy_no from q)
 """
 
-ORACLES = {"op1_decontaminate": DECONTAMINATE, "op2_line_dedup": LINE_DEDUP, "op6_quality_rules": QUALITY, "op9_mix_sources": MIX}
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, {10 * k + 1}, 10) as bigint) >> {35 - 5 * j}) & 31 as integer) + 1, 1)" for k in range(4) for j in range(8)
+)
+WARC = f"""
+with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+d as (select page_id, cast(strlen(body) as bigint) as payload_bytes, {_B32} as payload_digest, min(page_id) over (partition by body) as first_id from p)
+select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from d
+"""
+
+ORACLES = {"op1_decontaminate": DECONTAMINATE, "op2_line_dedup": LINE_DEDUP, "op3_warc": WARC, "op6_quality_rules": QUALITY, "op9_mix_sources": MIX}

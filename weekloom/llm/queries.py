@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weekloom.llm import decontaminate, langid, licenses, linededup, mixing, neardup, quality, tokenfile
+from weekloom.llm import decontaminate, langid, licenses, linededup, mixing, neardup, quality, secrets, tokenfile, warc
 from weekloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_line_dedup(spark, sf_dir):
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op4_near_dedup(spark, sf_dir):
     return neardup.report(table(spark, sf_dir, "documents"), width=2)
 
@@ -26,6 +30,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_secret_scan(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark, sf_dir):
     return licenses.report(table(spark, sf_dir, "documents"))
 
@@ -38,4 +46,4 @@ def op10_token_file(spark, sf_dir):
     return tokenfile.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op4_near_dedup, op5_language_id, op6_quality_rules, op8_license_scan, op9_mix_sources, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_warc, op4_near_dedup, op5_language_id, op6_quality_rules, op7_secret_scan, op8_license_scan, op9_mix_sources, op10_token_file)}
