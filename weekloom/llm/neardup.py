@@ -6,7 +6,7 @@ similarity of candidates closely enough to leave out those far below the thresho
 full sets.
 
 Texts with equal sets are one class, and only its representative goes on. In a bucket, all members are first compared
-with one centre; links make components, and a new centre is taken from another component of the bucket as long as many
+with one centre, the member that meets most others in all its buckets; links make components, and a new centre is taken from another component of the bucket as long as many
 pairs lie between components. Then all pairs between different components that meet in a bucket and were not yet
 compared are compared. Pairs within a component are never needed, so that a group of copies costs as many pairs as it
 has members and no link between groups is lost. A pair at the threshold meets in no bucket with probability
@@ -27,9 +27,9 @@ from weekloom.llm.common import written
 from weekloom.llm.components import components
 from weekloom.llm.hashing import chunks, mix, shingle_sets
 
-BANDS, ROWS, SKETCH_WORDS = 48, 6, 8
-#: Estimated similarity below the threshold at which a sketch still lets candidates through: over 6 standard deviations.
-SLACK = 0.2
+BANDS, ROWS, SKETCH_WORDS = 48, 6, 16
+#: Estimated similarity below the threshold at which a sketch still lets candidates through: 4.8 standard deviations.
+SLACK = 0.15
 
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -123,8 +123,12 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     classes = written(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     nodes = written(real.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), "nodes")
     placed = nodes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).where("size > 1")
-    members = written(placed.join(shared, "key").select("key", "rep", "n", "centre"), "members")
+    shared = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = written(placed.join(shared, "key"), "met")
+    # the text that the others vary meets more of them than they meet one another: it is the best centre
+    weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
+    members = written(met.join(weight, "rep").select("key", "rep", "n", "weight"), "members")
+    centres = members.groupBy("key").agg(F.max_by("rep", "weight").alias("centre"))
 
     limit = most_bits(percent / 100 - SLACK)
     sketches = nodes.select("rep", "n", "sketch")
@@ -139,22 +143,23 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
         side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
         return written(near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm_batches(width, percent), "a long, b long").distinct(), "links")
 
-    tried = written(members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "tried")
+    pair = [F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")]
+    tried = written(members.join(centres, "key").where("rep <> centre").select(*pair).distinct(), "tried")
     found = compared(tried)
     open_pairs = None
     while True:
         comps = components(found)
-        state = members.select("key", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        per = state.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("rep").alias("least"))
-        mixed = per.groupBy("key").agg(F.min("component").alias("first"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).where("parts > 1")
-        state = written(state.join(mixed, "key").select("key", "rep", "n", "component", "first", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")), "mixed")
+        state = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        per = state.groupBy("key", "component").agg(F.count("*").alias("c"), F.max("weight").alias("weight"))
+        mixed = per.groupBy("key").agg(F.max_by("component", "weight").alias("first"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).where("parts > 1")
+        state = written(state.join(mixed, "key").select("key", "rep", "n", "weight", "component", "first", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")), "mixed")
         sizes = state.agg(F.count("*").alias("rows")).first()
         between = state.groupBy("key").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
         if not sizes.rows or between <= 8 * sizes.rows or (open_pairs is not None and between > 0.7 * open_pairs):
             break
         open_pairs = between
-        centre = state.where("component <> first").groupBy("key").agg(F.min(F.struct("rep", "component")).alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.component").alias("of"))
-        star = state.join(centre, "key").where("component <> of").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+        centre = state.where("component <> first").groupBy("key").agg(F.max_by("rep", "weight").alias("centre"), F.max_by("component", "weight").alias("of"))
+        star = state.join(centre, "key").where("component <> of and rep <> centre").select(*pair).distinct()
         star = written(star.join(tried, ["a", "b"], "left_anti"), "star")
         tried = tried.unionByName(star)
         found = found.unionByName(compared(star))
