@@ -88,15 +88,16 @@ class Encoder:
         own = np.arange(len(self.begin), len(self.begin) + len(n), dtype=np.int32)
         self.begin = np.concatenate([self.begin, (len(self.flat) + np.cumsum(n) - n).astype(np.int32)])
         self.length = np.concatenate([self.length, n])
-        self.flat = np.concatenate([self.flat, np.concatenate([np.asarray(x, np.uint32) for x in ids])])
+        self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.uint32, int(n.sum()))])
         by = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[by])
         self.hashes, self.index = np.insert(self.hashes, at, hashes[by]), np.insert(self.index, at, own[by])
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece. Pieces of letters alone are one word with one closing token each, so that many go as one text."""
-        out: list[list[int]] = [[]] * len(pieces)
-        words = [k for k, x in enumerate(pieces) if x.isalpha()]
+        """Ids of each piece. One of ASCII letters is one word to normaliser and splitter, and goes to the model at once; others of letters alone are one word with one closing token each, so that many go as one text."""
+        word = self.tokenizer.model.tokenize
+        out: list[list[int]] = [[y.id for y in word(x.lower())] if x.isascii() and x.isalpha() else [] for x in pieces]
+        words = [k for k, x in enumerate(pieces) if x.isalpha() and not x.isascii()]
         rest = [k for k, x in enumerate(pieces) if not x.isalpha()]
         for a in range(0, len(words), 500):
             some = words[a : a + 500]
@@ -104,7 +105,7 @@ class Encoder:
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
                 for k, x in zip(some, np.split(ids, ends[:-1]), strict=True):
-                    out[k] = x
+                    out[k] = x.tolist()
             else:
                 rest += some
         for k, x in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
