@@ -1,0 +1 @@
+"""Spark jobs for large panels of weekly series: history, forecasts, backtests, decisions."""
