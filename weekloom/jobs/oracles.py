@@ -37,9 +37,9 @@ res as (select f.model, f.series_id, f.origin_idx, o.s0, o.iso_week, horizon, lp
   from (select 'persistence' as model, * from m_persistence union all select 'legacy', * from m_legacy union all select 'seasonal_naive', * from m_seasonal_naive union all select 'profile', * from m_profile) f
   join panel a on a.series_id = f.series_id and a.week_idx = origin_idx + horizon join origins o on o.series_id = f.series_id and o.origin_idx = f.origin_idx),
 tq as (select model, horizon, quantile_cont(err, 0.1) as q10, quantile_cont(err, 0.25) as q25, quantile_cont(err, 0.75) as q75, quantile_cont(err, 0.9) as q90 from res where s0 between 1998 and 1999 and horizon <= 8 group by 1, 2),
-both as (select *, case when iso_week between 34 and 48 then 'autumn' when iso_week >= 49 or iso_week <= 10 then 'winter' when iso_week between 11 and 26 then 'spring' else 'summer' end as own_phase,
+splits as (select *, case when iso_week between 34 and 48 then 'autumn' when iso_week >= 49 or iso_week <= 10 then 'winter' when iso_week between 11 and 26 then 'spring' else 'summer' end as own_phase,
   abs(err) as e from res, unnest(['all', case when s0 between 1998 and 1999 then 'tune' when s0 between 2000 and 2001 then 'holdout' end]) as t(split) where split is not null and horizon <= 8),
-spread as (select b.*, phase from both b, unnest([own_phase, '*']) as t(phase)),
+spread as (select b.*, phase from splits b, unnest([own_phase, '*']) as t(phase)),
 summary as (select split, phase, s.model, s.horizon, count(*) as n, (exp(avg(e)) - 1) * 100 as mean_pct, (exp(avg(err)) - 1) * 100 as bias_pct,
   avg(case when abs(chg) > ln(1.05) then case when (pchg > 0) = (chg > 0) then 1.0 else 0.0 end end) * 100 as dir,
   avg(case when err between q25 and q75 then 1.0 else 0.0 end) * 100 as cov50, avg(case when err between q10 and q90 then 1.0 else 0.0 end) * 100 as cov80,
@@ -85,14 +85,14 @@ merged as (select series_id, week_idx, value, source, note from every qualify ro
 
 ORACLES: dict[str, str] = {
     "iso_calendar": f"""with d as (select distinct cast(o_orderdate as date) as day from orders), c as (select day, {_cal("day")} from d)
-select day, week_idx, iso_year, iso_week, wk52, season, cast(date_trunc('week', day) as date) as monday, cast(date_trunc('week', day) as date) + 7 as next_monday,
+select cast(day as varchar) as day, week_idx, iso_year, iso_week, wk52, season, cast(cast(date_trunc('week', day) as date) as varchar) as monday, cast(cast(date_trunc('week', day) as date) + 7 as varchar) as next_monday,
   cast(weekofyear(make_date(iso_year::bigint, 12, 28)) as integer) as n_weeks,
   case when iso_week between 34 and 48 then 'autumn' when iso_week >= 49 or iso_week <= 10 then 'winter' when iso_week between 11 and 26 then 'spring' else 'summer' end as phase,
   format('{{}}-W{{:02d}}', iso_year, iso_week) as week from c""",
     "holiday_calendar": f"with {_PANEL}, {_HOLS} select distinct week_idx, iso_year, iso_week, htype, hlabel from panel left join cal using (week_idx)",
     "label_holidays": f"with {_PANEL}, {_HOLS} select series_id, week_idx, y, htype, hlabel from panel left join cal using (week_idx)",
-    "load_history": f"with {_PANEL} select iso_year, iso_week, count(*) as n, round(sum(y), 2) as value from panel group by 1, 2",
-    "load_week_map": f"with {_PANEL} select iso_year, iso_week, count(*) as n, round(sum(y), 2) as value from panel group by 1, 2",
+    "load_history": f"with {_PANEL} select iso_year, iso_week, count(*) as n, cast(sum(cast(y as decimal(18,3))) as double) as value from panel group by 1, 2",
+    "load_week_map": f"with {_PANEL} select iso_year, iso_week, count(*) as n, cast(sum(cast(y as decimal(18,3))) as double) as value from panel group by 1, 2",
     "case_rates": f"""with r as (select {_cal("o_orderdate")}, l_quantity as c, l_extendedprice as p, l_returnflag = 'R' as s from lineitem join orders on l_orderkey = o_orderkey where o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'))
 select iso_year, iso_week, round(cast(sum(c) as double) / cast(sum(p) as double) * 1e5, 4) as rate, round(cast(sum(c) filter (s) as double) / cast(sum(p) filter (s) as double) * 1e5, 4) as sub_rate from r group by 1, 2 having sum(p) >= 1e5""",
     "merge_sources": f"with {_PANEL}, {_SECOND}, {_HIST} select * from merged",
@@ -100,7 +100,7 @@ select iso_year, iso_week, round(cast(sum(c) as double) / cast(sum(p) as double)
     "new_reports": f"with {_PANEL} select series_id, week_idx, y from panel where not (week_idx % 7 <> 3 and season >= 1996)",
     "calibration_ratio": f"""with {_PANEL}, {_SECOND}, r as (select p.series_id, p.season, p.y / s.y as r from panel p join second s using (series_id, week_idx) where s.y > 0)
 select series_id, season, round(median(r), 6) as ratio, round(stddev_samp(r), 6) as spread, count(*) as n from r group by grouping sets ((series_id), (series_id, season))""",
-    "history_entries": f"""with {_PANEL} select series_id, week_idx, format('{{}}-W{{:02d}}', iso_year, iso_week) as week, iso_year, iso_week, date '1970-01-01' + cast(week_idx * 7 + 1 - 719163 as integer) as monday,
+    "history_entries": f"""with {_PANEL} select series_id, week_idx, format('{{}}-W{{:02d}}', iso_year, iso_week) as week, iso_year, iso_week, cast(date '1970-01-01' + cast(week_idx * 7 + 1 - 719163 as integer) as varchar) as monday,
   cast(round_even(y, 0) as integer) as value, round_even(y / 7, 1) as sub_value, 'official' as source from panel""",
     "fill_gaps": f"""with {_PANEL}, {_HOLS}, h as (select series_id, week_idx, y from panel where week_idx % 11 <> 5),
 n as (select series_id, week_idx, y, lead(week_idx) over s as nx, lead(y) over s as b from h window s as (partition by series_id order by week_idx))
@@ -129,7 +129,7 @@ l as (select page_id, cast(i - 1 as integer) as pos, split_part(hs[i], '#', 1) a
 a as (select page_id, pos, case when starts_with(u, 'http') then u else 'https://example.org' || u end as url from l)
 select page_id, url, min(pos) as pos from a where regexp_matches(url, '(?i)^https?://') group by 1, 2""",
     "url_week": """with d as (select distinct cast(o_orderdate as date) as d from orders)
-select d, cast(case when month(d) = 1 and weekofyear(d) >= 50 then year(d) - 1 when month(d) = 12 and weekofyear(d) <= 2 then year(d) + 1 else year(d) end as integer) as year, cast(weekofyear(d) as integer) as week from d""",
+select cast(d as varchar) as d, cast(case when month(d) = 1 and weekofyear(d) >= 50 then year(d) - 1 when month(d) = 12 and weekofyear(d) <= 2 then year(d) + 1 else year(d) end as integer) as year, cast(weekofyear(d) as integer) as week from d""",
     "weekly_growth": f"with {_PANEL} select series_id, week_idx, round(growth, 6) as growth from growth",
     "growth_profile": f"with {_PANEL} select series_id, cast(s0 as integer) as s0, wk52, round(growth, 6) as growth, n from prof",
     "level_climatology": f"with {_PANEL} select series_id, cast(s0 as integer) as s0, wk52, round(level, 6) as level, n from clim",

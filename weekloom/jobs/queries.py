@@ -72,7 +72,7 @@ def _secondary(spark, sf_dir):
 def iso_calendar(spark, sf_dir):
     days = _t(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
     c = with_calendar(days, F.col("day"))
-    return c.select("day", "week_idx", "iso_year", "iso_week", "wk52", "season", monday_of(F.col("week_idx")).alias("monday"), monday_of(F.col("week_idx") + 1).alias("next_monday"), weeks_in_iso_year(F.col("iso_year")).alias("n_weeks"), phase(F.col("iso_week")).alias("phase"), week_label(F.col("iso_year"), F.col("iso_week")).alias("week"))
+    return c.select(F.col("day").cast("string"), "week_idx", "iso_year", "iso_week", "wk52", "season", monday_of(F.col("week_idx")).cast("string").alias("monday"), monday_of(F.col("week_idx") + 1).cast("string").alias("next_monday"), weeks_in_iso_year(F.col("iso_year")).alias("n_weeks"), phase(F.col("iso_week")).alias("phase"), week_label(F.col("iso_year"), F.col("iso_week")).alias("week"))
 
 
 def holiday_calendar(spark, sf_dir):
@@ -84,14 +84,14 @@ def load_history(spark, sf_dir):
     path = _dir(spark, "history")
     e = _panel(spark, sf_dir).select("series_id", F.struct(F.col("iso_year").alias("year"), "iso_week", F.col("y").alias("ari_per_100k")).alias("e"))
     e.groupBy("series_id").agg(F.collect_list("e").alias("history")).select(F.to_json(F.struct("history"))).repartition(5).write.text(path)
-    return read_history(spark, path).groupBy("iso_year", "iso_week").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    return read_history(spark, path).groupBy("iso_year", "iso_week").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,3)")).cast("double").alias("value"))
 
 
 def load_week_map(spark, sf_dir):
     path = _dir(spark, "map")
     m = _panel(spark, sf_dir).groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct(week_label(F.col("iso_year"), F.col("iso_week")), "y"))).alias("m"))
     m.select(F.to_json("m")).repartition(5).write.text(path)
-    return read_week_map(spark, path).groupBy("iso_year", "iso_week").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    return read_week_map(spark, path).groupBy("iso_year", "iso_week").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,3)")).cast("double").alias("value"))
 
 
 def case_rates(spark, sf_dir):
@@ -122,7 +122,7 @@ def calibration_ratio(spark, sf_dir):
 
 def history_entries(spark, sf_dir):
     rows = _panel(spark, sf_dir).select("series_id", "week_idx", "iso_year", "iso_week", F.col("y").alias("value"), (F.col("y") / 7).alias("sub_value"), F.lit("official").alias("source"))
-    return history.history_entries(rows)
+    return history.history_entries(rows).withColumn("monday", F.col("monday").cast("string"))
 
 
 def fill_gaps(spark, sf_dir):
@@ -221,7 +221,7 @@ def url_week(spark, sf_dir):
     """Report paths written from the orders' dates, and what is read from them."""
     o = _t(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
     url = F.format_string("https://example.org/wp-content/uploads/%04d/%02d/%02d_tyden.pdf", F.year("d"), F.month("d"), F.weekofyear("d"))
-    return o.select("d", reports.url_week(url).alias("w")).select("d", "w.year", "w.week")
+    return o.select("d", reports.url_week(url).alias("w")).select(F.col("d").cast("string"), "w.year", "w.week")
 
 
 def new_reports(spark, sf_dir):
@@ -381,12 +381,12 @@ def exceedance_prob(spark, sf_dir):
 
 def make_forecast(spark, sf_dir):
     panel, cal, points, res = _products(spark, sf_dir)
-    return forecast.make_forecast(points, res, forecast.latest_origins(models.rolling_origins(panel, P)), cal, P)
+    return forecast.make_forecast(points, res, forecast.latest_origins(models.rolling_origins(panel, P)), cal, P).withColumn("monday", F.col("monday").cast("string"))
 
 
 def forecast_past(spark, sf_dir):
     panel, cal, points, res = _products(spark, sf_dir)
-    return forecast.make_forecast(points, res, forecast.latest_origins(models.rolling_origins(panel, P), 2, 9), cal, P)
+    return forecast.make_forecast(points, res, forecast.latest_origins(models.rolling_origins(panel, P), 2, 9), cal, P).withColumn("monday", F.col("monday").cast("string"))
 
 
 def forecast_violations(spark, sf_dir):
