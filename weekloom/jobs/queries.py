@@ -138,8 +138,8 @@ def plausibility_gate(spark, sf_dir):
 def _report_rows(spark, sf_dir):
     """Weekly values of each priority as reports: five groups by order status and clerk parity are stood in for by fifths of the value."""
     p = _panel(spark, sf_dir)
-    prev = F.lag("y").over(history.BY_WEEK)
-    return p.withColumns({"value": F.bround("y"), "prev": F.when(F.lag("week_idx").over(history.BY_WEEK) == F.col("week_idx") - 1, prev)}).withColumn("change_pct", F.bround((F.col("value") / (F.col("prev") * F.when(F.col("week_idx") % 5 == 0, 1.1).otherwise(1.0)) - 1) * 100, 2))
+    prev = F.lag("y").over(history.by_week())
+    return p.withColumns({"value": F.bround("y"), "prev": F.when(F.lag("week_idx").over(history.by_week()) == F.col("week_idx") - 1, prev)}).withColumn("change_pct", F.bround((F.col("value") / (F.col("prev") * F.when(F.col("week_idx") % 5 == 0, 1.1).otherwise(1.0)) - 1) * 100, 2))
 
 
 def parse_reports(spark, sf_dir):
@@ -434,7 +434,7 @@ def situation(spark, sf_dir):
 def capacity_level(spark, sf_dir):
     """The ratchet over all weeks of each series, planned on the measured value."""
     panel, cal = _panel(spark, sf_dir), orders_calendar(spark)
-    prev = F.lag("y").over(history.BY_WEEK)
+    prev = F.lag("y").over(history.by_week())
     w = panel.join(F.broadcast(cal.select("week_idx", "htype")), "week_idx", "left").select("series_id", "week_idx", "y", "iso_week", history.band_of(F.col("y"), P).alias("planned_band"), F.lit(False).alias("signal"), F.coalesce(F.col("y") < prev, F.lit(False)).alias("falling"), F.col("htype").isNotNull().alias("on_holiday"), F.when(F.col("iso_week").between(33, 47), "autumn").when(F.col("iso_week").between(22, 32), "summer").when(F.col("iso_week").between(11, 21), "spring").otherwise("winter_pre").alias("plan_phase"))
     return decide.capacity_level(w, P)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.calendar import iso_week, monday_of
-from weekloom.operators.history import BY_WEEK, band_of, trend_growth
+from weekloom.operators.history import by_week, band_of, trend_growth
 from weekloom.params import Params
 
 
@@ -47,8 +47,8 @@ def planning_phase(panel: DataFrame, trend: DataFrame, p: Params, today_week: Co
 def early_signal(sub: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
     """(series_id, week_idx, signal): the sub-indicator is high, half as high again as the last plain week at least 2 weeks back, and not below the week before."""
     s = sub.join(F.broadcast(cal.select("week_idx", "htype")), "week_idx", "left")
-    base = F.last(F.when(F.col("htype").isNull(), F.col("y")), True).over(BY_WEEK.rangeBetween(Window.unboundedPreceding, -2))
-    before = F.lag("y").over(BY_WEEK)
+    base = F.last(F.when(F.col("htype").isNull(), F.col("y")), True).over(by_week().rangeBetween(Window.unboundedPreceding, -2))
+    before = F.lag("y").over(by_week())
     return s.select("series_id", "week_idx", F.coalesce((F.col("y") >= p.signal) & (F.col("y") >= 1.5 * base) & (F.col("y") >= before), F.lit(False)).alias("signal"))
 
 

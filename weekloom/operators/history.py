@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from weekloom.functions.calendar import monday_of, week_label
 from weekloom.params import Params
 
-BY_WEEK = Window.partitionBy("series_id").orderBy("week_idx")
+def by_week() -> WindowSpec:
+    """The weeks of each series in order."""
+    return Window.partitionBy("series_id").orderBy("week_idx")
 
 
 def band_of(v: Column, p: Params) -> Column:
@@ -67,7 +69,7 @@ def merge_sources(official: DataFrame, secondary: DataFrame, stored: DataFrame)
 
 def fill_single_gaps(history: DataFrame, cal: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """history and, for each single missing week between two known ones, their geometric mean; not for holiday weeks nor those in skip (series_id, week_idx)."""
-    nxt = history.select("series_id", "week_idx", "value", F.lead("week_idx").over(BY_WEEK).alias("to"), F.lead("value").over(BY_WEEK).alias("b")).where("to = week_idx + 2")
+    nxt = history.select("series_id", "week_idx", "value", F.lead("week_idx").over(by_week()).alias("to"), F.lead("value").over(by_week()).alias("b")).where("to = week_idx + 2")
     made = nxt.select("series_id", (F.col("week_idx") + 1).alias("week_idx"), F.sqrt(F.col("value") * F.col("b")).alias("value"))
     made = made.join(F.broadcast(cal.where("htype is not null").select("week_idx")), "week_idx", "left_anti")
     if skip is not None:
@@ -77,9 +79,9 @@ def fill_single_gaps(history: DataFrame, cal: DataFrame, skip: DataFrame | None
 
 def plausibility_gate(rows: DataFrame, p: Params) -> DataFrame:
     """rows (series_id, week_idx, y) with accepted. A week is compared with the week before if that was stored; a rejected week is a gap, so that the next is accepted unchecked: in a run of implausible steps, every other week goes."""
-    prev = F.when(F.lag("week_idx").over(BY_WEEK) == F.col("week_idx") - 1, F.lag("y").over(BY_WEEK))
+    prev = F.when(F.lag("week_idx").over(by_week()) == F.col("week_idx") - 1, F.lag("y").over(by_week()))
     bad = F.coalesce(~(F.col("y") / prev).between(*p.gate), F.lit(False))
-    run = rows.withColumn("bad", bad).withColumn("run", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(BY_WEEK))
+    run = rows.withColumn("bad", bad).withColumn("run", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(by_week()))
     at = F.row_number().over(Window.partitionBy("series_id", "run").orderBy("week_idx"))
     # a run's first row is the plausible one before it; rejected are the 2nd, 4th, ... of the run
     return run.withColumn("at", at).withColumn("first_bad", F.min("bad").over(Window.partitionBy("series_id", "run"))).withColumn("accepted", ~(F.col("bad") & (((F.col("at") % 2 == 0) & ~F.col("first_bad")) | ((F.col("at") % 2 == 1) & F.col("first_bad"))))).drop("bad", "run", "at", "first_bad")
@@ -87,7 +89,7 @@ def plausibility_gate(rows: DataFrame, p: Params) -> DataFrame:
 
 def apply_revisions(reports: DataFrame, p: Params) -> DataFrame:
     """Reports (series_id, week_idx, value, change_pct, groups, groups_change_pct), each revised by the next week's: value_revised, groups_revised, revised."""
-    nxt = lambda c: F.when(F.lead("week_idx").over(BY_WEEK) == F.col("week_idx") + 1, F.lead(c).over(BY_WEEK))
+    nxt = lambda c: F.when(F.lead("week_idx").over(by_week()) == F.col("week_idx") + 1, F.lead(c).over(by_week()))
     r = reports.withColumns({"nv": nxt("value"), "nc": nxt("change_pct"), "ng": nxt("groups"), "ngc": nxt("groups_change_pct")})
     implied = F.col("nv") / (1 + F.col("nc") / 100)
     off = F.coalesce(F.abs(implied / F.col("value") - 1) > p.revision, F.lit(False))
@@ -127,7 +129,7 @@ def staleness(panel: DataFrame, today_idx: int, weeks: int = 4) -> DataFrame:
 
 def violations(history: DataFrame, p: Params) -> DataFrame:
     """(series_id, week_idx, problem) of (series_id, week_idx, monday, value, source): duplicates, unknown sources, wrong Mondays, implausible values and jumps between neighbouring official weeks."""
-    jump = (F.lag("week_idx").over(BY_WEEK) == F.col("week_idx") - 1) & (F.col("source") == "official") & (F.lag("source").over(BY_WEEK) == "official") & ~(F.col("value") / F.lag("value").over(BY_WEEK)).between(*p.gate)
+    jump = (F.lag("week_idx").over(by_week()) == F.col("week_idx") - 1) & (F.col("source") == "official") & (F.lag("source").over(by_week()) == "official") & ~(F.col("value") / F.lag("value").over(by_week())).between(*p.gate)
     n = F.count("*").over(Window.partitionBy("series_id", "week_idx"))
     history = history.withColumns({"n": n, "jump": F.coalesce(jump, F.lit(False))})
     problems = F.array_compact(F.array(
@@ -143,6 +145,6 @@ def season_peak(panel: DataFrame) -> DataFrame:
 
 def seasonal_change_stats(panel: DataFrame) -> DataFrame:
     """By ISO week: median change in % against the week before, share of seasons rising, number."""
-    prev = F.when(F.lag("week_idx").over(BY_WEEK) == F.col("week_idx") - 1, F.lag("y").over(BY_WEEK))
+    prev = F.when(F.lag("week_idx").over(by_week()) == F.col("week_idx") - 1, F.lag("y").over(by_week()))
     ch = panel.withColumn("chg", F.col("y") / prev - 1).where("chg is not null")
     return ch.groupBy("series_id", "wk52").agg((F.median("chg") * 100).alias("median_pct"), F.avg((F.col("chg") > 0).cast("double")).alias("share_rising"), F.count("*").alias("n"))

@@ -10,19 +10,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from weekloom.functions.calendar import iso_week, iso_year, monday_of, wk
-from weekloom.operators.history import BY_WEEK
+from weekloom.operators.history import by_week
 from weekloom.operators.profiles import effect, growth_profile, holiday_profile, level_climatology, log_level
 from weekloom.params import Params
 
-PATH = Window.partitionBy("series_id", "origin_idx").orderBy("horizon")
-SO_FAR = PATH.rowsBetween(Window.unboundedPreceding, 0)
 OUT = ["series_id", "origin_idx", "horizon", "lp"]
 
 
+def so_far() -> WindowSpec:
+    """The horizons of an origin up to each."""
+    return Window.partitionBy("series_id", "origin_idx").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
+
+
 def rolling_origins(panel: DataFrame, p: Params) -> DataFrame:
     """Weeks from which forecasts are made: not in excluded seasons, with at least min_seasons seasons up to them."""
     seen = F.dense_rank().over(Window.partitionBy("series_id").orderBy("season"))
@@ -51,7 +54,7 @@ def persistence(panel: DataFrame, p: Params) -> DataFrame:
 
 def legacy(panel: DataFrame, p: Params) -> DataFrame:
     """Half the mean of the last 4 rows, half last year's same week at this year's level."""
-    ma4 = panel.withColumn("ma4", F.avg("y").over(BY_WEEK.rowsBetween(-3, 0))).select("series_id", F.col("week_idx").alias("origin_idx"), "ma4")
+    ma4 = panel.withColumn("ma4", F.avg("y").over(by_week().rowsBetween(-3, 0))).select("series_id", F.col("week_idx").alias("origin_idx"), "ma4")
     t = targets(rolling_origins(panel, p), p).join(ma4, ["series_id", "origin_idx"]).withColumns({"py": F.col("t_year") - 1, "oy": F.col("iso_year") - 1})
     t = t.join(_value_of(panel, "py", "t_week", "prev"), ["series_id", "py", "t_week"], "left").join(_value_of(panel, "oy", "iso_week", "base"), ["series_id", "oy", "iso_week"], "left")
     value = F.when(F.col("prev") > 0, 0.5 * F.col("ma4") + 0.5 * F.col("prev") * (F.col("y") / F.coalesce("base", "prev"))).otherwise(F.col("ma4") * 0.92)
@@ -69,21 +72,21 @@ def profile(panel: DataFrame, p: Params) -> DataFrame:
     """The origin's level plus the profile's growth week by week."""
     t = targets(rolling_origins(panel, p), p).withColumn("wk52", _step_week())
     t = t.join(growth_profile(panel, p).drop("n"), ["series_id", "s0", "wk52"], "left")
-    return t.withColumn("lp", log_level(F.col("y")) + F.sum(F.coalesce("growth", F.lit(0.0))).over(SO_FAR)).select(OUT)
+    return t.withColumn("lp", log_level(F.col("y")) + F.sum(F.coalesce("growth", F.lit(0.0))).over(so_far())).select(OUT)
 
 
 def recent_anomaly_growth(panel: DataFrame, p: Params) -> DataFrame:
     """(series_id, origin_idx, anomaly): mean of growth over the profile's, over the last momentum_k weeks that have both."""
     o = rolling_origins(panel, p).select("series_id", "origin_idx", "s0")
-    near = F.lag("week_idx").over(BY_WEEK) == F.col("week_idx") - 1
-    grown = panel.select("series_id", "week_idx", F.when(near, F.ln(F.col("y") / F.lag("y").over(BY_WEEK))).alias("own"), F.when(near, F.lag("wk52").over(BY_WEEK)).alias("wk52")).where("own is not null")
+    near = F.lag("week_idx").over(by_week()) == F.col("week_idx") - 1
+    grown = panel.select("series_id", "week_idx", F.when(near, F.ln(F.col("y") / F.lag("y").over(by_week()))).alias("own"), F.when(near, F.lag("wk52").over(by_week())).alias("wk52")).where("own is not null")
     steps = o.withColumn("week_idx", F.explode(F.sequence(F.col("origin_idx") - p.momentum_k + 1, F.col("origin_idx"))))
     return steps.join(grown, ["series_id", "week_idx"]).join(growth_profile(panel, p), ["series_id", "s0", "wk52"]).groupBy("series_id", "origin_idx").agg(F.avg(F.col("own") - F.col("growth")).alias("anomaly"))
 
 
 def profile_momentum(panel: DataFrame, p: Params) -> DataFrame:
     base = profile(panel, p).join(recent_anomaly_growth(panel, p), ["series_id", "origin_idx"], "left")
-    damp = F.sum(F.pow(F.lit(p.momentum_phi), F.col("horizon"))).over(SO_FAR)
+    damp = F.sum(F.pow(F.lit(p.momentum_phi), F.col("horizon"))).over(so_far())
     return base.withColumn("lp", F.col("lp") + F.coalesce("anomaly", F.lit(0.0)) * damp).select(OUT)
 
 
@@ -97,7 +100,7 @@ def clim_anomaly(panel: DataFrame, p: Params) -> DataFrame:
     a0 = an.groupBy("series_id", "origin_idx").agg(F.max(F.when(F.col("week_idx") == F.col("origin_idx"), F.col("a"))).alias("now"), F.avg("a").alias("mean")).select("series_id", "origin_idx", (0.7 * F.col("now") + 0.3 * F.col("mean")).alias("a0"))
     t = targets(o, p).withColumn("wk52", wk(F.col("t_week"))).join(clim, ["series_id", "s0", "wk52"], "left").join(a0, ["series_id", "origin_idx"], "left")
     value = F.col("level") + F.col("a0") * F.pow(F.lit(p.anomaly_rho), F.col("horizon"))
-    own_path = t.withColumn("own", F.coalesce(F.last(value, ignorenulls=True).over(SO_FAR), log_level(F.col("y"))))
+    own_path = t.withColumn("own", F.coalesce(F.last(value, ignorenulls=True).over(so_far()), log_level(F.col("y"))))
     return own_path.join(profile(panel, p), ["series_id", "origin_idx", "horizon"]).withColumn("lp", F.when(F.col("a0").isNull(), F.col("lp")).otherwise(F.col("own"))).select(OUT)
 
 
@@ -119,7 +122,7 @@ def seasonal_profile_holiday(panel: DataFrame, seen: DataFrame, cal: DataFrame,
     t = _target_type(t, cal)
     pace = F.lit(0.0)
     if p.profile_phi:
-        m = seen.select("series_id", "week_idx", "wk52", F.col("z").alias("z_i"), F.col("htype").alias("type_i"), F.lag("week_idx").over(BY_WEEK).alias("before_i"), F.lag("z").over(BY_WEEK).alias("z_b"), F.lag("htype").over(BY_WEEK).alias("type_b")).where("before_i = week_idx - 1")
+        m = seen.select("series_id", "week_idx", "wk52", F.col("z").alias("z_i"), F.col("htype").alias("type_i"), F.lag("week_idx").over(by_week()).alias("before_i"), F.lag("z").over(by_week()).alias("z_b"), F.lag("htype").over(by_week()).alias("type_b")).where("before_i = week_idx - 1")
         steps = o.withColumn("week_idx", F.explode(F.sequence(F.col("origin_idx") - p.profile_n + 1, F.col("origin_idx")))).drop("z", "htype").join(m, ["series_id", "week_idx"])
         steps = steps.withColumn("change", F.col("z_i") - effect(F.col("type_i")) - F.col("z_b") + effect(F.col("type_b")))
         # the profile is taken over as many weeks back from the origin as there are changes
@@ -128,7 +131,7 @@ def seasonal_profile_holiday(panel: DataFrame, seen: DataFrame, cal: DataFrame,
         anom = weeks.join(g, ["series_id", "s0", "version", "wk52"], "left").groupBy("series_id", "origin_idx").agg((F.first("pace") - F.avg(F.coalesce("growth", F.lit(0.0)))).alias("anom"))
         t = t.join(anom, ["series_id", "origin_idx"], "left")
         pace = F.pow(F.lit(p.profile_phi), F.col("horizon")) * F.coalesce("anom", F.lit(0.0))
-    path = F.sum(F.coalesce("growth", F.lit(0.0)) + pace).over(SO_FAR)
+    path = F.sum(F.coalesce("growth", F.lit(0.0)) + pace).over(so_far())
     return t.withColumn("lp", F.col("z") - effect(F.col("htype")) + path + effect(F.col("t_htype"))).select(OUT)
 
 
@@ -190,7 +193,7 @@ def analog(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params) -> Data
     mean = each.groupBy("series_id", "origin_idx", "horizon").agg((F.sum(F.col("w") * said) / F.sum("w")).alias("v"))
     t = _target_type(targets(_known(panel, seen, cal, p), p), cal).join(mean, ["series_id", "origin_idx", "horizon"], "left")
     level = F.col("z") - effect(F.col("htype"))
-    return t.withColumn("lp", F.coalesce(F.last("v", ignorenulls=True).over(SO_FAR), level) + effect(F.col("t_htype"))).select(OUT)
+    return t.withColumn("lp", F.coalesce(F.last("v", ignorenulls=True).over(so_far()), level) + effect(F.col("t_htype"))).select(OUT)
 
 
 def point_forecast(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params) -> DataFrame:

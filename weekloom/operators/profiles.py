@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.operators.history import BY_WEEK
+from weekloom.operators.history import by_week
 from weekloom.params import Params
 
 RECENT_TYPES = ("autumn", "xmas1", "xmas2", "eastermon")
@@ -17,7 +17,7 @@ def log_level(y: Column) -> Column:
 
 def weekly_growth(panel: DataFrame) -> DataFrame:
     """Each week and its log growth to the next calendar week; weeks before a gap give no row."""
-    nxt = F.when(F.lead("week_idx").over(BY_WEEK) == F.col("week_idx") + 1, F.lead("y").over(BY_WEEK))
+    nxt = F.when(F.lead("week_idx").over(by_week()) == F.col("week_idx") + 1, F.lead("y").over(by_week()))
     return panel.withColumn("growth", F.ln(nxt / F.col("y"))).where("growth is not null")
 
 
@@ -47,7 +47,7 @@ def marked(panel: DataFrame, cal: DataFrame) -> DataFrame:
 def holiday_occurrences(panel: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
     """(series_id, week_idx, season, htype, diff, known_at): log distance of a holiday week from the line between its nearest plain neighbours within 3 weeks. It is known from the upper neighbour on."""
     plain = F.when(F.col("htype").isNull(), F.struct("week_idx", "z"))
-    near = marked(panel, cal).withColumns({"lo": F.max(plain).over(BY_WEEK.rangeBetween(-3, -1)), "hi": F.min(plain).over(BY_WEEK.rangeBetween(1, 3))})
+    near = marked(panel, cal).withColumns({"lo": F.max(plain).over(by_week().rangeBetween(-3, -1)), "hi": F.min(plain).over(by_week().rangeBetween(1, 3))})
     line = F.col("lo.z") + (F.col("hi.z") - F.col("lo.z")) * (F.col("week_idx") - F.col("lo.week_idx")) / (F.col("hi.week_idx") - F.col("lo.week_idx"))
     return near.where(F.col("htype").isNotNull() & F.col("lo").isNotNull() & F.col("hi").isNotNull() & ~F.col("season").isin(*p.excluded)).select("series_id", "week_idx", "season", "htype", (F.col("z") - line).alias("diff"), F.col("hi.week_idx").alias("known_at"))
 
@@ -76,7 +76,7 @@ def with_effects(panel: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
     occ = holiday_occurrences(panel, cal, p)
     maps = effect_maps(holiday_effects(occ, p))
     at = occ.select("series_id", F.col("known_at").alias("week_idx"), F.col("known_at").alias("at")).distinct()
-    seen = marked(panel, cal).join(at, ["series_id", "week_idx"], "left").withColumn("version", F.last("at", ignorenulls=True).over(BY_WEEK.rowsBetween(Window.unboundedPreceding, 0))).drop("at")
+    seen = marked(panel, cal).join(at, ["series_id", "week_idx"], "left").withColumn("version", F.last("at", ignorenulls=True).over(by_week().rowsBetween(Window.unboundedPreceding, 0))).drop("at")
     return seen.join(maps, ["series_id", "version"], "left").withColumn("effects", F.coalesce("effects", F.create_map().cast("map<string,double>")))
 
 
@@ -89,8 +89,8 @@ def adjusted_series(panel: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
 def holiday_profile(panel: DataFrame, cal: DataFrame, versions: DataFrame, p: Params) -> DataFrame:
     """(series_id, s0, version, wk52, growth): median adjusted change to each week and its neighbours, over seasons before s0, for each (series_id, s0, version, effects) of versions."""
     m = marked(panel, cal)
-    near = F.lag("week_idx").over(BY_WEEK) == F.col("week_idx") - 1
-    changes = m.withColumns({"change": F.when(near, F.col("z") - F.lag("z").over(BY_WEEK)), "before": F.when(near, F.lag("htype").over(BY_WEEK))}).where("change is not null").where(~F.col("season").isin(*p.excluded))
+    near = F.lag("week_idx").over(by_week()) == F.col("week_idx") - 1
+    changes = m.withColumns({"change": F.when(near, F.col("z") - F.lag("z").over(by_week())), "before": F.when(near, F.lag("htype").over(by_week()))}).where("change is not null").where(~F.col("season").isin(*p.excluded))
     used = versions.select("series_id", "s0", F.coalesce("version", F.lit(-1)).alias("version"), "effects").join(changes.select("series_id", "season", "wk52", "change", "htype", "before"), "series_id").where("season < s0")
     adjusted = used.withColumn("change", F.col("change") - effect(F.col("htype")) + effect(F.col("before")))
     spread = adjusted.withColumn("wk52", F.explode(F.array(*[F.pmod(F.col("wk52") - 1 + d, F.lit(52)) + 1 for d in (-1, 0, 1)])))
