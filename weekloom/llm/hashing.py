@@ -42,7 +42,8 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     step = np.uint64(0x9E3779B97F4A7C15)
     fold = mix(words + step)
     for j in range(1, width):
-        fold[: len(words) - j] = mix(fold[: max(0, len(words) - j)] * step + words[j:])
+        upto = max(0, len(words) - j)
+        fold[:upto] = mix(fold[:upto] * step + words[j:])
     at = 0
     for n in counts.tolist():
         if n >= width:
