@@ -6,10 +6,13 @@ similarity of candidates closely enough to leave out those far below the thresho
 full sets.
 
 Texts with equal sets are one class, and only its representative goes on. In a bucket, all members are first compared
-with one centre, the member that meets most others in all its buckets; links make components, and a new centre is taken from another component of the bucket as long as many
-pairs lie between components. Then all pairs between different components that meet in a bucket and were not yet
-compared are compared. Pairs within a component are never needed, so that a group of copies costs as many pairs as it
-has members and no link between groups is lost. A pair at the threshold meets in no bucket with probability
+with one centre, the member that meets most others in all its buckets; links make components, and a new centre is
+taken among those outside the first component as long as many pairs lie between their components. What is left are
+pairs between different components. Where a bucket has few of them for each member, each is compared. Where it has
+many, as in a group whose outer members are just too far from all others, sets are seen as differences to the bucket's
+centre, and only pairs with enough rare differences in common are compared (see _about_centres); that is exact. Pairs
+within a component are never needed, so that a group of copies costs as many pairs as it has members and no link
+between groups is lost. A pair at the threshold meets in no bucket with probability
 (1 - 0.8**6)**48 < 1e-6.
 """
 
@@ -30,6 +33,8 @@ from weekloom.llm.hashing import chunks, mix, shingle_sets
 BANDS, ROWS, SKETCH_WORDS = 48, 6, 16
 #: Estimated similarity below the threshold at which a sketch still lets candidates through: 4.8 standard deviations.
 SLACK = 0.15
+#: Pairs between components for each member of a bucket up to which they are compared one by one.
+DIRECT = 8
 
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -112,6 +117,61 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _difference_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, held = None, np.empty(0, np.uint64)
+        for batch in batches:
+            own, base = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text", "text_c"))
+            n, sizes, differences = [], [], []
+            for lo, hi in chunks(own):
+                for k, shingles in enumerate(shingle_sets([x or b"" for x in own[lo:hi]], width), lo):
+                    if base[k] != centre:
+                        centre, held = base[k], next(iter(shingle_sets([base[k] or b""], width)))
+                    n.append(len(shingles))
+                    sizes.append(len(held))
+                    differences.append(np.setxor1d(shingles, held, assume_unique=True).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, differences)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *differences])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("centre", "rep", "component")), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), lists], ["centre", "rep", "component", "n", "n_c", "differs"])
+
+    return run
+
+
+def _about_centres(docs: DataFrame, around: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components around one centre that can be linked; around has (centre, rep, component).
+
+    A link of sets x and y means (100 + P) * |x ^ y| <= (100 - P) * (|x| + |y|), ^ being symmetric difference and P percent.
+    With dx = x ^ centre, |x ^ y| = |dx| + |dy| - 2 * |dx & dy|, so a link asks for a number of common differences to the
+    centre. As at most one of x and y is linked with the centre, that number is at least 1, and about half of each set's
+    differences but where x is not linked with the centre and y is. So the rarest differences, all but as many as must
+    be common (less one), hold a common one, and pairs meet there. Where they meet first, what follows in both must
+    still give the number. Nothing that can be linked is left out, and nothing is capped.
+    """
+    up, down = 100 + percent, 100 - percent
+    texts = docs.join(around.select(F.explode(F.array("centre", "rep")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    both = around.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("text_c")), "centre")
+    both = both.select("centre", "rep", "component", "text", "text_c")
+    schema = "centre long, rep long, component long, n long, n_c long, differs array<long>"
+    sets = both.mapInArrow(_difference_batches(width), schema)
+    sets = written(sets.withColumn("d", F.size("differs").cast("long")).where("d > 0"), "differences")
+    single = sets.select("centre", "rep", F.explode("differs").alias("differs"))
+    found_in = single.groupBy("centre", "differs").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = single.join(found_in, ["centre", "differs"]).groupBy("centre", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "differs"))).alias("common"))
+    ceil_half = lambda x: F.greatest(F.lit(1), F.ceil(x / (2 * up)))
+    own = sets.drop("differs").join(ranked, ["centre", "rep"]).withColumn("linked", up * F.col("d") <= down * (F.col("n") + F.col("n_c")))
+    half = ceil_half(up * F.col("d") + down * (F.col("n_c") - F.col("n")))
+    few = ceil_half(up * F.col("d") + 2 * percent - down * (F.col("n") + F.col("n_c")))
+    own = own.select("*", (F.col("d") - half + 1).alias("short"), (F.col("d") - F.when(F.col("linked"), half).otherwise(F.least(half, few)) + 1).alias("long"), (F.col("d") - F.size("common")).alias("alone"))
+    # differences of one set alone are the rarest and come first; they take places but meet nothing
+    placed = own.select("centre", "rep", "component", "n", "d", "linked", "short", "long", "alone", F.posexplode("common")).withColumn("place", F.col("pos") + F.col("alone") + 1).where("place <= long")
+    placed = written(placed.select("centre", "rep", "component", "n", "d", "linked", "place", (F.col("place") <= F.col("short")).alias("short"), F.col("col.differs").alias("differs")), "placed")
+    x, y = (placed.select("centre", "differs", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "d", "linked", "place", "short")]) for s in "ab")
+    needed = up * (F.col("d_a") + F.col("d_b")) - down * (F.col("n_a") + F.col("n_b"))
+    still = 2 * up * (1 + F.least(F.col("d_a") - F.col("place_a"), F.col("d_b") - F.col("place_b")))
+    once = F.col("linked_b") | (F.col("short_a") & (F.col("rep_a") < F.col("rep_b")))
+    meet = x.where("not linked_a").join(y.where("short_b"), ["centre", "differs"]).where((F.col("component_a") != F.col("component_b")) & once & (still >= needed))
+    return meet.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(signatures, class components): (doc_id, n_shingles, h1, h2) of each row, and (h1, h2, component) of each class.
 
@@ -151,25 +211,29 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
         comps = components(found)
         state = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         per = state.groupBy("key", "component").agg(F.count("*").alias("c"), F.max("weight").alias("weight"))
-        mixed = per.groupBy("key").agg(F.max_by("component", "weight").alias("first"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).where("parts > 1")
-        state = written(state.join(mixed, "key").select("key", "rep", "n", "weight", "component", "first", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")), "mixed")
-        sizes = state.agg(F.count("*").alias("rows")).first()
-        between = state.groupBy("key").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        if not sizes.rows or between <= 8 * sizes.rows or (open_pairs is not None and between > 0.7 * open_pairs):
+        square = F.col("c") * F.col("c")
+        mixed = per.groupBy("key").agg(F.max_by("component", "weight").alias("first"), F.max_by("c", "weight").alias("c"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.sum(square).alias("own")).where("parts > 1")
+        others = F.col("all") - F.col("c")
+        mixed = mixed.select("key", "first", ((F.col("all") * F.col("all") - F.col("own")) / 2 > DIRECT * F.col("all")).alias("large"), ((others * others - F.col("own") + square) / 2).alias("pairs"))
+        state = written(state.join(mixed, "key").select("key", "rep", "n", "weight", "component", "first", "large", "pairs"), "mixed")
+        large = state.where("large and component <> first")
+        rows, between = large.groupBy("key").agg(F.count("*").alias("rows"), F.first("pairs").alias("pairs")).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        if between <= DIRECT * rows or (open_pairs is not None and between > 0.7 * open_pairs):
             break
         open_pairs = between
-        centre = state.where("component <> first").groupBy("key").agg(F.max_by("rep", "weight").alias("centre"), F.max_by("component", "weight").alias("of"))
-        star = state.join(centre, "key").where("component <> of and rep <> centre").select(*pair).distinct()
+        second = large.groupBy("key").agg(F.max_by("rep", "weight").alias("centre"), F.max_by("component", "weight").alias("of"))
+        star = large.join(second, "key").where("component <> of").select(*pair).distinct()
         star = written(star.join(tried, ["a", "b"], "left_anti"), "star")
         tried = tried.unionByName(star)
         found = found.unionByName(compared(star))
-    if sizes.rows:
-        x, y = (state.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")]) for s in "ab")
-        rest = x.join(y, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
-        rest = rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = compared(rest)
-        if not more.isEmpty():
-            comps = components(found.unionByName(more))
+    x, y = (state.where("not large").select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")]) for s in "ab")
+    rest = x.join(y, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
+    rest = rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    around = state.where("large").join(centres, "key").where("rep <> centre").select("centre", "rep", "component").distinct()
+    rest = rest.unionByName(_about_centres(docs, around, width, percent)).distinct().join(tried, ["a", "b"], "left_anti")
+    more = compared(rest)
+    if not more.isEmpty():
+        comps = components(found.unionByName(more))
     reached = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     return sig.select("doc_id", "n_shingles", "h1", "h2"), reached
 
