@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,29 @@ def test_near_duplicates_against_all_pairs(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (len(sets[k]), group[k]) for k in sets}
 
 
+def test_large_group_with_texts_just_too_far(spark, monkeypatch):
+    """A group about one text, of which many are just below the threshold, is compared by differences to its centre."""
+    monkeypatch.setattr(neardup, "DIRECT", 0)
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for k in range(120):
+        own = list(base)
+        for at in rng.choice(60, rng.integers(1, 9), replace=False):
+            own[at] = f"x{rng.integers(40)}" if k % 2 else f"y{k}_{at}"
+        texts.append(" ".join(own))
+    sets = [frozenset(zip(x.split(), x.split()[1:])) for x in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    assert 20 < len(set(group)) < 120
+    got = {r.doc_id: r.component_id for r in neardup.report(docs_of(spark, texts), width=2).collect()}
+    assert got == dict(enumerate(group))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     assert {r.node: r.component for r in components.components(links).collect()} == {k: 0 for k in range(61)} | {100: 100, 101: 100}
