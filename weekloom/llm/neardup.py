@@ -142,7 +142,8 @@ def _about_centres(docs: DataFrame, around: DataFrame, width: int, percent: int)
     A link of sets x and y means (100 + P) * |x ^ y| <= (100 - P) * (|x| + |y|), ^ being symmetric difference and P percent.
     With dx = x ^ centre, |x ^ y| = |dx| + |dy| - 2 * |dx & dy|, so a link asks for a number of common differences to the
     centre. As at most one of x and y is linked with the centre, that number is at least 1, and about half of each set's
-    differences but where x is not linked with the centre and y is. So the rarest differences, all but as many as must
+    differences but where x is not linked with the centre and y is: whatever is linked with the centre is given as a pair
+    with it, and then of one component with the others that are. So the rarest differences, all but as many as must
     be common (less one), hold a common one, and pairs meet there. Where they meet first, what follows in both must
     still give the number. Nothing that can be linked is left out, and nothing is capped.
     """
@@ -169,7 +170,8 @@ def _about_centres(docs: DataFrame, around: DataFrame, width: int, percent: int)
     still = 2 * up * (1 + F.least(F.col("d_a") - F.col("place_a"), F.col("d_b") - F.col("place_b")))
     once = F.col("linked_b") | (F.col("short_a") & (F.col("rep_a") < F.col("rep_b")))
     meet = x.where("not linked_a").join(y.where("short_b"), ["centre", "differs"]).where((F.col("component_a") != F.col("component_b")) & once & (still >= needed))
-    return meet.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    met = meet.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    return met.unionByName(sets.where(up * F.col("d") <= down * (F.col("n") + F.col("n_c"))).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")))
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -229,7 +231,11 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     x, y = (state.where("not large").select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")]) for s in "ab")
     rest = x.join(y, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
     rest = rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    around = state.where("large").join(centres, "key").where("rep <> centre").select("centre", "rep", "component").distinct()
+    # buckets whose centres are linked with one heavier text share that one, so that sets are compared with few centres
+    linked = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = linked.join(centres.select(F.col("centre").alias("a")).distinct(), "a", "left_semi").unionByName(centres.select(F.col("centre").alias("a"), F.col("centre").alias("b")).distinct())
+    lead = linked.join(weight.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("centre")).agg(F.max(F.struct("weight", "b"))["b"].alias("lead"))
+    around = state.where("large").select("key", "rep", "component").join(centres, "key").join(lead, "centre").where("rep <> lead").select(F.col("lead").alias("centre"), "rep", "component").distinct()
     rest = rest.unionByName(_about_centres(docs, around, width, percent)).distinct().join(tried, ["a", "b"], "left_anti")
     more = compared(rest)
     if not more.isEmpty():
