@@ -123,7 +123,7 @@ def test_large_group_with_texts_just_too_far(spark, monkeypatch):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
     assert 20 < len(set(group)) < 120
-    got = {r.doc_id: r.component_id for r in neardup.report(docs_of(spark, texts), width=2).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.report(docs_of(spark, enumerate(texts)), width=2).collect()}
     assert got == dict(enumerate(group))
 
 
