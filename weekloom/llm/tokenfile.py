@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -161,9 +162,15 @@ class Encoder:
         return out, sizes + 1
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker keeps its encoder, with the pieces it has seen, for the tasks that follow."""
+    return Encoder(path)
+
+
 def _encode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             at = 0
