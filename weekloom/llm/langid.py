@@ -9,11 +9,12 @@ language, come to the driver. Texts are scored where they are read; workers keep
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,19 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Model:
     languages: tuple[str, ...]
     pieces: dict[str, int]
     p: np.ndarray  # pieces x languages
     prior: np.ndarray  # log shares of the languages
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Model) and self.key == other.key
+
+    def __hash__(self) -> int:
+        return hash(self.key)
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -234,9 +242,15 @@ class Scorer:
         return langs, values
 
 
+@lru_cache(maxsize=1)
+def _scorer(model: Model) -> Scorer:
+    """A worker keeps its scorer, with the words it has seen, for the tasks that follow."""
+    return Scorer(model)
+
+
 def _score_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = _scorer(model)
         for batch in batches:
             langs, values = scorer(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(values, pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -246,7 +260,7 @@ def _score_batches(model: Model):
 
 def _keep_batches(model: Model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = _scorer(model)
         for batch in batches:
             langs, values = scorer(batch.column("text").to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN and v >= least for x, v in zip(langs, values, strict=True)], pa.bool_()))
