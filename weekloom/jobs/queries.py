@@ -308,8 +308,9 @@ def point_forecast(spark, sf_dir):
 
 
 def _simple_residuals(spark, sf_dir):
+    """Residuals of every model in models.MODELS."""
     panel = _stored(_panel(spark, sf_dir), "panel")
-    every = reduce(DataFrame.unionByName, [f(panel, P).withColumn("model", F.lit(n)) for n, f in models.MODELS.items() if n in ("persistence", "legacy", "seasonal_naive", "profile")])
+    every = reduce(DataFrame.unionByName, [f(panel, P).withColumn("model", F.lit(n)) for n, f in models.MODELS.items()])
     return evaluate.residuals(panel, every)
 
 
