@@ -21,8 +21,8 @@ from weekloom.llm.common import SPACE, split_words, written
 MIN_LENGTH = 16
 #: Labelled findings that the forest learns from at most, chosen by hash.
 TRAIN_ROWS = 20_000
-#: Letters of a dictionary entry, of which there are at most 26**4, and times the corpus must have it.
-GRAM, MIN_COUNT = 4, 20
+#: Letters of a dictionary entry, of which there are at most 26**4.
+GRAM = 4
 
 #: Published prefixes of issued keys, words that name secrets, marks of paths with made-up values.
 ISSUED = r"^(AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abp]-|sk_live_)"
@@ -54,10 +54,19 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """(gram): sequences of GRAM letters that words of the corpus have, each word counted as often as it stands in all texts."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).where(F.length("word").between(GRAM, 15)).groupBy("word").agg(F.count("*").alias("n"))
-    grams = words.select("n", F.explode(F.expr(f"transform(sequence(1, length(word) - {GRAM - 1}), i -> substring(word, i, {GRAM}))")).alias("gram"))
-    return grams.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT).select("gram")
+    """(gram): sequences of GRAM letters that words have more often than random letters would: a share of 1 / 26**GRAM of all, at least.
+
+    A word counts once for each distinct text that has it, and what stands in candidates doesn't count. Random letters
+    never reach that share, however large the corpus, and copies of texts change nothing.
+    """
+    words = F.split(F.lower(F.regexp_replace("text", CANDIDATE, " ")), r"[^a-z]+")
+    proper = F.array_distinct(F.filter(words, lambda w: F.length(w).between(GRAM, 15)))
+    texts = docs.where("text is not null").select(F.md5("text").alias("id"), proper.alias("words")).groupBy("id").agg(F.first("words").alias("words"))
+    counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    grams = counts.select("n", F.explode(F.expr(f"transform(sequence(1, length(word) - {GRAM - 1}), i -> substring(word, i, {GRAM}))")).alias("gram"))
+    n = written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    total = n.agg(F.sum("n")).first()[0] or 0
+    return n.where(F.col("n") * 26**GRAM >= total).select("gram")
 
 
 def _features() -> dict[str, Column]:
