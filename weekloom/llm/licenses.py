@@ -8,6 +8,7 @@ each template covers. Only stretches of template words are run through the autom
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -135,21 +136,39 @@ class Automaton:
         return out
 
 
-def covered(runs: list[tuple[int, int, int, int]], size: int) -> tuple[int, int, int]:
-    """Most words of one template covered by runs in order in both, with the first and last word of the file's span.
+def chains(runs: list[tuple[int, int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(words, first, last): words of one template covered by runs in order in both, with the first and last word of the file's span.
 
-    Runs within twice the template's length belong to one chain; each run joins the best chain that ends before it.
+    Runs within twice the template's length belong to one chain, and each run joins all chains in that reach. Of the
+    chains that end with a run, those are kept that no other one beats in both words and a later start.
     """
-    best: list[tuple[int, int, int, int]] = []  # words, start, end in file, end in template
-    for a, at, n in sorted({(a, at, n) for _, a, at, n in runs}, key=lambda r: r[1]):
-        own = (n, at, at + n - 1, a + n - 1)
-        for words, start, end, to in best[-64:]:
-            cut = max(0, end + 1 - at, to + 1 - a)
-            if n > cut and at + n - 1 - start < 2 * size + 20 and words + n - cut > own[0]:
-                own = (words + n - cut, start, at + n - 1, a + n - 1)
-        best.append(own)
-    words, start, end, _ = max(best, key=lambda c: (c[0], -c[1]))
-    return words, start, end
+    reach = 2 * size + 20
+    ends: list[tuple[int, int, int, list[tuple[int, int]]]] = []  # start and end in file, end in template, (words, chain's start)
+    low = 0
+    for at, a, n in sorted({(at, a, n) for _, a, at, n in runs}):
+        while low < len(ends) and ends[low][0] <= at - reach:
+            low += 1
+        last, own = at + n - 1, [(n, at)]
+        for _, end, to, front in ends[low:]:
+            more = n - max(0, end + 1 - at, to + 1 - a)
+            if more > 0:
+                own += [(words + more, start) for words, start in front if last - start < reach]
+        front = []
+        for words, start in sorted(own, key=lambda c: (-c[1], -c[0])):
+            if not front or words > front[-1][0]:
+                front.append((words, start))
+        ends.append((at, last, a + n - 1, front))
+    return [(words, start, last) for _, last, _, front in ends for words, start in front]
+
+
+def apart(found: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+    """Chains of at least so many words that share no word of the file, those of most words first taken, in the file's order."""
+    taken: list[tuple[int, int, int]] = []  # first, last, words
+    for words, start, end in sorted((c for c in found if c[0] >= least), key=lambda c: (-c[0], c[2] - c[1], c[1])):
+        k = bisect(taken, (start, end, words))
+        if (k == 0 or taken[k - 1][1] < start) and (k == len(taken) or end < taken[k][0]):
+            taken.insert(k, (start, end, words))
+    return [(words, start, end) for start, end, words in taken]
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first: long, last: long, words: long, share: double>>"
@@ -181,11 +200,10 @@ def _scan_batches(templates, phrases):
                     by[r[0]].append(r)
                 spans, score = [], 0.0
                 for t, runs in sorted(by.items()):
-                    n, a, b = covered(runs, automaton.sizes[t])
-                    share = n / automaton.sizes[t]
-                    score = max(score, min(1.0, share))
-                    if share >= MIN_COVER:
-                        spans.append({"label": automaton.labels[t], "first": a, "last": b, "words": n, "share": share})
+                    size = automaton.sizes[t]
+                    found = chains(runs, size)
+                    score = max(score, min(1.0, max(found)[0] / size))
+                    spans += [{"label": automaton.labels[t], "first": a, "last": b, "words": n, "share": n / size} for n, a, b in apart(found, MIN_COVER * size)]
                 labels = sorted(last | {s["label"] for s in spans})
                 rows.append((doc, len(words), base, min(first, default=None), max(first, default=None), ",".join(sorted(last)), ",".join(labels), score, spans))
             types = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("words", pa.int64()), ("share", pa.float64())]))]
@@ -200,7 +218,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
 
     n_base counts the places where a phrase's words stand one after another; first_word and last_word are the smallest
     and largest of their starts. labels has the phrases' labels and those of templates covered to MIN_COVER; score is
-    the largest covered share of a template. A null or empty text has no words, no labels and score 0.
+    the largest covered share of a template. spans has every place where a template is covered to MIN_COVER. A null or empty text has no words, no labels and score 0.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan_batches(templates, phrases), SCHEMA)
 
