@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a new local one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all run on one machine, as in tests, a new local one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="weekloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -53,6 +56,29 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in so many rows is hot; there are fewer hot keys than that.
+HOT = 1000
+#: Parts among which a hot key's rows are dealt out.
+DEALT = 256
+
+
+def joined(rows: DataFrame, sums: DataFrame, keys: list[str], count: str, total: int, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with sums, a written table of one row for each key, by plain equality; hot keys are split.
+
+    count names sums' column of how many of the total rows have the key. Keys with more than one in HOT of the rows, of
+    which there are fewer than HOT, are broadcast as keys alone; their rows are dealt out by a hash of the column
+    spread, and meet copies of sums' row. So no task gets more than its share of a key. Null keys meet nothing.
+    """
+    hot = sums.where(F.col(count) * HOT > total)
+    names = [f"hot_{k}" for k in keys]
+    known = F.broadcast(hot.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit(True).alias("is_hot")))
+    met = reduce(lambda c, x: c & x, [rows[k] == known[n] for k, n in zip(keys, names, strict=True)])
+    dealt = rows.join(known, met, "left").withColumn("dealt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(spread), F.lit(DEALT))).otherwise(F.lit(0))).drop(*names, "is_hot")
+    copies = F.when(F.col(count) * HOT > total, F.lit(DEALT - 1)).otherwise(0)
+    every = sums.withColumn("dealt", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long")))).drop(count)
+    return dealt.join(every, [*keys, "dealt"], how).drop("dealt")
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file, without importing what describes them on the executors."""
     import public_tokenizers

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _DRAWN = np.random.default_rng(20).integers(1, 1 << 63, 257, np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE = _DRAWN[:256].copy()
@@ -21,17 +22,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n at least; those of very long texts aren't kept."""
+    if n <= len(_POWERS[0]):
+        return _POWERS
+    made = [np.cumprod(np.full(n, x, np.uint64)) for x in (_BASE, _BACK)]
+    if n <= 1 << 21:
+        _POWERS[:] = made
+    return made
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words between ASCII white space of all texts, A-Z as a-z, and the number of words of each text."""
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    if len(joined) > len(_POWERS[0]):
-        _POWERS[:] = [np.cumprod(np.full(len(joined), x, np.uint64)) for x in (_BASE, _BACK)]
+    powers = _powers(len(joined))
     space = _SPACE[joined]
     edge = np.diff(space.view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_VALUE[joined] * _POWERS[0][: len(joined)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * _POWERS[1][starts])
+    np.cumsum(_VALUE[joined] * powers[0][: len(joined)], out=sums[1:])
+    words = mix((sums[ends] - sums[starts]) * powers[1][starts])
     upto = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))
     return words, np.diff(upto, prepend=0)
 
@@ -68,3 +78,11 @@ def chunks(texts: list[bytes], chars: int = 1_000_000) -> Iterator[tuple[int, in
             upto += 1
         yield at, upto
         at = upto
+
+
+def text_chunks(batch: pa.RecordBatch, column: str = "text", rows: int = 500) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, texts) of runs of a batch's rows; a null text is empty. Few texts are taken out of the batch at a time."""
+    for at in range(0, batch.num_rows, rows):
+        texts = [x or b"" for x in batch.column(column).slice(at, rows).cast(pa.binary()).to_pylist()]
+        for a, b in chunks(texts):
+            yield at + a, at + b, texts[a:b]

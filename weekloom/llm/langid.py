@@ -4,7 +4,7 @@ A language is a distribution over the pieces of a fixed public vocabulary. A wor
 segmentations into pieces, which the forward algorithm gives; a text's is the product over its words (runs of letters,
 lower-cased). Distributions are learned by expectation maximisation from words counted by language: Spark counts the
 words, each round's expected counts are made where the words are, and only the sums, at most one row for each piece and
-language, come to the driver. Texts are scored where they are read; workers keep the scores of words they have seen.
+language, come to the driver. Texts are scored where they are read; workers keep the scores of a bounded number of words.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,16 @@ from weekloom.llm.common import tokenizer_path, written
 VOCABULARY = "piece_bpe_32k.model"
 #: Bound of the learning sample: documents of each language, chosen by hash, and rounds of learning.
 TRAIN_DOCS, ROUNDS = 1000, 3
-#: Letters of a word that are segmented together; longer runs are scored in runs of this length.
+#: Languages that are learned at most: those of most documents.
+LANGUAGES = 200
+#: Letters up to which words are segmented many at a time; longer ones are segmented one by one, with equal results.
 LONGEST = 32
-#: Probability of a letter that no piece covers, and words a worker keeps.
-RARE, CACHE = 1e-7, 600_000
+#: Probability of a letter that no piece covers.
+RARE = 1e-7
+#: Words (of LONGEST letters at most) whose scores a worker keeps, some 300 bytes each; when half of them are taken it starts anew.
+CACHE = 240_000
+#: Rows of a batch that are taken at a time.
+ROWS = 500
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,6 +49,14 @@ class Model:
     prior: np.ndarray  # log shares of the languages
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    @cached_property
+    def trie(self) -> Trie:
+        return Trie(self.pieces)
+
+    def __getstate__(self) -> dict:
+        """Workers build the trie from the pieces."""
+        return {k: v for k, v in self.__dict__.items() if k != "trie"}
+
     def __eq__(self, other: object) -> bool:
         return isinstance(other, Model) and self.key == other.key
 
@@ -61,46 +75,65 @@ def vocabulary(path: str) -> dict[str, int]:
 
 
 def count_words(text: str | None) -> Counter:
+    """Words of a text: runs of letters, lower-cased. Numbers that are no digits, as in ½ or ², part words."""
     out = Counter(_WORD.findall(text.lower())) if text else Counter()
-    for x in [x for x in out if len(x) > LONGEST]:
+    for x in [x for x in out if not x.isalpha()]:
         n = out.pop(x)
-        for a in range(0, len(x), LONGEST):
-            out[x[a : a + LONGEST]] += n
+        for y in "".join(c if c.isalpha() else " " for c in x).split():
+            out[y] += n
     return out
 
 
-def _lattice(words: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Trie:
+    """The vocabulary's pieces letter by letter, to be walked by arrays: one sorted number for each (node, letter)."""
+
+    def __init__(self, pieces: dict[str, int]):
+        node = {"": 0} | {x: k for k, x in enumerate(pieces, 1)}
+        edges = np.array([node[x[:-1]] << 21 | ord(x[-1]) for x in pieces], np.int64)
+        order = np.argsort(edges)
+        self.edges, self.to = edges[order], order + 1
+        self.piece = np.array([0, *pieces.values()], np.int64)
+        self.marked = node.get("▁", -1)
+
+    def step(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Where each letter leads from each node; 0: nowhere."""
+        key = nodes << 21 | letters
+        at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+        return np.where(self.edges[at] == key, self.to[at], 0)
+
+
+def _lattice(words: list[str], trie: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word, from, to, piece) of every piece in every word, by to; a first piece may carry the word-start mark. Piece -1: no piece, one letter."""
-    arcs: list[int] = []
-    upto: list[int] = []
-    get, add = pieces.get, arcs.append
-    for x in words:
-        n = len(x)
-        y = "▁" + x
-        for b in range(1, n + 1):
-            k = get(y[: b + 1])
-            if k is None:
-                break
-            if k:
-                add(k << 16 | b)
-        for a in range(n):
-            found = False
-            for b in range(a + 1, n + 1):
-                k = get(x[a:b])
-                if k is None:
-                    break
-                if k:
-                    add(k << 16 | a << 8 | b)
-                    found = found or b == a + 1
-            if not found:
-                add(a << 8 | a + 1)
-        upto.append(len(arcs))
-    packed = np.array(arcs, np.int64)
-    to = packed & 255
-    by = np.argsort(to, kind="stable")
-    packed = packed[by]
-    word = np.repeat(np.arange(len(words)), np.diff(upto, prepend=0))[by]
-    return word, packed >> 8 & 255, packed & 255, (packed >> 16) - 1
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.repeat(np.arange(len(words)), size)
+    first = np.cumsum(size) - size
+    place = np.arange(len(letters)) - first[word]
+    left = size[word] - place
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def walk(at: np.ndarray, node: np.ndarray, marked: bool) -> None:
+        n = 0
+        while len(at):
+            live = left[at] > n
+            at, node = at[live], trie.step(node[live], letters[at[live] + n])
+            piece = trie.piece[node]
+            if n == 0 and not marked:
+                alone = at[piece == 0]
+                found.append((word[alone], place[alone], place[alone] + 1, np.full(len(alone), -1)))
+            n += 1
+            ends = at[piece > 0]
+            found.append((word[ends], place[ends], place[ends] + n, piece[piece > 0] - 1))
+            at, node = at[node > 0], node[node > 0]
+
+    if len(trie.edges) and len(letters):
+        walk(np.arange(len(letters)), np.zeros(len(letters), np.int64), False)
+        if trie.marked > 0:
+            begins = first[size > 0]
+            walk(begins, np.full(len(begins), trie.marked), True)
+    w, a, b, k = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+    by = np.argsort(b, kind="stable")
+    return w[by], a[by], b[by], k[by]
 
 
 def _sum_into(target: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -110,7 +143,7 @@ def _sum_into(target: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 
 def forward(words: list[str], model: Model) -> tuple[np.ndarray, tuple]:
     """Sums over segmentations at each place (words x places x languages), and the arcs with their probabilities."""
-    w, a, b, k = _lattice(words, model.pieces)
+    w, a, b, k = _lattice(words, model.trie)
     p = np.where((k >= 0)[:, None], model.p[np.maximum(k, 0)], RARE)
     alpha = np.zeros((len(words), max(map(len, words), default=0) + 1, len(model.languages)))
     alpha[:, 0] = 1.0
@@ -142,6 +175,50 @@ def expected_counts(words: list[str], counts: np.ndarray, model: Model) -> np.nd
     return out
 
 
+def _arcs(word: str, pieces: dict[str, int]) -> Iterator[list[tuple[int, int]]]:
+    """For each place, from 1 on, the (place before, piece or -1) of the pieces that end there; as _lattice() has them, for a word of any length."""
+    longest = max(map(len, pieces), default=1)
+    marked = "▁" + word[:longest]
+    for b in range(1, len(word) + 1):
+        own = [(a, k - 1) for a in range(max(0, b - longest), b) if (k := pieces.get(word[a:b]))]
+        if not own or own[-1][0] != b - 1:
+            own.append((b - 1, -1))
+        if b < longest and (k := pieces.get(marked[: b + 1])):
+            own.append((0, k - 1))
+        yield own
+
+
+def long_word(word: str, model: Model, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log of the sum over segmentations for each language, and with counts (by language) the expected counts of pieces.
+
+    As forward() and expected_counts(), but in logarithms, so that a word may have any length. Scoring keeps as many
+    places as the longest piece has letters.
+    """
+    lp, rare = np.log(model.p), np.full(len(model.languages), np.log(RARE))
+    longest = max(map(len, model.pieces), default=1)
+    alpha, kept = {0: np.zeros(len(model.languages))}, []
+    for b, own in enumerate(_arcs(word, model.pieces), 1):
+        each = np.array([alpha[a] + (lp[k] if k >= 0 else rare) for a, k in own])
+        top = each.max(0)
+        alpha[b] = top + np.log(np.exp(each - top).sum(0))
+        if counts is None:
+            alpha.pop(b - longest, None)
+        else:
+            kept.append(own)
+    total = alpha[len(word)]
+    if counts is None:
+        return total, None
+    out, beta = np.zeros_like(model.p), np.full((len(word) + 1, len(model.languages)), -np.inf)
+    beta[-1] = 0.0
+    for b in range(len(word), 0, -1):
+        for a, k in kept[b - 1]:
+            onward = beta[b] + (lp[k] if k >= 0 else rare)
+            beta[a] = np.logaddexp(beta[a], onward)
+            if k >= 0:
+                out[k] += counts * np.exp(alpha[a] + onward - total)
+    return total, out
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents whose crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -171,9 +248,14 @@ def _expected_batches(model: Model):
         total = np.zeros_like(model.p)
         for batch in batches:
             words = batch.column("word").to_pylist()
-            counts = np.array([batch.column(f"n{j}").to_numpy(zero_copy_only=False) for j in range(len(model.languages))], float).T
-            for at in range(0, len(words), 4000):
-                total += expected_counts(words[at : at + 4000], counts[at : at + 4000], model)
+            counts = np.array([batch.column(f"n{j}").to_numpy(zero_copy_only=False) for j in range(len(model.languages))], float).T.reshape(len(words), -1)
+            short = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) <= LONGEST)
+            for at in range(0, len(short), 4000):
+                own = short[at : at + 4000]
+                total += expected_counts([words[k] for k in own], counts[own], model)
+            for k, x in enumerate(words):
+                if len(x) > LONGEST:
+                    total += long_word(x, model, counts[k])[1]
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
@@ -183,11 +265,12 @@ def _expected_batches(model: Model):
 def learn(docs: DataFrame, path: str | None = None, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model:
     """Learns from text and lang of rows that are not held out: of each language's, train_docs chosen by a hash of the id.
 
-    Rows without text or lang teach nothing. Without any language the model knows none.
+    Rows without text or lang teach nothing. Of more than LANGUAGES values of lang, those of most rows are learned.
+    Without any language the model knows none.
     """
     pieces = vocabulary(path or tokenizer_path(VOCABULARY))
     rows = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), pieces, np.zeros((0, 0)), np.zeros(0))
@@ -206,36 +289,64 @@ def learn(docs: DataFrame, path: str | None = None, train_docs: int = TRAIN_DOCS
     return model
 
 
+class _Places(dict):
+    """Words and the rows of their scores; new words get rows as they are asked for. Long words have none."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > LONGEST:
+            return -1
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Scorer:
-    """Scores texts and keeps the scores of words it has seen, up to CACHE of them."""
+    """Scores texts and keeps the scores of short words it has seen, up to CACHE of them."""
 
     def __init__(self, model: Model):
-        self.model, self.place, self.scores = model, {}, np.zeros((0, len(model.languages)))
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.place) + len(words - self.place.keys()) > CACHE:
-            self.place, self.scores = {}, self.scores[:0]
-        new = sorted(words - self.place.keys(), key=len)
-        parts = [self.scores]
-        for at in range(0, len(new), 4000):
-            own = new[at : at + 4000]
+        self.model, self.place = model, _Places()
+        self.scores = np.zeros((CACHE, len(model.languages)))
+
+    def _learn(self) -> None:
+        new, self.place.new = self.place.new, []
+        n = len(self.place) - len(new)
+        if len(self.place) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros((len(self.place), len(self.model.languages)))])
+        order = sorted(range(len(new)), key=lambda k: len(new[k]))
+        for at in range(0, len(order), 4000):
+            rows = np.array(order[at : at + 4000])
+            own = [new[k] for k in rows.tolist()]
             alpha, _ = forward(own, self.model)
-            parts.append(np.log(np.maximum(alpha[np.arange(len(own)), np.fromiter(map(len, own), np.int64, len(own))], 1e-300)))
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.scores = np.concatenate(parts)
+            ends = alpha[np.arange(len(own)), np.fromiter(map(len, own), np.int64, len(own))]
+            self.scores[n + rows] = np.log(np.maximum(ends, 1e-300))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, values = [], []
-        for lo in range(0, len(texts), 500):
-            some = [count_words(x) for x in texts[lo : lo + 500]]
-            if self.model.languages:
-                self._learn({w for c in some for w in c})
-            for c in some:
-                if not c or not self.model.languages:
+        """Language and share of each text. New words are learned together, of a bounded number of texts."""
+        langs, values, at = [], [], 0
+        while at < len(texts):
+            if len(self.place) > CACHE // 2:
+                self.place, self.scores = _Places(), self.scores[:CACHE]
+            place, some = self.place, []
+            while at < len(texts) and len(place.new) < CACHE // 2:
+                counts = count_words(texts[at])
+                some.append((counts, [place[x] for x in counts] if self.model.languages else []))
+                at += 1
+            self._learn()
+            for counts, rows in some:
+                if not rows:
                     langs.append(UNKNOWN)
                     values.append(0.0)
                     continue
-                total = self.model.prior + np.fromiter(c.values(), float, len(c)) @ self.scores[[self.place[w] for w in c]]
+                n = np.fromiter(counts.values(), float, len(counts))
+                if -1 in rows:
+                    total = self.model.prior + sum(k * long_word(x, self.model)[0] for x, k in counts.items() if len(x) > LONGEST)
+                    rows = np.array(rows)
+                    total = total + n[rows >= 0] @ self.scores[rows[rows >= 0]]
+                else:
+                    total = self.model.prior + n @ self.scores[rows]
                 best = int(total.argmax())
                 langs.append(self.model.languages[best])
                 values.append(float(1 / np.exp(total - total[best]).sum()))
@@ -252,8 +363,10 @@ def _score_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for batch in batches:
-            langs, values = scorer(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(values, pa.float64())], ["doc_id", "lang_pred", "score"])
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                langs, values = scorer(some.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(values, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -262,8 +375,10 @@ def _keep_batches(model: Model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for batch in batches:
-            langs, values = scorer(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN and v >= least for x, v in zip(langs, values, strict=True)], pa.bool_()))
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                langs, values = scorer(some.column("text").to_pylist())
+                yield some.filter(pa.array([x != UNKNOWN and v >= least for x, v in zip(langs, values, strict=True)], pa.bool_()))
 
     return run
 
@@ -274,11 +389,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row, by a model learned from the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score for each row, by a model learned from the rows that are not held out.
+
+    Each row is judged by its own text, so repeated rows get equal results; a null doc_id isn't held out. Texts and
+    words of any length are read whole. An empty table gives no rows. Other columns than doc_id, text and lang are not
+    read, whatever their names. Of equally likely languages the first in alphabetical order is given.
+    """
     return predict(docs, learn(docs, **options)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, model: Model | None = None, least: float = 0.5) -> DataFrame:
-    """docs, all columns, without the rows whose text is null or has no letter, or of which no language is likelier than not. A model without languages keeps all."""
+    """docs, all columns, without the rows whose text is null or has no letter, or of which no language is likelier than not.
+
+    A model without languages keeps all. Repeated rows are judged alike; an empty table stays empty.
+    """
     model = model or learn(docs)
     return docs.mapInArrow(_keep_batches(model, least), docs.schema) if model.languages else docs

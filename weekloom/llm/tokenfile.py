@@ -17,17 +17,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekloom.llm.common import new_path, tokenizer_path
+from weekloom.llm.hashing import text_chunks
 
 BLOCK, PACK = 256, 1 << 19
 MAX_BITS = 18
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces whose ids a worker keeps (some 30 bytes each); when they are more, it starts anew.
-CACHE = 1_500_000
+#: Pieces whose ids a worker keeps (some 20 bytes each), and ids of these (4 bytes each); when they are more, it starts anew.
+CACHE, CACHED_IDS = 600_000, 4_000_000
 
 IDS_SCHEMA = "doc_id long, n_tokens long, wide boolean, ids binary"
 PACK_SCHEMA = "part int, pack int, first long, n_tokens long, doc_ids array<long>, sizes array<int>, checkpoints array<long>, bits binary"
@@ -81,7 +82,7 @@ class Encoder:
         return self.index[at], self.hashes[at] == hashes
 
     def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        if len(self.hashes) + len(pieces) > CACHE:
+        if len(self.hashes) + len(pieces) > CACHE or len(self.flat) > CACHED_IDS:
             self.hashes, self.index = self.hashes[:0], self.index[:0]
             self.begin, self.length, self.flat = self.begin[:0], self.length[:0], self.flat[:0]
         ids = self._encode(pieces)
@@ -138,7 +139,7 @@ class Encoder:
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             new = first[~known]
             pieces = [joined[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            if len(self.hashes) + len(pieces) > CACHE and known.any():  # all of this batch are encoded into the emptied cache
+            if (len(self.hashes) + len(pieces) > CACHE or len(self.flat) > CACHED_IDS) and known.any():  # all of this batch are encoded into the emptied cache
                 new = first
                 pieces = [joined[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
                 self._add(distinct, pieces)
@@ -159,6 +160,8 @@ class Encoder:
                 parts[k] = np.array([*ids, END_ID], np.uint32)
                 sizes[k] = len(ids)
             out = np.concatenate(parts)
+        if len(self.powers) > 1 << 21:  # those of a very long text
+            self.powers = self.inverse = np.ones(0, np.uint64)
         return out, sizes + 1
 
 
@@ -172,14 +175,8 @@ def _encode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            at = 0
-            while at < len(texts):
-                upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars + len(texts[upto]) < 1_000_000):
-                    chars += len(texts[upto])
-                    upto += 1
-                ids, sizes = encoder.encode(texts[at:upto])
+            for at, upto, texts in text_chunks(batch):
+                ids, sizes = encoder.encode(texts)
                 ends = np.cumsum(sizes)
                 wide, blobs = [], []
                 for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
@@ -187,7 +184,6 @@ def _encode_batches(path: str):
                     wide.append(bool(own.max() > 0xFFFF))
                     blobs.append(own.astype("<u4" if wide[-1] else "<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at:upto].cast(pa.int64()), pa.array(sizes), pa.array(wide), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "wide", "ids"])
-                at = upto
 
     return run
 
@@ -342,11 +338,24 @@ def _pack_batches(lengths: np.ndarray):
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, max_bits: int = MAX_BITS) -> None:
-    """Writes path/code (id, bits), path/packs, in ascending doc_id order over parts and packs.
+def _dealt(ids: DataFrame, shuffled: int | None) -> DataFrame:
+    """ids in the order of the file: by doc_id, or shuffled by a number, so that copies of a document stand apart."""
+    ids = ids.withColumn("h", F.xxhash64("ids"))
+    if shuffled is None:
+        return ids.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
+    # copies are equal, so that any numbering of them gives the same file
+    copy = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("n_tokens"))
+    place = F.md5(F.concat_ws("|", F.lit(f"tokens {shuffled}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), "h", copy.cast("string")))
+    return ids.withColumn("place", place).repartitionByRange("place").sortWithinPartitions("place")
 
-    Rows without a doc_id come first; rows of one doc_id are ordered by their ids' bytes. An empty table gives no packs.
-    Only doc_id and text are read. The code (at most one number per id of the vocabulary) goes through the driver.
+
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, max_bits: int = MAX_BITS, shuffled: int | None = None) -> None:
+    """Writes path/code (id, bits), path/packs, in ascending doc_id order over parts and packs, or with a number for
+    shuffled in an order that a hash of that number, doc_id, ids and copy gives.
+
+    Rows without a doc_id come first; rows of one doc_id are ordered by a hash of their ids; equal rows are coded each.
+    Texts of any length are coded whole. An empty table gives no packs. Only doc_id and text are read. The code (at most
+    one number per id of the vocabulary) goes through the driver.
     """
     spark = docs.sparkSession
     waiting = new_path(spark, "ids")
@@ -358,8 +367,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, max_bits: in
         counts[r.id] = r.n
     lengths = code_lengths(counts, max_bits)
     spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths) if n], "id long, bits int").coalesce(1).write.parquet(f"{path}/code")
-    dealt = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    dealt.mapInArrow(_pack_batches(lengths), PACK_SCHEMA).write.option("compression", "none").parquet(f"{path}/packs")
+    _dealt(ids, shuffled).select("doc_id", "n_tokens", "wide", "ids").mapInArrow(_pack_batches(lengths), PACK_SCHEMA).write.option("compression", "none").parquet(f"{path}/packs")
 
 
 def _decode_batches(lengths: np.ndarray):
@@ -400,8 +408,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def report(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
+def report(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, shuffled: int | None = None) -> DataFrame:
     """Writes docs to path (by default in the shared folder) and gives doc_id, start, n_tokens, ids_crc32 as read from there."""
     path = path or new_path(docs.sparkSession, "tokens")
-    write(docs, path, tokenizer)
+    write(docs, path, tokenizer, shuffled=shuffled)
     return read(docs.sparkSession, path, with_ids=False)
