@@ -8,8 +8,8 @@ full sets.
 Texts with equal sets are one class, and only its representative goes on. In a bucket, all members are first compared
 with one centre, the member that meets most others in all its buckets; links make components, and a new centre is
 taken among those outside the first component as long as many pairs lie between their components. What is left are
-pairs between different components. Where a bucket has few of them for each member, each is compared. Where it has
-many, as in a group whose outer members are just too far from all others, sets are seen as differences to the bucket's
+pairs between different components. Where a bucket has few of them for each member, members outside its largest
+component, of which there are few then, are compared with all others. Where it has many, as in a group whose outer members are just too far from all others, sets are seen as differences to the bucket's
 centre, and only pairs with enough rare differences in common are compared (see _about_centres); that is exact. Pairs
 within a component are never needed, so that a group of copies costs as many pairs as it has members and no link
 between groups is lost. A pair at the threshold meets in no bucket with probability
@@ -19,7 +19,7 @@ between groups is lost. A pair at the threshold meets in no bucket with probabil
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weekloom.llm.common import written
 from weekloom.llm.components import components
-from weekloom.llm.hashing import chunks, mix, shingle_sets
+from weekloom.llm.hashing import chunks, mix, shingle_sets, text_chunks
 
 BANDS, ROWS, SKETCH_WORDS = 48, 6, 16
 #: Estimated similarity below the threshold at which a sketch still lets candidates through: 4.8 standard deviations.
@@ -39,7 +39,9 @@ DIRECT = 8
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
-SIGNATURE_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
+#: Parts among which the members of one centre are dealt out.
+PARTS = 256
+SIGNATURE_SCHEMA = "doc_id long, t long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
@@ -66,10 +68,9 @@ def _signature_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = np.arange(BANDS, dtype=np.uint64)
         for batch in batches:
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b, texts in text_chunks(batch):
                 n, h1, h2, bands, sketches = [], [], [], [], []
-                for own in shingle_sets(texts[a:b], width):
+                for own in shingle_sets(texts, width):
                     n.append(len(own))
                     h1.append(own.sum(dtype=np.uint64) if len(own) else np.uint64(0))
                     h2.append(np.bitwise_xor.reduce(mix(own)) if len(own) else np.uint64(0))
@@ -85,29 +86,28 @@ def _signature_batches(width: int):
                         sketches.append(np.empty(0, np.int64))
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (bands, sketches)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), *lists],
-                    ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"],
+                    [batch.column("doc_id")[a:b].cast(pa.int64()), batch.column("t")[a:b], pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), *lists],
+                    ["doc_id", "t", "n_shingles", "h1", "h2", "bands", "sketch"],
                 )
 
     return run
 
 
-def _confirm_batches(width: int, percent: int):
+def _confirm_batches(width: int, percent: int, rows: int = 250):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            texts = {}
-            for side in ("text_a", "text_b"):
-                texts |= dict.fromkeys(x or b"" for x in batch.column(side).cast(pa.binary()).to_pylist())
-            distinct, sets = list(texts), {}
-            for lo, hi in chunks(distinct):
-                sets |= zip(distinct[lo:hi], shingle_sets(distinct[lo:hi], width), strict=True)
-            linked = []
-            for x, y in zip(batch.column("text_a").cast(pa.binary()).to_pylist(), batch.column("text_b").cast(pa.binary()).to_pylist(), strict=True):
-                x, y = sets[x or b""], sets[y or b""]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                sides = [[x or b"" for x in batch.column(c).cast(pa.binary()).to_pylist()] for c in ("text_a", "text_b")]
+                distinct, sets = list(dict.fromkeys(sides[0] + sides[1])), {}
+                for lo, hi in chunks(distinct):
+                    sets |= zip(distinct[lo:hi], shingle_sets(distinct[lo:hi], width), strict=True)
+                linked = []
+                for x, y in zip(*sides, strict=True):
+                    x, y = sets[x], sets[y]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
@@ -118,25 +118,28 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
 
 
 def _difference_batches(width: int):
+    """Rows come with each centre's own row before its members'."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, held = None, np.empty(0, np.uint64)
+        held = np.empty(0, np.uint64)
         for batch in batches:
-            own, base = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text", "text_c"))
-            n, sizes, differences = [], [], []
-            for lo, hi in chunks(own):
-                for k, shingles in enumerate(shingle_sets([x or b"" for x in own[lo:hi]], width), lo):
-                    if base[k] != centre:
-                        centre, held = base[k], next(iter(shingle_sets([base[k] or b""], width)))
+            for lo, hi, texts in text_chunks(batch):
+                member = batch.column("member")[lo:hi]
+                n, sizes, differences = [], [], []
+                for is_member, shingles in zip(member.to_pylist(), shingle_sets(texts, width), strict=True):
+                    if not is_member:
+                        held = shingles
+                        continue
                     n.append(len(shingles))
                     sizes.append(len(held))
                     differences.append(np.setxor1d(shingles, held, assume_unique=True).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, differences)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *differences])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("centre", "rep", "component")), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), lists], ["centre", "rep", "component", "n", "n_c", "differs"])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, differences)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *differences])))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi].filter(member) for c in ("centre", "rep", "component")), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), lists], ["centre", "rep", "component", "n", "n_c", "differs"])
 
     return run
 
 
-def _about_centres(docs: DataFrame, around: DataFrame, width: int, percent: int) -> DataFrame:
+def _about_centres(texts_of: Callable[[DataFrame], DataFrame], around: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components around one centre that can be linked; around has (centre, rep, component).
 
     A link of sets x and y means (100 + P) * |x ^ y| <= (100 - P) * (|x| + |y|), ^ being symmetric difference and P percent.
@@ -148,9 +151,11 @@ def _about_centres(docs: DataFrame, around: DataFrame, width: int, percent: int)
     still give the number. Nothing that can be linked is left out, and nothing is capped.
     """
     up, down = 100 + percent, 100 - percent
-    texts = docs.join(around.select(F.explode(F.array("centre", "rep")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    both = around.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("text_c")), "centre")
-    both = both.select("centre", "rep", "component", "text", "text_c")
+    texts = texts_of(around.select(F.explode(F.array("centre", "rep")).alias("rep")).distinct())
+    dealt = around.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)))
+    heads = dealt.select("centre", "part").distinct().join(texts.withColumnRenamed("rep", "centre"), "centre").select("centre", F.col("centre").alias("rep"), F.lit(0).cast("long").alias("component"), "part", F.lit(False).alias("member"), "text")
+    members = dealt.join(texts, "rep").select("centre", "rep", "component", "part", F.lit(True).alias("member"), "text")
+    both = heads.unionByName(members).repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
     schema = "centre long, rep long, component long, n long, n_c long, differs array<long>"
     sets = both.mapInArrow(_difference_batches(width), schema)
     sets = written(sets.withColumn("d", F.size("differs").cast("long")).where("d > 0"), "differences")
@@ -175,35 +180,45 @@ def _about_centres(docs: DataFrame, around: DataFrame, width: int, percent: int)
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(signatures, class components): (doc_id, n_shingles, h1, h2) of each row, and (h1, h2, component) of each class.
+    """(signatures, class components): (doc_id, t, n_shingles, h1, h2) of each row, and (h1, h2, component) of each class.
 
-    Only doc_id and text are read. Rows without a doc_id get signatures and take no part in links.
+    Only doc_id and text are read; t is a hash of the text. A class is the texts of one set, and has a number of its
+    own, as one doc_id may have several texts; component is the smallest doc_id of the classes that can be reached.
+    Rows without a doc_id get signatures and take no part in links.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("t"))
     sig = written(docs.mapInArrow(_signature_batches(width), SIGNATURE_SCHEMA), "signatures")
     real = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = written(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = written(real.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), "nodes")
+    # numbers that Spark makes up are fixed once they are written
+    firsts = real.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    classes = written(firsts.select("h1", "h2", "first.doc_id", "first.t", F.monotonically_increasing_id().alias("rep")), "classes")
+    key = ["h1", "h2", "doc_id", "t"]
+    nodes = written(real.join(classes, key).groupBy(*key).agg(*[F.first(x).alias(y) for x, y in (("rep", "rep"), ("n_shingles", "n"), ("bands", "bands"), ("sketch", "sketch"))]).drop(*key), "nodes")
     placed = nodes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # tables that meet rows by hot keys are written first: between two plain exchanges, Spark splits such keys
+    shared = written(placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     met = written(placed.join(shared, "key"), "met")
     # the text that the others vary meets more of them than they meet one another: it is the best centre
     weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
     members = written(met.join(weight, "rep").select("key", "rep", "n", "weight"), "members")
-    centres = members.groupBy("key").agg(F.max_by("rep", "weight").alias("centre"))
+    centres = written(members.groupBy("key").agg(F.max_by("rep", "weight").alias("centre")), "centres")
 
     limit = most_bits(percent / 100 - SLACK)
     sketches = nodes.select("rep", "n", "sketch")
     far = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
 
+    def texts_of(reps: DataFrame) -> DataFrame:
+        """(rep, text) of the classes with these numbers."""
+        own = classes.join(reps, "rep", "left_semi").select("rep", "doc_id", "t")
+        return written(docs.join(own, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.first("rep").alias("rep"), F.first("text").alias("text")).select("rep", "text"), "texts")
+
     def compared(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
         near = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
         near = written(near.where(_alike(F.col("n_a"), F.col("n_b"), percent) & (far <= limit)).select("a", "b").distinct(), "near")
-        ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = docs.join(ids, "doc_id", "left_semi")
-        side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-        return written(near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm_batches(width, percent), "a long, b long").distinct(), "links")
+        texts = texts_of(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
+        return written(near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm_batches(width, percent), "a long, b long"), "links")
 
     pair = [F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")]
     tried = written(members.join(centres, "key").where("rep <> centre").select(*pair).distinct(), "tried")
@@ -214,51 +229,69 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
         state = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         per = state.groupBy("key", "component").agg(F.count("*").alias("c"), F.max("weight").alias("weight"))
         square = F.col("c") * F.col("c")
-        mixed = per.groupBy("key").agg(F.max_by("component", "weight").alias("first"), F.max_by("c", "weight").alias("c"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.sum(square).alias("own")).where("parts > 1")
+        mixed = per.groupBy("key").agg(
+            F.max_by("component", "weight").alias("first"), F.max_by("c", "weight").alias("c"), F.max_by("component", "c").alias("largest"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.sum(square).alias("own")
+        ).where("parts > 1")
         others = F.col("all") - F.col("c")
-        mixed = mixed.select("key", "first", ((F.col("all") * F.col("all") - F.col("own")) / 2 > DIRECT * F.col("all")).alias("large"), ((others * others - F.col("own") + square) / 2).alias("pairs"))
-        state = written(state.join(mixed, "key").select("key", "rep", "n", "weight", "component", "first", "large", "pairs"), "mixed")
+        mixed = written(mixed.select("key", "first", "largest", ((F.col("all") * F.col("all") - F.col("own")) / 2 > DIRECT * F.col("all")).alias("large"), ((others * others - F.col("own") + square) / 2).alias("pairs")), "parted")
+        state = written(state.join(mixed, "key").select("key", "rep", "n", "weight", "component", "first", "largest", "large", "pairs"), "mixed")
         large = state.where("large and component <> first")
         rows, between = large.groupBy("key").agg(F.count("*").alias("rows"), F.first("pairs").alias("pairs")).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if between <= DIRECT * rows or (open_pairs is not None and between > 0.7 * open_pairs):
             break
         open_pairs = between
-        second = large.groupBy("key").agg(F.max_by("rep", "weight").alias("centre"), F.max_by("component", "weight").alias("of"))
+        second = written(large.groupBy("key").agg(F.max_by("rep", "weight").alias("centre"), F.max_by("component", "weight").alias("of")), "second")
         star = large.join(second, "key").where("component <> of").select(*pair).distinct()
         star = written(star.join(tried, ["a", "b"], "left_anti"), "star")
         tried = tried.unionByName(star)
         found = found.unionByName(compared(star))
-    x, y = (state.where("not large").select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")]) for s in "ab")
-    rest = x.join(y, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
-    rest = rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    # few pairs between components of a bucket: at most some 16 members are outside its largest one, or 32 are in it at all
+    x, y = (z.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")], *own) for s, z, own in (("a", state.where("not large and component <> largest"), ["largest"]), ("b", state.where("not large"), [])))
+    once = (F.col("component_b") == F.col("largest")) | (F.col("rep_a") < F.col("rep_b"))
+    rest = x.join(y, "key").where((F.col("component_a") != F.col("component_b")) & once & _alike(F.col("n_a"), F.col("n_b"), percent))
+    rest = rest.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
     # buckets whose centres are linked with one heavier text share that one, so that sets are compared with few centres
     linked = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = linked.join(centres.select(F.col("centre").alias("a")).distinct(), "a", "left_semi").unionByName(centres.select(F.col("centre").alias("a"), F.col("centre").alias("b")).distinct())
-    lead = linked.join(weight.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("centre")).agg(F.max(F.struct("weight", "b"))["b"].alias("lead"))
-    around = state.where("large").select("key", "rep", "component").join(centres, "key").join(lead, "centre").where("rep <> lead").select(F.col("lead").alias("centre"), "rep", "component").distinct()
-    rest = rest.unionByName(_about_centres(docs, around, width, percent)).distinct().join(tried, ["a", "b"], "left_anti")
-    more = compared(rest)
+    lead = written(linked.join(weight.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("centre")).agg(F.max(F.struct("weight", "b"))["b"].alias("lead")), "leads")
+    around = state.where("large").select("key", "rep", "component").join(centres, "key").select("centre", "rep", "component").distinct()
+    around = written(around.join(lead, "centre").where("rep <> lead").select(F.col("lead").alias("centre"), "rep", "component").distinct(), "around")
+    if not around.isEmpty():
+        rest = rest.unionByName(_about_centres(texts_of, around, width, percent))
+    more = compared(rest.distinct().join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         comps = components(found.unionByName(more))
-    reached = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    return sig.select("doc_id", "n_shingles", "h1", "h2"), reached
+    parted = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "doc_id", "component")
+    low = written(parted.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low")), "lowest")
+    reached = parted.join(low, "component", "left").select("h1", "h2", F.coalesce("low", "doc_id").alias("component"))
+    return sig.select("doc_id", "t", "n_shingles", "h1", "h2"), reached
+
+
+def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    sig, reached = links(docs, width, percent)
+    own = sig.withColumn("linked", (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    return own.join(reached.withColumn("linked", F.lit(True)), ["h1", "h2", "linked"], "left").select(
+        "doc_id", "t", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept")
+    )
 
 
 def report(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     A null, empty or blank text has an empty set: it is its own component and kept. Rows of one doc_id with equal texts
-    get equal results; with other texts, each row gets the component of its text. Rows without a doc_id have no
-    component and are kept. An empty table gives no rows.
+    get equal results; with other texts, each row gets the component of its own text. Rows without a doc_id have no
+    component and are kept. Texts of any length are read whole. An empty table gives no rows. Other columns than doc_id
+    and text are not read, whatever their names.
     """
-    sig, reached = links(docs, width, percent)
-    own = sig.withColumn("linked", (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    return own.join(reached.withColumn("linked", F.lit(True)), ["h1", "h2", "linked"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept")
-    )
+    return _marked(docs, width, percent).drop("t")
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, with one document of each component."""
-    gone = written(report(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs, all columns, with one document of each component: the one with the smallest doc_id.
+
+    Rows go by doc_id and text, so that of two texts under one doc_id the one that is no copy stays. Equal rows of one
+    doc_id are one document and stay or go together. Rows without a doc_id, text or words stay.
+    """
+    gone = written(_marked(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("t").alias("__gone_text")).distinct(), "copies")
+    same = (docs["doc_id"].cast("long") == gone["__gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__gone_text"])
+    return docs.join(gone, same, "left_anti")
