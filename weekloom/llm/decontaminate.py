@@ -6,7 +6,7 @@ fingerprint. Fingerprints of the corpus meet those of the benchmark; what they h
 words, which is compared word by word. Items shorter than a window are one window each, with one gram of that length.
 
 The positions come from explode() and are probed inside one generated stage, kept small so that it is compiled; only
-hits and one row per document leave it. The benchmark's windows are counted first: up to MAX_BROADCAST they are broadcast, above that the
+hits and one row per document leave it. The benchmark's windows are measured first: up to MAX_BROADCAST bytes they are broadcast, above that the
 selected fingerprints are shuffled to find the documents that can hold a hit, and only these are extended.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from weekloom.llm.common import NOT_WORD, ascii_lower, split_words, written
 
 WINDOW, GRAM = 10, 5
-#: Windows (10 words each) of a benchmark that may be broadcast.
-MAX_BROADCAST = 500_000
+#: Bytes of a benchmark's windows, with their items' ids, that may be broadcast.
+MAX_BROADCAST = 64_000_000
 
 
 def _gram_hash(at: Column, size: int) -> Column:
@@ -73,8 +73,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     """(doc_id, text_hash, n_rows, n_words, n_hit, items): hit words and sorted ids of hitting items of each document.
 
     docs has doc_id and text, benchmark item_id and text; other columns are not touched. Null or empty texts have no
-    words. Equal rows are counted in n_rows; rows of one doc_id with other texts are judged each on its own. A
-    benchmark row without an item_id hits words but adds no id. With an empty benchmark nothing is hit.
+    words; texts of any length are read whole. Equal rows are counted in n_rows; rows of one doc_id with other texts are judged each on its own. A
+    benchmark row without an item_id hits words but adds no id. With an empty benchmark nothing is hit; without
+    documents there are no rows.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     windows = written(benchmark_windows(benchmark, window, gram), "windows")
@@ -83,7 +84,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     places = _places(docs, lengths, window, gram)
     fps = windows.select("k", "fp").distinct().withColumn("known", F.lit(True))
     words = F.when(F.col("i") >= 0, F.array_join(F.slice("w", F.col("i") + 1, F.col("k")), " "))
-    if windows.count() <= max_broadcast:
+    size = windows.agg(F.sum(F.octet_length("words") + F.size("items") * 32 + 64)).first()[0] or 0
+    if size <= max_broadcast:
         near = places.join(F.broadcast(fps), ["k", "fp"], "left").where("i < 0 or known")
         extended = near.select(*key, "n", "i", "k", words.alias("words")).join(F.broadcast(windows.drop("fp")), ["k", "words"], "left").where("i < 0 or items is not null")
     else:
@@ -120,7 +122,10 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_hit: int = 1, **options) -> DataFrame:
-    """docs, all columns, without the rows in which at least min_hit words are in benchmark windows."""
-    marked = docs.select("*", F.xxhash64("text").alias("__text"))
-    bad = written(hits(docs, benchmark, **options).where(F.col("n_hit") >= min_hit).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "contaminated")
-    return marked.join(bad, marked.doc_id.eqNullSafe(bad["__id"]) & (marked["__text"] == bad["__hash"]), "left_anti").drop("__text")
+    """docs, all columns, without the rows in which at least min_hit words are in benchmark windows.
+
+    Rows go by doc_id and text, so each row is judged by its own text. Names of other columns don't matter. Rows without
+    text stay; an empty table or benchmark changes nothing.
+    """
+    bad = written(hits(docs, benchmark, **options).where(F.col("n_hit") >= min_hit).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_text")), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs["text"]) == bad["__bad_text"]), "left_anti")

@@ -14,6 +14,9 @@ from weekloom.llm.common import written
 
 #: Sources whose rates may be broadcast (a name, a rate and a short list each).
 MAX_BROADCAST = 100_000
+#: Parts among which the rows of each source are dealt out when rates are joined by shuffle.
+PARTS = 64
+
 
 def hash_uniform(*parts: Column | str) -> Column:
     """52 bits of an md5 of the parts, in [0, 1); a null part counts as '~'."""
@@ -54,27 +57,25 @@ def _count(u: Column, rate: Column) -> Column:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, size: float = 1.0, seed: int = 1, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs, all columns, each row as often as drawn, with __copy (from 1) and __order, dealt out and sorted by __order.
 
-    Rates of the sources are counted first; up to max_broadcast sources they are broadcast, else joined by shuffle.
-    Rows of one doc_id draw the same number. Empty tables give empty mixes.
+    Rates of the sources are counted first; up to max_broadcast sources they are broadcast, else joined by shuffle, a
+    large source's rows by parts. Rows of one doc_id draw the same number, and so do those without one; they are told
+    apart by the text, where there is one, only in how they are dealt out. Repeated rows are drawn each. Columns of docs
+    named __copy or __order are replaced; other names don't matter. Texts aren't looked into. Empty tables give empty mixes.
     """
-    rates = written(source_rates(docs, weights, alpha, size), "rates").select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    rates = written(source_rates(docs, weights, alpha, size), "rates").select("source", "rate", F.greatest(F.lit(1), F.ceil(F.col("rate") / 500)).cast("int").alias("parts"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source"), F.col("doc_id").cast("string").alias("id"))
     if rates.count() <= max_broadcast:
-        rates = F.broadcast(rates)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / 500)).cast("int")
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda a, j: a + _count(hash_uniform(F.lit(str(seed)), F.col("doc_id"), j), F.col("__rate") / F.col("__parts"))
-    )
-    return (
-        docs.join(rates, docs.source.eqNullSafe(F.col("__source")))
-        .where("__rate > 0")
-        .withColumn("__parts", parts)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(0), drawn)))
-        .where("__copy > 0")
-        .withColumn("__order", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col("__copy").cast("string"))))
-        .drop("__source", "__rate", "__parts")
-        .repartition("__order")
-        .sortWithinPartitions("__order")
-    )
+        met = rows.join(F.broadcast(rates), rows.source.eqNullSafe(rates.source))
+    else:
+        dealt = rows.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+        every = rates.select("source", "rate", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+        met = dealt.join(every, dealt.source.eqNullSafe(every.source) & (F.col("deal") == F.col("part")))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, j: a + _count(hash_uniform(F.lit(str(seed)), F.col("id"), j), F.col("rate") / F.col("parts")))
+    copies = met.where("rate > 0").select("row", "id", F.explode(F.sequence(F.lit(0), drawn)).alias("copy")).where("copy > 0")
+    order = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.coalesce(F.col("id"), F.lit("~")), F.col("copy").cast("string")))
+    apart = F.xxhash64("row.text") if "text" in docs.columns else F.lit(0)
+    dealt = copies.withColumn("order", order).withColumn("apart", apart).repartition("order", "apart").sortWithinPartitions("order", "apart")
+    return dealt.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("__copy", "__order")], F.col("copy").alias("__copy"), F.col("order").alias("__order"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
