@@ -29,8 +29,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token file's rows: doc_id, start, n_tokens, ids_crc32."""
-    return tokenfile.report(docs)
+    """The token file's rows: doc_id, start, n_tokens, ids_crc32. The file is in shuffled order, a document's copies apart."""
+    return tokenfile.report(docs, shuffled=1)
 
 
 STAGES = [("language_id", known_language), ("near_dedup", one_of_each), ("decontaminate", without_benchmark), ("mix", mixed), ("token_file", token_file)]
