@@ -54,12 +54,12 @@ r as (select doc_id, count(distinct j) as n from (
 m as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
     cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
     cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, len(l) as n_lines, coalesce(r.n, 0) as n_repeat_words,
-    len(list_filter(list_distinct(w), lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], x))) as n_stop
+    len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], x))) as n_stop
   from d left join r using (doc_id)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and word_chars / n_words between 1.5 and 25 and n_symbols / word_chars between 0 and 0.5
-    and coalesce(n_dup_lines / nullif(n_lines, 0) between 0 and 0.7, true) and n_stop / sqrt(n_words) between 0.005 and 1 as kept
+  not base_failed and word_chars / n_words between 2.5 and 12 and n_symbols / word_chars between 0 and 0.1
+    and coalesce(n_dup_lines / nullif(n_lines, 0) between 0 and 0.5, true) and n_stop / n_words between 0.05 and 1 as kept
 from f
 """
 
