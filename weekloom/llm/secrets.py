@@ -2,8 +2,9 @@
 
 Candidates are long runs of key-like characters. Their features are length, shares and transitions of character
 classes, coverage by a dictionary of the corpus's own letter sequences, marks of the path, and neighbouring words. The
-forest learns from labelled findings; where no table of them is given, those that need no judgement are labelled by
-rule. Everything runs in built-in functions and the ML library of the JVM.
+forest learns from labelled findings: a table of judged values where one is given, else findings planted in texts made
+for it (labelled_findings), whose labels say what was planted and not what the features are. Everything runs in
+built-in functions and the ML library of the JVM.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from functools import reduce
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import SPACE, split_words, written
+from weekloom.llm.common import SPACE, joined, split_words, written
 
 MIN_LENGTH = 16
-#: Labelled findings that the forest learns from at most, chosen by hash.
-TRAIN_ROWS = 20_000
+#: Labelled findings that the forest learns from at most, chosen by hash; texts with planted findings, and words of the corpus in them.
+TRAIN_ROWS, PLANTED, WORDS = 20_000, 6_000, 300
 #: Letters of a dictionary entry, of which there are at most 26**4.
 GRAM = 4
 
@@ -30,6 +31,34 @@ NAMES = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|cr
 MADE_UP = r"(?i)(test|example|sample|mock|fixture|spec|doc)"
 CANDIDATE = r"[A-Za-z0-9_+/~-]{16,}={0,2}"
 
+#: Alphabets of keys; kinds of findings (label, prefix, alphabet or joint of words, least and most characters or words, suffix, contexts that fit).
+HEX, DIGITS = "0123456789abcdef", "0123456789"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "abcdefghijklmnopqrstuvwxyz"
+KINDS = (
+    (1, "AKIA", LETTERS[:26] + "234567", 16, 16, "", "any"),
+    (1, "ghp_", LETTERS + DIGITS, 36, 36, "", "any"),
+    (1, "sk_live_", LETTERS + DIGITS, 24, 32, "", "any"),
+    (1, "", HEX, 32, 64, "", "named"),
+    (1, "", HEX.upper(), 32, 64, "", "named"),
+    (1, "", LETTERS + DIGITS, 20, 48, "", "named"),
+    (1, "", LETTERS + DIGITS + "+/", 40, 43, "=", "named"),
+    (0, "", HEX, 40, 40, "", "plain"),
+    (0, "", HEX, 32, 64, "", "plain"),
+    (0, "", DIGITS, 16, 19, "", "plain"),
+    (0, "iVBORw0KGgo", LETTERS + DIGITS + "+/", 60, 120, "", "plain"),
+    (0, "", LETTERS + DIGITS, 20, 48, "", "made up"),
+    (0, "", "-_~", 16, 40, "", "plain"),
+    (0, "", "words", 3, 7, "", "any"),
+    (0, "", "Words", 3, 7, "", "any"),
+    (0, "", "WORDS", 3, 7, "", "any"),
+    (0, "", "words-", 4, 7, "", "any"),
+    (0, "", "words_", 4, 7, "", "any"),
+    (0, "", "words/", 4, 7, "", "any"),
+)
+NAMED = ('api_key = "{}"', "token: {}", "password={}", "export SECRET_KEY={}", "Authorization: Bearer {}", "secret = '{}'", '"access_token": "{}",', "auth_token = {}")
+PLAIN = ("commit {}", "sha256 {}", "see {} for", "id {}", "etag {}", "md5: {}", "{}", "revision = {}", "png;base64,{}")
+PATHS, MADE_UP_PATHS = ("src/app.py", "config/live.env", "deploy/values.yaml", "src0", "web"), ("tests/fixtures/a.json", "docs/example.md", "samples/b.txt")
+
 CLASSES = (("lower", "a-z"), ("upper", "A-Z"), ("digit", "0-9"))
 FEATURES = (
     ["length", "distinct_share", "longest_repeat", "vowel_turns", "coverage", "issued", "named", "assigned", "quoted", "made_up_path", "hex"]
@@ -53,22 +82,57 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     return runs.select("doc_id", F.col("word_no").cast("long"), F.col("run_no").cast("long"), "value", before.alias("before"), "after", "path")
 
 
-def dictionary(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): distinct texts that have the word (a to z, from GRAM letters on) outside of candidates. Longer runs than MIN_LENGTH - 1 letters are candidates themselves."""
+    words = F.split(F.lower(F.regexp_replace("text", CANDIDATE, " ")), r"[^a-z]+")
+    proper = F.array_distinct(F.filter(words, lambda w: F.length(w) >= GRAM))
+    texts = docs.where("text is not null").select(F.md5("text").alias("id"), proper.alias("words")).groupBy("id").agg(F.first("words").alias("words"))
+    return texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def dictionary(docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(gram): sequences of GRAM letters that words have more often than random letters would: a share of 1 / 26**GRAM of all, at least.
 
     A word counts once for each distinct text that has it, and what stands in candidates doesn't count. Random letters
     never reach that share, however large the corpus, and copies of texts change nothing.
     """
-    words = F.split(F.lower(F.regexp_replace("text", CANDIDATE, " ")), r"[^a-z]+")
-    proper = F.array_distinct(F.filter(words, lambda w: F.length(w).between(GRAM, 15)))
-    texts = docs.where("text is not null").select(F.md5("text").alias("id"), proper.alias("words")).groupBy("id").agg(F.first("words").alias("words"))
-    counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = word_counts(docs) if counts is None else counts
     grams = counts.select("n", F.explode(F.expr(f"transform(sequence(1, length(word) - {GRAM - 1}), i -> substring(word, i, {GRAM}))")).alias("gram"))
     n = written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     total = n.agg(F.sum("n")).first()[0] or 0
     return n.where(F.col("n") * 26**GRAM >= total).select("gram")
 
 
+def labelled_findings(spark: SparkSession, words: list[str], n: int = PLANTED, seed: int = 7) -> DataFrame:
+    """(doc_id, text, source, label): n texts with one planted finding each, of KINDS in turn, among the words given.
+
+    All choices come from hashes of a row's number and the seed. Keys are drawn letter by letter; findings of words are
+    joined from the words. Contexts of the kind "named" assign to a name of a secret, "plain" don't, "any" are either,
+    and what is "made up" is a key that is named, but stands in a path of tests or examples.
+    """
+    words = words or ["some", "other", "word"]
+    pick = lambda what, size: F.pmod(F.xxhash64(F.lit(f"{what} {seed}"), "doc_id"), size if isinstance(size, Column) else F.lit(size)).cast("int")
+    of = lambda what, values: F.get(F.array(*[F.lit(x) for x in values]), pick(what, len(values)))
+    kind = F.get(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("label", "prefix", "alphabet", "least", "most", "suffix", "context"), k, strict=True)]) for k in KINDS]), F.pmod(F.col("doc_id"), F.lit(len(KINDS))).cast("int"))
+    rows = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("kind", kind).select("doc_id", "kind.*").withColumn("size", F.col("least") + pick("size", F.col("most") - F.col("least") + 1))
+    each = lambda make: F.transform(F.sequence(F.lit(1), F.col("size")), make)
+    drawn = lambda i: F.xxhash64(F.lit(f"value {seed}"), "doc_id", i)
+    letters = F.array_join(each(lambda i: F.substring(F.col("alphabet"), (F.pmod(drawn(i), F.length("alphabet")) + 1).cast("int"), F.lit(1))), "")
+    some = each(lambda i: F.get(F.array(*[F.lit(x) for x in words]), F.pmod(drawn(i), F.lit(len(words))).cast("int")))
+    joined_words = F.call_function("array_join", some, F.substring("alphabet", 6, 1))
+    cased = F.when(F.col("alphabet").startswith("W"), F.initcap(joined_words)).otherwise(joined_words)
+    cased = F.when(F.col("alphabet").startswith("WO"), F.upper(joined_words)).otherwise(cased)
+    value = F.concat("prefix", F.when(F.lower("alphabet").startswith("words"), cased).otherwise(letters), "suffix")
+    named = F.col("context").isin("named", "made up") | ((F.col("context") == "any") & (pick("named", 2) == 0))
+    context = F.when(named, of("context", NAMED)).otherwise(of("context", PLAIN))
+    around = lambda what: F.concat_ws(" ", of(what, words), of(what + " too", words))
+    text = F.concat_ws(" ", around("before"), F.replace(context, F.lit("{}"), value), around("after"))
+    # other findings of words may stand in such paths as well
+    made_up = (F.col("context") == "made up") | ((F.col("label") == 0) & (pick("path", 4) == 0))
+    path = F.when(made_up, of("which", MADE_UP_PATHS)).otherwise(of("which", PATHS))
+    return rows.select("doc_id", text.alias("text"), path.alias("source"), F.col("label").cast("double").alias("label"))
+
+
 def _features() -> dict[str, Column]:
     v, n = F.col("value"), F.length("value").cast("double")
     count = lambda pattern: F.regexp_count(v, F.lit(pattern)).cast("double")
@@ -92,45 +156,67 @@ def _features() -> dict[str, Column]:
 
 
 def featured(found: DataFrame, entries: DataFrame) -> DataFrame:
-    """The findings with FEATURES. entries, at most 26**GRAM rows, is broadcast; coverage is worked out once for each value."""
-    grams = found.select("value").distinct().select("value", F.explode(F.expr(f"transform(sequence(1, length(value) - {GRAM - 1}), i -> lower(substring(value, i, {GRAM})))")).alias("gram"))
-    cover = grams.join(F.broadcast(entries.withColumn("known", F.lit(1.0))), "gram", "left").groupBy("value").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("coverage"))
-    return found.join(cover, "value").withColumns(_features())
+    """The findings, a table, with FEATURES. entries, at most 26**GRAM rows, is broadcast; coverage is worked out once for each value, and a value that many findings have is met by parts."""
+    values = found.groupBy("value").agg(F.count("*").alias("n"))
+    grams = values.select("value", "n", F.explode(F.expr(f"transform(sequence(1, length(value) - {GRAM - 1}), i -> lower(substring(value, i, {GRAM})))")).alias("gram"))
+    known = F.broadcast(entries.withColumn("known", F.lit(1.0)))
+    cover = written(grams.join(known, "gram", "left").groupBy("value").agg(F.first("n").alias("n"), F.avg(F.coalesce("known", F.lit(0.0))).alias("coverage")), "coverage")
+    return joined(found, cover, ["value"], "n", found.count(), "doc_id").withColumns(_features())
 
 
-def rule_label() -> Column:
-    """1 for an issued prefix in full length, or a hex value assigned to a name; 0 for words, numbers and covered values without a name; else null."""
-    issued = F.col("value").rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$")
-    given = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("share_digit") > 0.1) & (F.col("coverage") < 0.5)
-    plain = (F.col("named") == 0) & (F.col("issued") == 0) & ((F.col("share_digit") == 0) | (F.col("share_digit") == 1) | (F.col("coverage") > 0.8))
-    return F.when(issued | given, 1.0).when(plain, 0.0)
+def _fit(teach: DataFrame, seed: int):
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    return assembler, RandomForestClassifier(numTrees=30, maxDepth=8, seed=seed, featureSubsetStrategy="sqrt").fit(assembler.transform(teach))
+
+
+def planted_findings(docs: DataFrame, entries: DataFrame, counts: DataFrame, seed: int = 7) -> DataFrame:
+    """Findings with features and label, planted among WORDS words that most texts of docs have."""
+    spark = docs.sparkSession
+    words = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    made = written(labelled_findings(spark, words, seed=seed), "planted")
+    found = written(candidates(made), "planted_findings")
+    return featured(found, entries).join(F.broadcast(made.select("doc_id", "label")), "doc_id")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source", train_rows: int = TRAIN_ROWS, seed: int = 7) -> DataFrame:
     """The findings of docs with features, score and is_secret (score of at least 0.5).
 
-    labelled: (value, label) of judged findings, label 1.0 or 0.0; without it rule_label() gives them. The forest learns
-    from train_rows of them at most. Without labels of both kinds nothing can be learned: labelled findings keep their
-    label as score, others get 0.5. Repeated rows give repeated findings; of other columns only path is read.
+    labelled: (value, label) of judged findings of docs, label 1.0 or 0.0; without it the forest learns from
+    planted_findings(). It learns from train_rows of them at most. Without labels of both kinds nothing can be learned:
+    labelled findings keep their label as score, others get 0.5. Null texts and runs under MIN_LENGTH characters give no
+    findings; texts and runs of any length are read whole. Repeated rows give repeated findings, equal ones get equal
+    scores; an empty table gives none. Of other columns only path is read, and a null path has no marks.
     """
-    found = written(featured(candidates(docs, path), written(dictionary(docs), "dictionary")), "findings")
+    counts = written(word_counts(docs), "words")
+    entries = written(dictionary(docs, counts), "dictionary")
+    found = written(featured(written(candidates(docs, path), "candidates"), entries), "findings")
     if labelled is None:
-        known = found.withColumn("label", rule_label())
+        known, judged = found, planted_findings(docs, entries, counts, seed)
     else:
-        known = found.join(labelled.groupBy("value").agg(F.max(F.col("label").cast("double")).alias("label")), "value", "left")
-    sizes = {r.label: r.n for r in known.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
+        known = judged = found.join(labelled.groupBy("value").agg(F.max(F.col("label").cast("double")).alias("label")), "value", "left")
+    judged = written(judged.where("label is not null").select("doc_id", "word_no", "run_no", "label", *FEATURES), "judged")
+    sizes = {r.label: r.n for r in judged.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        scored = known.withColumn("score", F.coalesce("label", F.lit(0.5)))
+        scored = known.withColumn("score", F.coalesce("label", F.lit(0.5)) if labelled is not None else F.lit(0.5))
     else:
         half = train_rows / 2
         share = reduce(lambda c, k: F.when(F.col("label") == k, min(1.0, half / sizes[k])).otherwise(c), sizes, F.lit(0.0))
-        teach = written(known.where(F.pmod(F.xxhash64("doc_id", "word_no", "run_no", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).select("label", *FEATURES), "teach")
-        assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        forest = RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, featureSubsetStrategy="sqrt").fit(assembler.transform(teach))
+        assembler, forest = _fit(judged.where(F.pmod(F.xxhash64("doc_id", "word_no", "run_no", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).select("label", *FEATURES), seed)
         scored = forest.transform(assembler.transform(known)).withColumn("score", vector_to_array("probability")[1])
     return scored.withColumn("is_secret", F.col("score") >= 0.5)
 
 
+def held_out_counts(docs: DataFrame, seed: int = 7) -> dict[str, int]:
+    """Planted findings of every fifth text, judged by a forest that learned from the others: tp, fp, fn, tn."""
+    counts = written(word_counts(docs), "words")
+    judged = written(planted_findings(docs, written(dictionary(docs, counts), "dictionary"), counts, seed), "judged")
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(5)) == 0
+    assembler, forest = _fit(judged.where(~apart).select("label", *FEATURES), seed)
+    told = forest.transform(assembler.transform(judged.where(apart))).groupBy("label", "prediction").count().collect()
+    name = {(1.0, 1.0): "tp", (0.0, 1.0): "fp", (1.0, 0.0): "fn", (0.0, 0.0): "tn"}
+    return dict.fromkeys(name.values(), 0) | {name[r.label, r.prediction]: r["count"] for r in told}
+
+
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, word_no, run_no, value_sha256, n_chars, score, is_secret of every finding; values themselves are not shown."""
     return scan(docs, **options).select("doc_id", "word_no", "run_no", F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("n_chars"), "score", "is_secret")
