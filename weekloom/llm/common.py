@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +80,18 @@ def joined(rows: DataFrame, sums: DataFrame, keys: list[str], count: str, total:
     return dealt.join(every, [*keys, "dealt"], how).drop("dealt")
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a worker keeps from task to task under a key. Only one such object is kept: a task that asks for another, or for none, lets it go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        if key is not None:
+            _KEPT[key] = make()
+    return _KEPT.get(key)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file, without importing what describes them on the executors."""
     import public_tokenizers

@@ -14,14 +14,14 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import tokenizer_path, written
+from weekloom.llm.common import kept, tokenizer_path, written
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Bound of the learning sample: documents of each language, chosen by hash, and rounds of learning.
@@ -33,7 +33,7 @@ LONGEST = 32
 #: Probability of a letter that no piece covers.
 RARE = 1e-7
 #: Words (of LONGEST letters at most) whose scores a worker keeps, some 300 bytes each; when half of them are taken it starts anew.
-CACHE = 240_000
+CACHE = 120_000
 #: Rows of a batch that are taken at a time.
 ROWS = 500
 UNKNOWN = "und"
@@ -353,10 +353,9 @@ class Scorer:
         return langs, values
 
 
-@lru_cache(maxsize=1)
 def _scorer(model: Model) -> Scorer:
     """A worker keeps its scorer, with the words it has seen, for the tasks that follow."""
-    return Scorer(model)
+    return kept(model, lambda: Scorer(model))
 
 
 def _score_batches(model: Model):

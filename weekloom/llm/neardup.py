@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import written
+from weekloom.llm.common import kept, written
 from weekloom.llm.components import components
 from weekloom.llm.hashing import chunks, mix, shingle_sets, text_chunks
 
@@ -66,6 +66,7 @@ def most_bits(similarity: float) -> int:
 
 def _signature_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(None, None)
         step = np.arange(BANDS, dtype=np.uint64)
         for batch in batches:
             for a, b, texts in text_chunks(batch):
@@ -95,6 +96,7 @@ def _signature_batches(width: int):
 
 def _confirm_batches(width: int, percent: int, rows: int = 250):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(None, None)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
@@ -207,22 +209,25 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     sketches = nodes.select("rep", "n", "sketch")
     far = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
 
+    # of all texts, those that share a bucket are taken once; all that follows reads these
+    own = classes.join(weight.select("rep"), "rep").select("rep", "doc_id", "t")
+    held = written(docs.join(own, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.first("rep").alias("rep"), F.first("text").alias("text")).select("rep", "text"), "held")
+
     def texts_of(reps: DataFrame) -> DataFrame:
-        """(rep, text) of the classes with these numbers."""
-        own = classes.join(reps, "rep", "left_semi").select("rep", "doc_id", "t")
-        return written(docs.join(own, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.first("rep").alias("rep"), F.first("text").alias("text")).select("rep", "text"), "texts")
+        """(rep, text) of the classes with these numbers, a table."""
+        return written(held.join(reps, "rep", "left_semi"), "texts")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked."""
+    def compared(pairs: DataFrame, few: bool = True) -> DataFrame:
+        """The pairs (a, b) that are linked. Of few pairs, the texts that take part are picked first."""
         near = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
         near = written(near.where(_alike(F.col("n_a"), F.col("n_b"), percent) & (far <= limit)).select("a", "b").distinct(), "near")
-        texts = texts_of(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        texts = texts_of(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()) if few else held
         side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
         return written(near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm_batches(width, percent), "a long, b long"), "links")
 
     pair = [F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")]
     tried = written(members.join(centres, "key").where("rep <> centre").select(*pair).distinct(), "tried")
-    found = compared(tried)
+    found = compared(tried, few=False)
     open_pairs = None
     while True:
         comps = components(found)

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import new_path, tokenizer_path
+from weekloom.llm.common import kept, new_path, tokenizer_path
 from weekloom.llm.hashing import text_chunks
 
 BLOCK, PACK = 256, 1 << 19
@@ -165,10 +164,9 @@ class Encoder:
         return out, sizes + 1
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     """A worker keeps its encoder, with the pieces it has seen, for the tasks that follow."""
-    return Encoder(path)
+    return kept(path, lambda: Encoder(path))
 
 
 def _encode_batches(path: str):
@@ -343,15 +341,13 @@ def _dealt(ids: DataFrame, shuffled: int | None) -> DataFrame:
     ids = ids.withColumn("h", F.xxhash64("ids"))
     if shuffled is None:
         return ids.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
-    # copies are equal, so that any numbering of them gives the same file
-    copy = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("n_tokens"))
-    place = F.md5(F.concat_ws("|", F.lit(f"tokens {shuffled}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), "h", copy.cast("string")))
+    place = F.md5(F.concat_ws("|", F.lit(f"tokens {shuffled}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), "h", F.col("row").cast("string")))
     return ids.withColumn("place", place).repartitionByRange("place").sortWithinPartitions("place")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, max_bits: int = MAX_BITS, shuffled: int | None = None) -> None:
     """Writes path/code (id, bits), path/packs, in ascending doc_id order over parts and packs, or with a number for
-    shuffled in an order that a hash of that number, doc_id, ids and copy gives.
+    shuffled in an order that a hash of that number, doc_id, ids and the row's place in docs gives.
 
     Rows without a doc_id come first; rows of one doc_id are ordered by a hash of their ids; equal rows are coded each.
     Texts of any length are coded whole. An empty table gives no packs. Only doc_id and text are read. The code (at most
@@ -359,8 +355,10 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, max_bits: in
     """
     spark = docs.sparkSession
     waiting = new_path(spark, "ids")
-    encode(docs, tokenizer).write.option("compression", "zstd").parquet(waiting)
-    ids = spark.read.schema(IDS_SCHEMA).parquet(waiting)
+    # numbers of rows, by which copies of a document are told apart, are fixed once they are written
+    encoded = encode(docs, tokenizer).withColumn("row", F.monotonically_increasing_id())
+    encoded.write.option("compression", "zstd").parquet(waiting)
+    ids = spark.read.schema(encoded.schema).parquet(waiting)
     counted = ids.select("wide", "ids").mapInArrow(_count_batches, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)
     for r in counted:
