@@ -88,7 +88,8 @@ def measures(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
         .select("*", _packed(hash_bits).alias("s"))
         .select("*", _relations().alias("r"))
         .select("*", _repeated_places().alias("p"))
-        .select("doc_id", *[F.col(x).cast("long") for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_stop_words")], covered.cast("long").alias("n_repeat_words"))
+        # one row in, one row out: a filter of what follows isn't worked out by these expressions once more
+        .select("doc_id", F.inline(F.array(F.struct(*[F.col(x).cast("long").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_stop_words")], covered.cast("long").alias("n_repeat_words")))))
     )
 
 
