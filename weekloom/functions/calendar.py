@@ -59,15 +59,15 @@ def week_label(year: Column, week: Column) -> Column:
 
 
 def easter(year: Column) -> Column:
-    """Easter Sunday of the Gregorian calendar, from the golden number, the epact and the Sunday letter."""
-    div = lambda a, b: F.floor(a / b).cast("int")
-    century = div(year, 100)
-    golden = year % 19
-    moon = (19 * golden + century - div(century, 4) - div(century - div(century + 8, 25) + 1, 3) + 15) % 30
-    sunday = (32 + 2 * (century % 4) + 2 * div(year % 100, 4) - moon - year % 100 % 4) % 7
-    late = div(golden + 11 * moon + 22 * sunday, 451)
-    n = moon + sunday - 7 * late + 114
-    return F.make_date(year, div(n, 31), n % 31 + 1)
+    """Easter Sunday of the Gregorian calendar by Gauss's rule: days from 22 March to the full moon and on to Sunday, with its two exceptions."""
+    whole = lambda a, b: F.floor(a / b).cast("int")
+    k = whole(year, 100)
+    m = F.pmod(15 + k - whole(13 + 8 * k, 25) - whole(k, 4), F.lit(30))
+    n = F.pmod(4 + k - whole(k, 4), F.lit(7))
+    moon = (19 * (year % 19) + m) % 30
+    on = (2 * (year % 4) + 4 * (year % 7) + 6 * moon + n) % 7
+    early = (on == 6) & ((moon == 29) | ((moon == 28) & ((11 * m + 11) % 30 < 19)))
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), (moon + on - F.when(early, 7).otherwise(0)).cast("int"))
 
 
 #: Holidays by date or days from Easter, whether only Monday to Friday count, type, label, precedence.

@@ -33,8 +33,18 @@ m_seasonal_naive as (select t.series_id, t.origin_idx, horizon, ln(greatest(t.y,
   left join panel b on b.series_id = t.series_id and b.iso_year = t.iso_year - 1 and b.iso_week = least(t.iso_week, 52)),
 m_profile as (select t.series_id, t.origin_idx, horizon, ln(greatest(y, 1.0)) + sum(coalesce(growth, 0)) over (partition by t.series_id, t.origin_idx order by horizon) as lp
   from tgt t left join prof p on p.series_id = t.series_id and p.s0 = t.s0 and p.wk52 = t.step_wk),
+grown as (select * from (select series_id, week_idx, ln(y / lag(y) over s) as own, lag(wk52) over s as wk_before, lag(week_idx) over s as idx_before from panel window s as (partition by series_id order by week_idx)) where idx_before = week_idx - 1),
+pace as (select o.series_id, o.origin_idx, avg(own - p.growth) as anomaly from origins o join grown g on g.series_id = o.series_id and g.week_idx between o.origin_idx - 1 and o.origin_idx
+  join prof p on p.series_id = o.series_id and p.s0 = o.s0 and p.wk52 = g.wk_before group by 1, 2),
+m_profile_momentum as (select m.series_id, m.origin_idx, horizon, lp + coalesce(anomaly, 0) * 1.5 * (1 - pow(0.6, horizon)) as lp from m_profile m left join pace using (series_id, origin_idx)),
+above as (select o.series_id, o.origin_idx, 0.7 * max(case when q.week_idx = o.origin_idx then ln(greatest(q.y, 1.0)) - level end) + 0.3 * avg(ln(greatest(q.y, 1.0)) - level) as a0
+  from origins o join panel q on q.series_id = o.series_id and q.week_idx between o.origin_idx - 1 and o.origin_idx join clim c on c.series_id = o.series_id and c.s0 = o.s0 and c.wk52 = q.wk52 group by 1, 2),
+climbed as (select t.series_id, t.origin_idx, horizon, a0, y, last_value(level + a0 * pow(0.92, horizon) ignore nulls) over (partition by t.series_id, t.origin_idx order by horizon) as v
+  from tgt t left join clim c on c.series_id = t.series_id and c.s0 = t.s0 and c.wk52 = least(t_week, 52) left join above u on u.series_id = t.series_id and u.origin_idx = t.origin_idx),
+m_clim_anomaly as (select k.series_id, k.origin_idx, k.horizon, case when a0 is null then m.lp else coalesce(v, ln(greatest(y, 1.0))) end as lp
+  from climbed k join m_profile m on m.series_id = k.series_id and m.origin_idx = k.origin_idx and m.horizon = k.horizon),
 res as (select f.model, f.series_id, f.origin_idx, o.s0, o.iso_week, horizon, lp - ln(a.y) as err, ln(a.y / o.y) as chg, lp - ln(o.y) as pchg
-  from (select 'persistence' as model, * from m_persistence union all select 'legacy', * from m_legacy union all select 'seasonal_naive', * from m_seasonal_naive union all select 'profile', * from m_profile) f
+  from (select 'persistence' as model, * from m_persistence union all select 'legacy', * from m_legacy union all select 'seasonal_naive', * from m_seasonal_naive union all select 'profile', * from m_profile union all select 'profile_momentum', * from m_profile_momentum union all select 'clim_anomaly', * from m_clim_anomaly) f
   join panel a on a.series_id = f.series_id and a.week_idx = origin_idx + horizon join origins o on o.series_id = f.series_id and o.origin_idx = f.origin_idx),
 tq as (select model, horizon, quantile_cont(err, 0.1) as q10, quantile_cont(err, 0.25) as q25, quantile_cont(err, 0.75) as q75, quantile_cont(err, 0.9) as q90 from res where s0 between 1998 and 1999 and horizon <= 8 group by 1, 2),
 splits as (select *, case when iso_week between 34 and 48 then 'autumn' when iso_week >= 49 or iso_week <= 10 then 'winter' when iso_week between 11 and 26 then 'spring' else 'summer' end as own_phase,
@@ -50,11 +60,11 @@ _SECOND = f"""sw as (select o_orderpriority as series_id, cast(date_trunc('week'
 second as (select series_id, {_cal("monday")}, y from sw)"""
 
 _HOLS = """ys as (select cast(y as integer) as y from generate_series(1993, 2003) as t(y)),
-e1 as (select y, y % 19 as a, y // 100 as b, y % 100 as c from ys),
-e2 as (select *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 as h from e1),
-e3 as (select *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 as l from e2),
-e4 as (select *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 as n from e3),
-easter as (select y, make_date(cast(n // 31 as integer)::bigint, 1, 1) as dummy, make_date(y::bigint, (n // 31)::bigint, (n % 31 + 1)::bigint) as day from e4),
+ep0 as (select y, y % 19 + 1 as golden, 3 * (y // 100 + 1) // 4 - 12 as solar, (8 * (y // 100 + 1) + 5) // 25 - 5 as lunar from ys),
+ep1 as (select y, golden, ((11 * golden + 20 + lunar - solar) % 30 + 30) % 30 as epact from ep0),
+ep2 as (select y, 44 - case when epact = 24 or (epact = 25 and golden > 11) then epact + 1 else epact end as march from ep1),
+ep3 as (select y, make_date(y::bigint, 3, 1) + cast(case when march < 21 then march + 30 else march end - 1 as integer) as full_moon from ep2),
+easter as (select y, full_moon + cast(7 - isodow(full_moon) % 7 as integer) as day from ep3),
 hd as (
   select y, make_date(y::bigint, m::bigint, d::bigint) as day, wd, ht, lab, rk from ys, (values (12, 27, false, 'xmas1', 'Vánoce', 1), (1, 1, true, 'xmas2', 'Nový rok', 2), (12, 24, true, 'minor', 'Štědrý den', 3),
     (10, 28, true, 'autumn', '28. října a podzimní prázdniny', 4), (5, 1, true, 'minor', '1. května', 7), (5, 8, true, 'minor', '8. května', 7), (9, 28, true, 'minor', '28. září', 7), (11, 17, true, 'minor', '17. listopadu', 7),
@@ -62,7 +72,7 @@ hd as (
   union all select y, day - 2, false, 'goodfri', 'Velký pátek', 5 from easter union all select y, day + 1, false, 'eastermon', 'Velikonoční pondělí', 6 from easter),
 hw as (select *, IDX as week_idx from hd where not wd or isodow(day) <= 5),
 hb as (select * from (select *, rank() over (partition by week_idx order by y, rk) as r from hw) where r = 1),
-cal as (select week_idx, min(ht) as htype, case when count(*) = 2 and bool_or(lab = '5. července') then '5.–6. července' else string_agg(lab, ' a ' order by day) end as hlabel from hb group by 1)""".replace("IDX", _IDX.format(d="day")).replace("make_date(cast(n // 31 as integer)::bigint, 1, 1) as dummy, ", "")
+cal as (select week_idx, min(ht) as htype, case when count(*) = 2 and bool_or(lab = '5. července') then '5.–6. července' else string_agg(lab, ' a ' order by day) end as hlabel from hb group by 1)""".replace("IDX", _IDX.format(d="day"))
 
 _OCC = """mk as (select panel.*, ln(y) as z, htype from panel left join cal using (week_idx)),
 nb as (select m.series_id, m.week_idx, m.season, m.htype, m.z,
@@ -138,7 +148,7 @@ select cast(d as varchar) as d, cast(case when month(d) = 1 and weekofyear(d) >=
     "adjusted_series": f"""with {_PANEL}, {_HOLS}, {_OCC}, lv as (select series_id, max(version) as version from eff group by 1)
 select m.series_id, week_idx, round(z, 6) as z, m.htype, round(z - coalesce(effect, 0), 6) as adjusted from mk m left join lv using (series_id) left join eff on eff.series_id = m.series_id and eff.version = lv.version and eff.htype = m.htype""",
     "rolling_origins": f"with {_PANEL} select * from origins",
-    **{f"model_{m}": _MODEL.format(p=_PANEL, m=f"m_{m}") for m in ("persistence", "legacy", "seasonal_naive", "profile")},
+    **{f"model_{m}": _MODEL.format(p=_PANEL, m=f"m_{m}") for m in ("persistence", "legacy", "seasonal_naive", "profile", "profile_momentum", "clim_anomaly")},
     "backtest_residuals": f"with {_PANEL} select model, series_id, origin_idx, s0, iso_week, horizon, round(err, 6) as err, round(chg, 6) as chg, round(pchg, 6) as pchg from res",
     "residual_quantiles": f"""with {_PANEL} select model, horizon, round(quantile_cont(err, 0.1), 6) as q10, round(quantile_cont(err, 0.25), 6) as q25, round(quantile_cont(err, 0.5), 6) as q50, round(quantile_cont(err, 0.75), 6) as q75, round(quantile_cont(err, 0.9), 6) as q90 from res group by 1, 2""",
     "backtest_summary": f"with {_PANEL} select split, phase, model, horizon, n, round(mean_pct, 4) as mean_pct, round(bias_pct, 4) as bias_pct, round(dir, 4) as dir, round(cov50, 4) as cov50, round(cov80, 4) as cov80, round(mae_pct, 4) as mae_pct from summary",
