@@ -84,13 +84,92 @@ occ as (select nb.series_id, nb.week_idx, nb.season, nb.htype, nb.z - (a.z + (b.
 eff as (select * from (select series_id, version, htype, case when htype in ('autumn', 'xmas1', 'xmas2', 'eastermon') and count(*) filter (season >= 1999) >= 2 then median(diff) filter (season >= 1999) when count(*) >= 2 then median(diff) end as effect
   from occ join (select distinct series_id, known_at as version from occ) v using (series_id) where known_at <= version group by 1, 2, 3) where effect is not null)"""
 
+_KNOWN = """ver as (select o.series_id, o.origin_idx, o.s0, coalesce((select max(known_at) from occ k where k.series_id = o.series_id and k.known_at <= o.origin_idx), -1) as version from origins o),
+ch as (select * from (select series_id, season, wk52, htype, case when lag(week_idx) over s = week_idx - 1 then z - lag(z) over s end as change, case when lag(week_idx) over s = week_idx - 1 then lag(htype) over s end as before
+  from mk window s as (partition by series_id order by week_idx)) where change is not null and season <> 1997),
+hp as (select v.series_id, v.s0, v.version, (c.wk52 + 51 + d) % 52 + 1 as wk52, median(change - coalesce(e1.effect, 0) + coalesce(e2.effect, 0)) as growth
+  from (select distinct series_id, s0, version from ver) v join ch c on c.series_id = v.series_id and c.season < v.s0
+  left join eff e1 on e1.series_id = v.series_id and e1.version = v.version and e1.htype = c.htype left join eff e2 on e2.series_id = v.series_id and e2.version = v.version and e2.htype = c.before,
+  unnest([-1, 0, 1]) as t(d) group by 1, 2, 3, 4),
+tk as (select t.series_id, t.origin_idx, t.s0, t.horizon, t.t_week, v.version, m.z, m.z - coalesce(e0.effect, 0) as x0, coalesce(e1.effect, 0) as t_effect
+  from tgt t join ver v on v.series_id = t.series_id and v.origin_idx = t.origin_idx join mk m on m.series_id = t.series_id and m.week_idx = t.origin_idx left join cal tc on tc.week_idx = t.target_idx
+  left join eff e0 on e0.series_id = t.series_id and e0.version = v.version and e0.htype = m.htype left join eff e1 on e1.series_id = t.series_id and e1.version = v.version and e1.htype = tc.htype),
+m_holiday_profile as (select k.series_id, k.origin_idx, k.horizon, x0 + sum(coalesce(growth, 0)) over (partition by k.series_id, k.origin_idx order by k.horizon) + t_effect as lp
+  from tk k left join hp g on g.series_id = k.series_id and g.s0 = k.s0 and g.version = k.version and g.wk52 = least(k.t_week, 52))"""
+_ALIGN = """am as (select series_id, week_idx, season, z, htype from mk where season <> 1997),
+ss as (select distinct series_id, season as s from am),
+al0 as (select m.*, cast(s0 as integer) as s0, s, cast(floor((3 - date_diff('day', make_date(s, 7, 1), make_date(s0::integer, 7, 1))) / 7) as bigint) as shift from am m join ss using (series_id), unnest(generate_series(season, season + 2)) as t(s0) where s < s0),
+al as (select a.series_id, a.s0, a.s, a.week_idx, a.season, shift, a.z - b.z as d, a.htype as t_now, b.htype as t_then from al0 a left join am b on b.series_id = a.series_id and b.week_idx = a.week_idx + shift)"""
+_ANALOG = """pr as (select v.series_id, v.origin_idx, v.s0, a.s, a.shift, v.origin_idx - a.week_idx as j, a.d, a.d - coalesce(e1.effect, 0) + coalesce(e2.effect, 0) as r
+  from ver v join al a on a.series_id = v.series_id and a.s0 = v.s0 and a.week_idx between v.origin_idx - 103 and v.origin_idx
+  left join eff e1 on e1.series_id = v.series_id and e1.version = v.version and e1.htype = a.t_now left join eff e2 on e2.series_id = v.series_id and e2.version = v.version and e2.htype = a.t_then),
+aw0 as (select series_id, origin_idx, s0, s, shift, count(d) as n_long, avg(r) as o_long, max(r) filter (j = 0) as d_now, count(d) filter (j <= 5) as n_win,
+    sum(pow(0.7, j) * r) filter (j <= 5) / sum(pow(0.7, j)) filter (j <= 5 and d is not null) as o_win, sum(pow(0.7, j) * r * r) filter (j <= 5) / sum(pow(0.7, j)) filter (j <= 5 and d is not null) as sq
+  from pr group by 1, 2, 3, 4, 5 having count(*) filter (j = 0) > 0),
+aw1 as (select *, case when n_win >= 3 then 1 when n_long >= 13 then 2 end as kind from aw0 a
+  where exists (select 1 from am b where b.series_id = a.series_id and b.week_idx between a.origin_idx + a.shift + 1 and a.origin_idx + a.shift + 10)),
+aw2 as (select *, case when kind = 1 then greatest(sq - o_win * o_win, 0) else 0 end as d2 from (select *, min(kind) over (partition by series_id, origin_idx) as best from aw1 where kind is not null) where kind = best),
+aw3 as (select *, coalesce(d_now, case when kind = 1 then o_win else coalesce(o_long, o_win) end) as o_now, exp(-d2 / 0.125) as w0, row_number() over (partition by series_id, origin_idx order by d2, s) as n from aw2),
+aw as (select a.series_id, a.origin_idx, a.s0, a.s, a.shift, a.d2, a.o_now, coalesce(a.o_long, a.o_win) as o_long, case when sum(w0) over (partition by a.series_id, a.origin_idx) > 0 then w0 else 1.0 end as w, k.x0, k.version
+  from aw3 a join tk k on k.series_id = a.series_id and k.origin_idx = a.origin_idx and k.horizon = 1 where n <= 30),
+av as (select a.series_id, a.origin_idx, cast(h as integer) as horizon, sum(w * (b.z - coalesce(e.effect, 0) + o_long + (o_now - o_long) * pow(0.8, h))) / sum(w) as v
+  from aw a, unnest(generate_series(1, 10)) as t(h), am b left join eff e on e.series_id = b.series_id and e.version = a.version and e.htype = b.htype
+  where b.series_id = a.series_id and b.week_idx = a.origin_idx + h + a.shift group by 1, 2, 3),
+m_analog as (select k.series_id, k.origin_idx, k.horizon, coalesce(last_value(v ignore nulls) over (partition by k.series_id, k.origin_idx order by k.horizon), x0) + t_effect as lp
+  from tk k left join av on av.series_id = k.series_id and av.origin_idx = k.origin_idx and av.horizon = k.horizon),
+points as (select a.series_id, a.origin_idx, a.horizon, wt * a.lp + (1 - wt) * b.lp as lp
+  from (select *, [0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0][least(horizon, 7)] as wt from m_analog) a join m_holiday_profile b on b.series_id = a.series_id and b.origin_idx = a.origin_idx and b.horizon = a.horizon)"""
+_POOL = """bres as (select f.series_id, f.origin_idx, o.s0, o.iso_week, horizon, lp - ln(a.y) as err from points f join panel a on a.series_id = f.series_id and a.week_idx = origin_idx + horizon
+  join origins o on o.series_id = f.series_id and o.origin_idx = f.origin_idx),
+latest as (select * from origins qualify row_number() over (partition by series_id order by origin_idx desc) between LATEST),
+pn as (select r.series_id, l.origin_idx as t_idx, horizon, err, r.s0, least(abs(least(r.iso_week, 52) - least(l.iso_week, 52)), 52 - abs(least(r.iso_week, 52) - least(l.iso_week, 52))) <= 6 as near
+  from bres r join latest l using (series_id) where r.origin_idx + horizon <= l.origin_idx),
+pool as (select series_id, t_idx, horizon, err, case when s0 >= 2000 then 3.0 else 1.0 end as w
+  from (select *, count(*) filter (near) over (partition by series_id, t_idx, horizon) as n_near from pn) where near or n_near < 20)"""
+
+_BLEND = f"{_PANEL}, {_HOLS}, {_OCC}, {_KNOWN}, {_ALIGN}, {_ANALOG}"
+
+
+def _pool(latest: str = "1 and 1") -> str:
+    return _POOL.replace("LATEST", latest)
+
+
+def _at(pool: str, name: str) -> str:
+    """Places of weighted errors, in name."""
+    key = "partition by series_id, t_idx, horizon"
+    return f"""{name}0 as (select *, (sum(w) over ({key} order by err, w rows unbounded preceding) - w / 2) / sum(w) over ({key}) as pos from {pool}),
+{name} as (select *, lead(pos) over o as pos2, lead(err) over o as v2, row_number() over o as n from {name}0 window o as ({key} order by pos))"""
+
+
+def _quantile(q: float, digits: int | None = 6) -> str:
+    x = f"max(coalesce(case when pos < {q} and {q} <= pos2 then err + (v2 - err) * ({q} - pos) / (pos2 - pos) end, case when n = 1 and pos >= {q} then err end, case when pos2 is null and pos < {q} then err end))"
+    return x if digits is None else f"round({x}, {digits})"
+
+
+_WIDE = f"""{_at("pool", "mq")}, med as (select series_id, t_idx, horizon, {_quantile(0.5, None)} as med from mq group by 1, 2, 3),
+wide as (select series_id, t_idx, horizon, med + 1.15 * (err - med) as err, w from pool join med using (series_id, t_idx, horizon))"""
+_CHANCES = """chances as (select p.series_id, p.t_idx, p.horizon, """ + ", ".join(f"round_even(sum(case when lp - err >= ln({t}) then w else 0 end) / sum(w), 3) as p_{k}" for k, t in enumerate((750.0, 1000.0, 1500.0), 1)) + """
+  from wide p join points f on f.series_id = p.series_id and f.origin_idx = p.t_idx and f.horizon = p.horizon group by 1, 2, 3)"""
+_FORECAST = f"""{_at("wide", "wq")}, fq as (select series_id, t_idx, horizon, {", ".join(f"{_quantile(q, None)} as e_{n}" for n, q in (("q10", 0.9), ("q25", 0.75), ("median", 0.5), ("q75", 0.25), ("q90", 0.1)))} from wq group by 1, 2, 3),
+forecast as (select q.series_id, q.t_idx as origin_idx, q.horizon, q.t_idx + q.horizon as week_idx, format('{{}}-W{{:02d}}', isoyear(day), weekofyear(day)) as week, cast(day as varchar) as monday,
+  {", ".join(f"cast(round_even(exp(lp - e_{n}), 0) as bigint) as {n}" for n in ("q10", "q25", "median", "q75", "q90"))}, cast(round_even(exp(lp), 0) as bigint) as point, p_1, p_2, p_3, hlabel as holiday
+  from fq q join (select *, date '1970-01-01' + cast((origin_idx + horizon) * 7 + 1 - 719163 as integer) as day from points) f on f.series_id = q.series_id and f.origin_idx = q.t_idx and f.horizon = q.horizon
+  join chances c on c.series_id = q.series_id and c.t_idx = q.t_idx and c.horizon = q.horizon left join cal on cal.week_idx = q.t_idx + q.horizon)"""
+
+_REPORTS = """rp as (select series_id, week_idx, iso_year, iso_week, round_even(y, 0) as value, case when lag(week_idx) over s = week_idx - 1 then lag(y) over s end as prev
+  from panel window s as (partition by series_id order by week_idx)),
+reports as (select *, round_even((value / (prev * case when week_idx % 5 = 0 then 1.1 else 1.0 end) - 1) * 100, 2) as change_pct from rp)"""
+_REVISED = """n as (select *, case when lead(week_idx) over s = week_idx + 1 then lead(value) over s / (1 + lead(change_pct) over s / 100) end as implied,
+    case when lead(week_idx) over s = week_idx + 1 then (lead(value) over s + 5) / (1 + lead(change_pct) over s / 100) end as implied2 from {t} window s as (partition by series_id order by week_idx)),
+r as (select *, coalesce(abs(implied / value - 1) > 0.02, false) {also} as revised, date '1970-01-01' + cast((week_idx + 1) * 7 + 1 - 719163 as integer) as by_day from n)"""
+
 _MODEL = "with {p} select series_id, origin_idx, horizon, round(lp, 6) as lp from {m}"
 _HIST = """official as (select series_id, week_idx, round(y, 0) as value, cast(null as varchar) as note from panel where week_idx % 7 <> 3 and season >= 1996),
 other as (select series_id, week_idx, round(y * 1.2, 0) as value from second),
 stored as (select series_id, week_idx, round(y + 1, 0) as value, case when week_idx % 14 < 7 then 'revised' end as note from panel where week_idx % 7 in (2, 3) and season >= 1997),
 f as (select series_id, min(week_idx) as first_idx from official group by 1),
 every as (select *, 'official' as source, 2 as rk from official union all select *, 'official', case when note is not null then 1 else 3 end from stored
-  union all select o.series_id, week_idx, value, case when week_idx >= first_idx then 'official report missing' end, 'scaled', 4 from other o join f using (series_id)),
+  union all select o.series_id, week_idx, value, case when week_idx >= first_idx then 'official report missing' end, 'scaled', 4 from other o left join f using (series_id)),
 merged as (select series_id, week_idx, value, source, note from every qualify row_number() over (partition by series_id, week_idx order by rk) = 1)"""
 
 ORACLES: dict[str, str] = {
@@ -114,12 +193,53 @@ select series_id, season, round(median(r), 6) as ratio, round(stddev_samp(r), 6)
   cast(round_even(y, 0) as integer) as value, round_even(y / 7, 1) as sub_value, 'official' as source from panel""",
     "fill_gaps": f"""with {_PANEL}, {_HOLS}, h as (select series_id, week_idx, y from panel where week_idx % 11 <> 5),
 n as (select series_id, week_idx, y, lead(week_idx) over s as nx, lead(y) over s as b from h window s as (partition by series_id order by week_idx))
-select series_id, week_idx, round(y, 4) as value, 'official' as source from h
-union all select series_id, week_idx + 1, round(sqrt(y * b), 4), 'interpolated' from n where nx = week_idx + 2 and week_idx + 1 not in (select week_idx from cal)""",
+select series_id, week_idx, round(y, 4) as value, 'official' as source, cast(null as varchar) as note from h
+union all select series_id, week_idx + 1, round_even(sqrt(y * b), 0), 'interpolated', 'no report, from the weeks beside it' from n where nx = week_idx + 2 and week_idx + 1 not in (select week_idx from cal)""",
     "plausibility_gate": f"""with recursive {_PANEL}, r as (select series_id, week_idx, case when week_idx % 9 = 4 then y * 5 else y end as y, row_number() over (partition by series_id order by week_idx) as n from panel),
 g as (select series_id, n, week_idx, y, true as accepted from r where n = 1
   union all select r.series_id, r.n, r.week_idx, r.y, not (g.accepted and r.week_idx = g.week_idx + 1 and not (r.y / g.y between 0.4 and 2.5)) from g join r on r.series_id = g.series_id and r.n = g.n + 1)
 select series_id, week_idx, round(y, 6) as y, accepted from g""",
+    "parse_reports": f"""with {_PANEL}, {_REPORTS}, v as (select *, cast(value as bigint) as n, week_idx % 6 <> 0 and cast(value as bigint) // 10 >= 20 as ok from reports)
+select series_id, week_idx, case when ok then iso_year end as year, case when ok then iso_week end as week, case when ok then value end as value, case when ok then cast(n // 10 as double) end as sub_value,
+  case when ok then value + 20 end as first_group, case when ok then coalesce(change_pct, 0) end as change_pct from v""",
+    "apply_revisions": f"""with {_PANEL}, {_REPORTS}, {_REVISED.format(t="reports", also="")}
+select series_id, week_idx, value, case when revised then round_even(implied, 0) else value end as value_revised, revised, case when revised then round_even(implied2, 0) else value + 5 end as second_group,
+  case when revised then 'revised by the report of ' || format('{{}}-W{{:02d}}', isoyear(by_day), weekofyear(by_day)) || ', before ' || cast(cast(value as bigint) as varchar) end as note from r""",
+    "stream_ingest": f"""with {_PANEL}, {_REPORTS}, st as (select series_id, week_idx, case when week_idx % 4 = 1 then value + 1 else value end as value, change_pct from reports), {_REVISED.format(t="st", also="")}
+select series_id, week_idx, case when revised then round_even(implied, 0) else value end as value, 'official' as source from r""",
+    "history_violations": f"""with {_PANEL}, h0 as (select series_id, week_idx, week_idx % 40 = 0 as off_day, y as value, case when week_idx % 60 = 0 then 'other' else 'official' end as source from panel),
+h as (select * from h0 union all select * from h0 where week_idx % 80 = 3),
+c as (select *, count(*) over (partition by series_id, week_idx) as n, coalesce(lag(week_idx) over s = week_idx - 1 and source = 'official' and lag(source) over s = 'official' and not (value / lag(value) over s between 0.4 and 2.5), false) as jump
+  from h window s as (partition by series_id order by week_idx))
+select series_id, week_idx, problem from c, unnest([case when n > 1 then 'duplicate' end, case when source not in ('official', 'scaled', 'interpolated') then 'source' end, case when off_day then 'monday' end,
+  case when not (value between 1 and 1e9) then 'value' end, case when jump then 'jump' end]) as t(problem) where problem is not null""",
+    "holiday_profile": f"with {_PANEL}, {_HOLS}, {_OCC}, {_KNOWN} select series_id, s0, version, wk52, round(growth, 6) as growth from hp",
+    "model_holiday_profile": f"with {_PANEL}, {_HOLS}, {_OCC}, {_KNOWN} select series_id, origin_idx, horizon, round(lp, 6) as lp from m_holiday_profile",
+    "analog_align": f"with {_PANEL}, {_HOLS}, {_OCC}, {_ALIGN} select series_id, s0, s, week_idx, season, shift, round(d, 6) as d, t_now, t_then from al",
+    "analog_weights": f"""with {_PANEL}, {_HOLS}, {_OCC}, {_KNOWN}, {_ALIGN}, {_ANALOG}
+select series_id, origin_idx, s0, s, shift, round(d2, 6) + 0 as d2, round(o_now, 6) + 0 as o_now, round(o_long, 6) + 0 as o_long, round(w, 6) as w, round(x0, 6) + 0 as x0 from aw""",
+    "model_analog": f"with {_PANEL}, {_HOLS}, {_OCC}, {_KNOWN}, {_ALIGN}, {_ANALOG} select series_id, origin_idx, horizon, round(lp, 6) as lp from m_analog",
+    "point_forecast": f"with {_PANEL}, {_HOLS}, {_OCC}, {_KNOWN}, {_ALIGN}, {_ANALOG} select series_id, origin_idx, horizon, round(lp, 6) as lp from points",
+    "phase_pool": f"with {_BLEND}, {_pool()} select series_id, t_idx, horizon, round(err, 6) as err, w from pool",
+    "weighted_quantile": f"with {_BLEND}, {_pool()}, {_at('pool', 'pq')} select series_id, t_idx, horizon, {_quantile(0.1)} as q10, {_quantile(0.5)} as q50, {_quantile(0.9)} as q90 from pq group by 1, 2, 3",
+    "widened_pool": f"with {_BLEND}, {_pool()}, {_WIDE} select series_id, t_idx, horizon, round(err, 6) as err, w from wide",
+    "exceedance_prob": f"with {_BLEND}, {_pool()}, {_WIDE}, {_CHANCES} select * from chances",
+    "make_forecast": f"with {_BLEND}, {_pool()}, {_WIDE}, {_CHANCES}, {_FORECAST} select * from forecast",
+    "forecast_past": f"with {_BLEND}, {_pool('2 and 9')}, {_WIDE}, {_CHANCES}, {_FORECAST} select * from forecast",
+    "forecast_violations": f"""with {_BLEND}, {_pool('2 and 9')}, {_WIDE}, {_CHANCES}, {_FORECAST},
+a as (select series_id, origin_idx, count(*) as n, max(week_idx) - min(week_idx) + 1 as span, bool_and(q10 <= q25 and q25 <= median and median <= q75 and q75 <= q90) as ok, bool_and(p_1 >= p_2 and p_2 >= p_3) as mono from forecast group by 1, 2)
+select series_id, origin_idx, problem from a, unnest([case when n <> 10 or span <> n then 'rows' end, case when not ok then 'quantiles' end, case when not mono then 'probabilities' end]) as t(problem) where problem is not null""",
+    "skill_summary": f"""with {_BLEND}, {_pool()}, both_ as (select 'blend' as model, series_id, origin_idx, s0, horizon, err from bres union all select model, series_id, origin_idx, s0, horizon, err from res where model = 'legacy'),
+k as (select model, series_id, horizon, round_even((exp(list_sort(list(abs(err)))[count(*) // 2 + 1]) - 1) * 100, 1) as pct, count(distinct origin_idx) as n_origins, count(distinct s0) as n_seasons
+  from (select *, max(s0) over (partition by model, series_id) as running from both_) where s0 >= 2000 and s0 <> running group by 1, 2, 3)
+select a.series_id, a.horizon, a.pct as mdae_pct, a.n_origins, a.n_seasons, b.pct as legacy_pct from k a left join k b on b.model = 'legacy' and b.series_id = a.series_id and b.horizon = a.horizon where a.model = 'blend'""",
+    "history_document": f"""with {_PANEL} select series_id, cast(count(*) as integer) as n, '[' || string_agg('{{"week_idx":' || week_idx || ',"week":"' || format('{{}}-W{{:02d}}', iso_year, iso_week) || '","value":' || cast(round_even(y, 0) as bigint) || '}}', ',' order by week_idx) || ']' as document from panel group by 1""",
+    "capacity_level": f"""with recursive {_PANEL}, {_HOLS}, q as (select p.series_id, p.week_idx, y, iso_week, htype is not null as hol, y < lag(y) over s as falling, row_number() over s as n,
+    case when iso_week between 33 and 47 then 'autumn' when iso_week between 22 and 32 then 'summer' when iso_week between 11 and 21 then 'spring' else 'winter_pre' end as ph from panel p left join cal using (week_idx) window s as (partition by p.series_id order by p.week_idx)),
+wn as (select *, greatest(case when y >= 1500 then 3 when y >= 1000 then 2 when y >= 750 then 1 else 0 end, case when ph = 'autumn' then 1 else 0 end) as want, coalesce(falling, false) and not hol and ph in ('spring', 'summer') as may from q),
+l as (select series_id, n, week_idx, want as level from wn where n = 1
+  union all select w.series_id, w.n, w.week_idx, case when want >= level then want when may then greatest(want, level - 1) else level end from wn w join l on l.series_id = w.series_id and w.n = l.n + 1)
+select series_id, week_idx, level from l""",
     "current_state": f"""with {_PANEL}, {_HOLS}, l as (select p.series_id, p.week_idx, y, htype, hlabel, row_number() over (partition by p.series_id order by p.week_idx desc) as n from panel p left join cal using (week_idx) qualify n <= 8),
 c as (select series_id, y, row_number() over (partition by series_id order by n) as k from l where htype is null),
 x as (select series_id, max(y) filter (k = 1) as x0, max(y) filter (k = 2) as x1, max(y) filter (k = 3) as x2, max(y) filter (k = 4) as x3 from c group by 1),

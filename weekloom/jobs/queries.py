@@ -28,8 +28,12 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _dir(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors share one: spark.checkpoint.dir, or a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weekloom-")
+    """A new folder where driver and executors share one: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="weekloom-")
     return f"{root.rstrip('/')}/weekloom-{uuid.uuid4().hex}/{name}"
 
 
@@ -157,7 +161,7 @@ def parse_reports(spark, sf_dir):
 
 def apply_revisions(spark, sf_dir):
     r = _report_rows(spark, sf_dir).select("series_id", "week_idx", "value", "change_pct", F.array("value", F.col("value") + 5).alias("groups"), F.array("change_pct", "change_pct").alias("groups_change_pct"))
-    return history.apply_revisions(r, P).select("series_id", "week_idx", "value", "value_revised", "revised", F.element_at("groups_revised", 2).alias("second_group"))
+    return history.apply_revisions(r, P).select("series_id", "week_idx", "value", "value_revised", "revised", F.element_at("groups_revised", 2).alias("second_group"), "note")
 
 
 def stream_ingest(spark, sf_dir):
@@ -168,10 +172,10 @@ def stream_ingest(spark, sf_dir):
     for k, part in enumerate((rows.where("week_idx % 2 = 1"), rows.where("week_idx % 2 = 0"), rows.where("week_idx % 4 = 1").withColumn("source", F.lit("official")).withColumn("value", F.col("value") + 1))):
         part.coalesce(1).write.mode("append").parquet(f"{src}/{k}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
-    q = ingest.run_intake(spark, stream, out, P.revision)
+    q = ingest.run_intake(spark, stream, out)
     q.awaitTermination()
     last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.schema(ingest.STORE).parquet(f"{out}/v{last}").select("series_id", "week_idx", "value", "source")
+    return ingest.revise(spark.read.schema(ingest.STORE).parquet(f"{out}/v{last}"), P.revision).select("series_id", "week_idx", "value", "source")
 
 
 def label_holidays(spark, sf_dir):

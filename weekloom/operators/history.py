@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from weekloom.functions.calendar import monday_of, week_label
+from weekloom.functions.calendar import iso_week, iso_year, monday_of, week_label
 from weekloom.params import Params
 
 def by_week() -> WindowSpec:
@@ -56,21 +56,23 @@ def is_official() -> Column:
 
 
 def merge_sources(official: DataFrame, secondary: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row for each week from (series_id, week_idx, value, note): scaled secondary before the first official week, official rows, stored official rows where the new row isn't official or the stored one has a note, and scaled secondary for weeks still missing."""
+    """One row for each week from (series_id, week_idx, value, note): scaled secondary before the first official week, official rows, stored official rows where the new row isn't official or the stored one has a note, and scaled secondary for weeks still missing.
+
+    A series without any official week has all its secondary rows. Other columns of the three are kept.
+    """
     first = official.groupBy("series_id").agg(F.min("week_idx").alias("first_idx"))
     old = stored.where("value is not null").withColumns({"source": F.lit("official"), "rank": F.when(F.col("note").isNotNull(), 1).otherwise(3)})
     new = official.withColumns({"source": F.lit("official"), "rank": F.lit(2)})
-    other = secondary.join(first, "series_id").withColumns({"source": F.lit("scaled"), "rank": F.lit(4), "note": F.when(F.col("week_idx") >= F.col("first_idx"), F.lit("official report missing"))}).drop("first_idx")
-    cols = ["series_id", "week_idx", "value", "source", "note", "rank"]
-    every = new.select(cols).unionByName(old.select(cols)).unionByName(other.select(cols))
+    other = secondary.join(first, "series_id", "left").withColumns({"source": F.lit("scaled"), "rank": F.lit(4), "note": F.when(F.col("week_idx") >= F.col("first_idx"), F.lit("official report missing"))}).drop("first_idx")
+    every = new.unionByName(old, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
     own = Window.partitionBy("series_id", "week_idx").orderBy("rank")
     return every.withColumn("n", F.row_number().over(own)).where("n = 1").drop("n", "rank")
 
 
 def fill_single_gaps(history: DataFrame, cal: DataFrame, skip: DataFrame | None = None) -> DataFrame:
-    """history and, for each single missing week between two known ones, their geometric mean; not for holiday weeks nor those in skip (series_id, week_idx)."""
+    """history and, for each single missing week between two known ones, their geometric mean as a whole number, with a note; not for holiday weeks nor those in skip (series_id, week_idx)."""
     nxt = history.select("series_id", "week_idx", "value", F.lead("week_idx").over(by_week()).alias("to"), F.lead("value").over(by_week()).alias("b")).where("to = week_idx + 2")
-    made = nxt.select("series_id", (F.col("week_idx") + 1).alias("week_idx"), F.sqrt(F.col("value") * F.col("b")).alias("value"))
+    made = nxt.select("series_id", (F.col("week_idx") + 1).alias("week_idx"), F.bround(F.sqrt(F.col("value") * F.col("b"))).alias("value"), F.lit("no report, from the weeks beside it").alias("note"))
     made = made.join(F.broadcast(cal.where("htype is not null").select("week_idx")), "week_idx", "left_anti")
     if skip is not None:
         made = made.join(skip, ["series_id", "week_idx"], "left_anti")
@@ -88,13 +90,18 @@ def plausibility_gate(rows: DataFrame, p: Params) -> DataFrame:
 
 
 def apply_revisions(reports: DataFrame, p: Params) -> DataFrame:
-    """Reports (series_id, week_idx, value, change_pct, groups, groups_change_pct), each revised by the next week's: value_revised, groups_revised, revised."""
+    """Reports (series_id, week_idx, value, change_pct, groups, groups_change_pct), each revised by the next week's: value_revised, groups_revised, revised, note.
+
+    With a column source, only official rows are revised. The note names the week whose report revised, and the value before.
+    """
     nxt = lambda c: F.when(F.lead("week_idx").over(by_week()) == F.col("week_idx") + 1, F.lead(c).over(by_week()))
     r = reports.withColumns({"nv": nxt("value"), "nc": nxt("change_pct"), "ng": nxt("groups"), "ngc": nxt("groups_change_pct")})
     implied = F.col("nv") / (1 + F.col("nc") / 100)
-    off = F.coalesce(F.abs(implied / F.col("value") - 1) > p.revision, F.lit(False))
+    off = F.coalesce(F.abs(implied / F.col("value") - 1) > p.revision, F.lit(False)) & (is_official() if "source" in reports.columns else F.lit(True))
+    by = monday_of(F.col("week_idx") + 1)
+    note = F.when(off, F.concat(F.lit("revised by the report of "), week_label(iso_year(by), iso_week(by)), F.lit(", before "), F.bround("value").cast("long").cast("string")))
     groups = F.when(off & (F.size("ng") == F.size("ngc")), F.zip_with("ng", "ngc", lambda g, c: F.bround(g / (1 + c / 100)))).otherwise(F.col("groups"))
-    return r.withColumns({"revised": off, "value_revised": F.when(off, F.bround(implied)).otherwise(F.col("value")), "groups_revised": groups}).drop("nv", "nc", "ng", "ngc")
+    return r.withColumns({"revised": off, "value_revised": F.when(off, F.bround(implied)).otherwise(F.col("value")), "groups_revised": groups, "note": note}).drop("nv", "nc", "ng", "ngc")
 
 
 def trend_growth(clean: Column) -> tuple[Column, Column]:

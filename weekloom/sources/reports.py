@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.functions.calendar import weeks_in_iso_year
+from weekloom.functions.calendar import monday, week_idx, weeks_in_iso_year
 
 #: Patterns of the reports' layout.
-HEADER = r"(?i)(\d{1,2})\.?\s*t[ýy]den\s+(\d{4})"
-RATES = r"Česká republika - the Czech Republic[ \t]+([\d \t,.]+)"
-CHANGES = r"Změna - Change \[%\][ \t]+([\d \t,.−-]+)"
-REPORT_URL = r"(?i)/(\d{4})/(\d{2})/(\d{1,2})_tyden[^/]*\.pdf"
+HEADER = r"(?iu)(\d{1,2})\s*\.?\s*t[ýy]den\s+(\d{4})"
+NATIONAL = r"[ČC]esk[áa]\s+republika\s*-\s*the\s+Czech\s+Republic[ \t]+"
+RATES = NATIONAL + r"(\d[\d \t,.]*)"
+CHANGES = r"Zm[ěe]na\s*-\s*Change\s*\[%\][ \t]+([-−\d \t,.]+)"
+REPORT_URL = r"(?i)/wp-content/uploads/(\d{4})/(\d{2})/(\d{1,2})_tyden\.pdf$"
 COLUMNS = 6
 
 
@@ -44,9 +45,9 @@ def _row_ok(v: Column) -> Column:
 def parse_reports(texts: DataFrame) -> DataFrame:
     """All columns and report: struct(year, week, value, sub_value, groups, sub_groups, change_pct, groups_change_pct), or null if any check fails."""
     rates = F.regexp_extract_all("text", F.lit(RATES), F.lit(1))
-    first = F.regexp_extract("text", r"(?s)^(.*?Česká republika - the Czech Republic[ \t]+[\d \t,.]+)", 1)
+    first = F.regexp_extract("text", rf"(?s)^(.*?{NATIONAL}\d[\d \t,.]*)", 1)
     tail = F.expr("substring(text, length(__first) + 1)")
-    between = F.regexp_extract(tail, r"(?s)^(.*?)Česká republika - the Czech Republic[ \t]+\d", 1)
+    between = F.regexp_extract(tail, rf"(?s)^(.*?){NATIONAL}\d", 1)
     last = lambda v: F.get(v, F.lit(COLUMNS - 1))
     parsed = (
         texts.withColumn("__first", first)
@@ -60,3 +61,23 @@ def parse_reports(texts: DataFrame) -> DataFrame:
         F.when(has, last(c)).alias("change_pct"), F.when(has, F.slice(c, 1, COLUMNS - 1)).alias("groups_change_pct"),
     )
     return parsed.withColumn("report", F.when(F.coalesce(fine, F.lit(False)), report)).select(*texts.columns, "report")
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(url, text) of a folder of report texts, one file each; the file's place stands for the url."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("text"))
+
+
+def checked_reports(texts: DataFrame) -> DataFrame:
+    """parse_reports() of texts with their url; a report whose header is more than a week off the week in its url becomes null."""
+    at = lambda w: week_idx(monday(w["year"], w["week"]))
+    parsed = parse_reports(texts)
+    off = F.abs(at(F.col("report")) - at(url_week(F.col("url")))) > 1
+    return parsed.withColumn("report", F.when(~F.coalesce(off, F.lit(False)), F.col("report")))
+
+
+def unread(links: DataFrame, history: DataFrame) -> DataFrame:
+    """links (url) whose week isn't in history (iso_year, iso_week, source, value) as official; those without a week in the url stay."""
+    have = history.where((F.col("source") == "official") & F.col("value").isNotNull()).select("iso_year", "iso_week").distinct()
+    told = links.withColumn("told", url_week(F.col("url")))
+    return told.join(have, (F.col("told.year") == have["iso_year"]) & (F.col("told.week") == have["iso_week"]), "left_anti").drop("told")

@@ -1,4 +1,4 @@
-"""Incremental intake: new reports are parsed, revise the week before, and are merged into a store by key and priority."""
+"""Incremental intake: new rows are merged into a store by key and priority; revisions are worked out when the store is read."""
 
 from __future__ import annotations
 
@@ -18,7 +18,10 @@ def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def revise(store: DataFrame, tolerance: float) -> DataFrame:
-    """Values that the next week's change contradicts by more than the tolerance are replaced by what it implies."""
+    """The store as it is read: official values that the next week's change contradicts by more than the tolerance are replaced by what it implies.
+
+    The store itself keeps what was reported, so that the result doesn't depend on how rows came in batches.
+    """
     w = Window.partitionBy("series_id").orderBy("week_idx")
     near = F.lead("week_idx").over(w) == F.col("week_idx") + 1
     implied = F.when(near, F.lead("value").over(w) / (1 + F.lead("change_pct").over(w) / 100))
@@ -26,7 +29,7 @@ def revise(store: DataFrame, tolerance: float) -> DataFrame:
     return store.withColumn("value", F.when(F.coalesce(off, F.lit(False)), F.bround(implied)).otherwise(F.col("value")))
 
 
-def run_intake(spark: SparkSession, source: DataFrame, path: str, tolerance: float = 0.02) -> StreamingQuery:
+def run_intake(spark: SparkSession, source: DataFrame, path: str) -> StreamingQuery:
     """Starts the intake of a streaming DataFrame (STORE without version) into Parquet versions below path; available data only.
 
     Each micro-batch writes a whole new version from the one before, so that a batch that is run again gives the same
@@ -35,6 +38,6 @@ def run_intake(spark: SparkSession, source: DataFrame, path: str, tolerance: flo
     def merge(batch: DataFrame, n: int) -> None:
         rows = batch.withColumn("version", F.lit(n).cast("long"))
         store = spark.read.schema(STORE).parquet(f"{path}/v{n - 1}") if n else rows.limit(0)
-        revise(upsert(store, rows), tolerance).write.mode("overwrite").parquet(f"{path}/v{n}")
+        upsert(store, rows).write.mode("overwrite").parquet(f"{path}/v{n}")
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
