@@ -156,6 +156,22 @@ forecast as (select q.series_id, q.t_idx as origin_idx, q.horizon, q.t_idx + q.h
   from fq q join (select *, date '1970-01-01' + cast((origin_idx + horizon) * 7 + 1 - 719163 as integer) as day from points) f on f.series_id = q.series_id and f.origin_idx = q.t_idx and f.horizon = q.horizon
   join chances c on c.series_id = q.series_id and c.t_idx = q.t_idx and c.horizon = q.horizon left join cal on cal.week_idx = q.t_idx + q.horizon)"""
 
+_FACTS = """f2 as (select f.*, htype, last_value(case when htype is null then q75 end ignore nulls) over (partition by series_id, origin_idx order by f.week_idx rows between unbounded preceding and 1 preceding) as lo,
+    first_value(case when htype is null then q75 end ignore nulls) over (partition by series_id, origin_idx order by f.week_idx rows between 1 following and unbounded following) as hi from forecast f left join cal using (week_idx)),
+now as (select *, row_number() over (partition by series_id order by week_idx desc) as k from panel qualify k = 1),
+planned as (select s.series_id, s.week_idx, s.y, s.iso_week, greatest(s.y, case when htype is null then cast(q75 as double) else sqrt(coalesce(lo, hi) * coalesce(hi, lo)) end) as planned
+  from now s left join f2 on f2.series_id = s.series_id and f2.origin_idx = s.week_idx and f2.horizon = 2),
+pl as (select p.series_id, y, row_number() over (partition by p.series_id order by p.week_idx desc) as k from panel p left join cal using (week_idx) where htype is null qualify k <= 4),
+cl as (select series_id, max(y) filter (k = 1) as a, max(y) filter (k = 2) as b, max(y) filter (k = 3) as c, max(y) filter (k = 4) as d from pl group by 1),
+soon as (select series_id, avg(median) as soon from f2 where horizon <= 4 and htype is null group by 1),
+tr0 as (select n.series_id, n.y, soon, case when d is not null then 0.5 * ln((a + b) / (c + d)) end as g, coalesce(ln(a / b) <= 0.02 and ln(b / c) <= 0.02, false) as down from now n left join cl using (series_id) left join soon using (series_id)),
+tr as (select series_id, case when g >= 0.10 then 'rising fast' when g >= 0.03 then 'rising' when g <= -0.10 and down then 'falling fast' when g <= -0.03 and down then 'falling' else 'stable' end as trend5,
+  coalesce(g >= 0.10, false) as fast, coalesce(g >= 0.03, false) or coalesce(soon > 1.05 * y, false) as rising, coalesce(g <= -0.03 and down, false) as falling from tr0),
+pk as (select series_id, season, max(y) as peak, arg_max(week_idx, y) as peak_idx from panel group by 1, 2),
+ph as (select n.series_id, n.iso_week, case when n.iso_week between 33 and 47 then 'autumn' when n.iso_week between 22 and 32 then 'summer' when n.iso_week between 11 and 16 and rising then 'winter_pre' when n.iso_week between 11 and 21 then 'spring'
+    when peak >= 1000 and n.week_idx - peak_idx >= 3 and n.y <= 0.85 * peak and falling then 'winter_post' else 'winter_pre' end as plan_phase
+  from now n join pk on pk.series_id = n.series_id and pk.season = n.season join tr on tr.series_id = n.series_id)"""
+
 _REPORTS = """rp as (select series_id, week_idx, iso_year, iso_week, round_even(y, 0) as value, case when lag(week_idx) over s = week_idx - 1 then lag(y) over s end as prev
   from panel window s as (partition by series_id order by week_idx)),
 reports as (select *, round_even((value / (prev * case when week_idx % 5 = 0 then 1.1 else 1.0 end) - 1) * 100, 2) as change_pct from rp)"""
@@ -233,6 +249,9 @@ select series_id, origin_idx, problem from a, unnest([case when n <> 10 or span
 k as (select model, series_id, horizon, round_even((exp(list_sort(list(abs(err)))[count(*) // 2 + 1]) - 1) * 100, 1) as pct, count(distinct origin_idx) as n_origins, count(distinct s0) as n_seasons
   from (select *, max(s0) over (partition by model, series_id) as running from both_) where s0 >= 2000 and s0 <> running group by 1, 2, 3)
 select a.series_id, a.horizon, a.pct as mdae_pct, a.n_origins, a.n_seasons, b.pct as legacy_pct from k a left join k b on b.model = 'legacy' and b.series_id = a.series_id and b.horizon = a.horizon where a.model = 'blend'""",
+    "planned_value": f"with {_BLEND}, {_pool()}, {_WIDE}, {_CHANCES}, {_FORECAST}, {_FACTS} select series_id, week_idx, round(planned, 6) as planned, case when planned >= 1500 then 'red' when planned >= 1000 then 'amber' when planned >= 750 then 'yellow' else 'green' end as planned_band from planned",
+    "trend_class": f"with {_BLEND}, {_pool()}, {_WIDE}, {_CHANCES}, {_FORECAST}, {_FACTS} select * from tr",
+    "planning_phase": f"with {_BLEND}, {_pool()}, {_WIDE}, {_CHANCES}, {_FORECAST}, {_FACTS} select * from ph",
     "history_document": f"""with {_PANEL} select series_id, cast(count(*) as integer) as n, '[' || string_agg('{{"week_idx":' || week_idx || ',"week":"' || format('{{}}-W{{:02d}}', iso_year, iso_week) || '","value":' || cast(round_even(y, 0) as bigint) || '}}', ',' order by week_idx) || ']' as document from panel group by 1""",
     "capacity_level": f"""with recursive {_PANEL}, {_HOLS}, q as (select p.series_id, p.week_idx, y, iso_week, htype is not null as hol, y < lag(y) over s as falling, row_number() over s as n,
     case when iso_week between 33 and 47 then 'autumn' when iso_week between 22 and 32 then 'summer' when iso_week between 11 and 21 then 'spring' else 'winter_pre' end as ph from panel p left join cal using (week_idx) window s as (partition by p.series_id order by p.week_idx)),

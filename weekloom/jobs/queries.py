@@ -433,7 +433,8 @@ def early_signal(spark, sf_dir):
 
 
 def situation(spark, sf_dir):
-    return decide.situation(_facts(spark, sf_dir)[2].withColumn("level", F.lit(1)), P).select("series_id", "planned_band", "plan_phase", "situation")
+    level = capacity_level(spark, sf_dir).groupBy("series_id").agg(F.max_by("level", "week_idx").alias("level"))
+    return decide.situation(_facts(spark, sf_dir)[2].join(level, "series_id"), P).select("series_id", "planned_band", "plan_phase", "situation")
 
 
 def capacity_level(spark, sf_dir):

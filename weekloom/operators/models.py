@@ -7,6 +7,7 @@ as a table first, since the models read it several times.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -222,7 +223,7 @@ def candidate(panel: DataFrame, p: Params, predict: Callable) -> DataFrame:
                 weeks, values = list(weeks), list(values)
                 out = []
                 for at in origins:
-                    upto = sum(w <= at for w in weeks)
+                    upto = bisect_right(weeks, at)
                     try:
                         out += [(series, int(at), h, float(v)) for h, v in enumerate(predict(weeks[:upto], values[:upto], p.horizon), 1)]
                     except Exception:  # a candidate may fail at an origin; the contract is to skip it
