@@ -82,7 +82,7 @@ def test_two_texts_under_one_id(spark):
     assert sorted((str(r.doc_id), (r.text or "")[:5]) for r in neardup.dedup(docs, width=2).collect()) == [("2", "one t"), ("5", "alpha"), ("7", ""), ("None", "q q")]
 
 
-def test_large_component_with_an_outlier(spark):
+def test_large_component_with_an_outlier(spark, monkeypatch):
     """Many near copies of one text, and two texts that share buckets with them but are too far."""
     base = [f"w{i}" for i in range(80)]
     texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(80)] * 3
@@ -95,7 +95,9 @@ def test_large_component_with_an_outlier(spark):
             if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = sorted((group[i], group[j]))
                 group = [a if g == b else g for g in group]
-    assert {r.doc_id: r.component_id for r in neardup.report(docs_of(spark, enumerate(texts)), width=2).collect()} == dict(enumerate(group))
+    for limit in (neardup.MAX_BROADCAST, 0):
+        monkeypatch.setattr(neardup, "MAX_BROADCAST", limit)
+        assert {r.doc_id: r.component_id for r in neardup.report(docs_of(spark, enumerate(texts)), width=2).collect()} == dict(enumerate(group))
 
 
 # ---------------------------------------------------------------- lines, quality, mixing, benchmark

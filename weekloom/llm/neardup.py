@@ -39,6 +39,8 @@ DIRECT = 8
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+#: Classes that share a bucket (three numbers each) up to which these are broadcast.
+MAX_BROADCAST = 1_000_000
 #: Parts among which the members of one centre are dealt out.
 PARTS = 256
 SIGNATURE_SCHEMA = "doc_id long, t long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
@@ -209,8 +211,9 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     sketches = nodes.select("rep", "n", "sketch")
     far = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
 
-    # of all texts, those that share a bucket are taken once; all that follows reads these
-    own = classes.join(weight.select("rep"), "rep").select("rep", "doc_id", "t")
+    # of all texts, those that share a bucket are taken once, and where they are few no others are moved; all that follows reads these
+    own = written(classes.join(weight.select("rep"), "rep").select("rep", "doc_id", "t"), "sharing")
+    own = F.broadcast(own) if own.count() <= MAX_BROADCAST else own
     held = written(docs.join(own, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.first("rep").alias("rep"), F.first("text").alias("text")).select("rep", "text"), "held")
 
     def texts_of(reps: DataFrame) -> DataFrame:
