@@ -235,6 +235,12 @@ select series_id, week_idx, problem from c, unnest([case when n > 1 then 'duplic
     "analog_weights": f"""with {_PANEL}, {_HOLS}, {_OCC}, {_KNOWN}, {_ALIGN}, {_ANALOG}
 select series_id, origin_idx, s0, s, shift, round(d2, 6) + 0 as d2, round(o_now, 6) + 0 as o_now, round(o_long, 6) + 0 as o_long, round(w, 6) as w, round(x0, 6) + 0 as x0 from aw""",
     "model_analog": f"with {_PANEL}, {_HOLS}, {_OCC}, {_KNOWN}, {_ALIGN}, {_ANALOG} select series_id, origin_idx, horizon, round(lp, 6) as lp from m_analog",
+    # two horizons more, counted from the last week with a value
+    "late_forecast": f"""with {_PANEL}, {_HOLS}, {_OCC}, {_KNOWN}, {_ALIGN}, {_ANALOG},
+late as (select a.series_id, a.origin_idx + late as origin_idx, cast(a.horizon - late as integer) as horizon, [0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0][least(a.horizon - late, 7)] as wt, a.lp as lp_a, b.lp as lp_b
+  from m_analog a join m_holiday_profile b on b.series_id = a.series_id and b.origin_idx = a.origin_idx and b.horizon = a.horizon
+  join (select series_id, max(week_idx) as origin_idx from panel group by 1) l on l.series_id = a.series_id and l.origin_idx = a.origin_idx, unnest([1, 2]) as t(late) where a.horizon - late between 1 and 10)
+select series_id, origin_idx, horizon, round(wt * lp_a + (1 - wt) * lp_b, 6) as lp from late""".replace("generate_series(1, 10)", "generate_series(1, 12)").replace("a.shift + 10", "a.shift + 12"),
     "point_forecast": f"with {_PANEL}, {_HOLS}, {_OCC}, {_KNOWN}, {_ALIGN}, {_ANALOG} select series_id, origin_idx, horizon, round(lp, 6) as lp from points",
     "phase_pool": f"with {_BLEND}, {_pool()} select series_id, t_idx, horizon, round(err, 6) as err, w from pool",
     "weighted_quantile": f"with {_BLEND}, {_pool()}, {_at('pool', 'pq')} select series_id, t_idx, horizon, {_quantile(0.1)} as q10, {_quantile(0.5)} as q50, {_quantile(0.9)} as q90 from pq group by 1, 2, 3",

@@ -259,7 +259,7 @@ def adjusted_series(spark, sf_dir):
 
 def holiday_profile(spark, sf_dir):
     panel, seen, cal = _seen(spark, sf_dir)
-    known = models._known(panel, seen, cal, P).select("series_id", "s0", "version", "effects").dropDuplicates(["series_id", "s0", "version"])
+    known = models._known(panel, seen, P).select("series_id", "s0", "version", "effects").dropDuplicates(["series_id", "s0", "version"])
     return _rounded(profiles.holiday_profile(panel, cal, known, P))
 
 
@@ -300,7 +300,7 @@ def analog_align(spark, sf_dir):
 
 
 def analog_weights(spark, sf_dir):
-    return _rounded(models.analog_weights(*_seen(spark, sf_dir), P).drop("effects"))
+    return _rounded(models.analog_weights(*_seen(spark, sf_dir), P).drop("effects", "base_idx"))
 
 
 def model_analog(spark, sf_dir):
@@ -311,6 +311,13 @@ def point_forecast(spark, sf_dir):
     return _rounded(models.point_forecast(*_seen(spark, sf_dir), P))
 
 
+def late_forecast(spark, sf_dir):
+    """Forecasts from the two weeks after each series' last report, as when reports are late."""
+    panel, seen, cal = _seen(spark, sf_dir)
+    wanted = panel.groupBy("series_id").agg(F.max("week_idx").alias("last")).select("series_id", F.explode(F.array(F.col("last") + 1, F.col("last") + 2)).alias("origin_idx"))
+    return _rounded(models.point_forecast(panel, seen, cal, P, _stored(models.origins_at(panel, wanted, P), "origins"), 1))
+
+
 def _simple_residuals(spark, sf_dir):
     """Residuals of every model in models.MODELS."""
     panel = _stored(_panel(spark, sf_dir), "panel")
@@ -455,7 +462,7 @@ _NAMES = """iso_calendar holiday_calendar load_history load_week_map case_rates
 fill_gaps plausibility_gate parse_reports apply_revisions stream_ingest label_holidays current_state history_document changed_rows staleness
 history_violations season_peak seasonal_change_stats extract_links url_week new_reports weekly_growth growth_profile level_climatology
 holiday_occurrences holiday_effects adjusted_series holiday_profile rolling_origins model_persistence model_legacy model_seasonal_naive
-model_profile model_profile_momentum model_clim_anomaly model_holiday_profile analog_align analog_weights model_analog point_forecast
+model_profile model_profile_momentum model_clim_anomaly model_holiday_profile analog_align analog_weights model_analog point_forecast late_forecast
 backtest_residuals residual_quantiles backtest_summary interval_coverage model_score backtest_report backtest_candidate phase_pool
 weighted_quantile widened_pool exceedance_prob make_forecast forecast_past forecast_violations skill_summary planned_value trend_class
 planning_phase early_signal situation capacity_level capacity_pct""".split()

@@ -1,8 +1,9 @@
 """Forecast models: (panel, p) -> (series_id, origin_idx, horizon, lp) for all eligible origins at once; lp is a natural log.
 
 No model sees a week after its origin: profiles of a season come from the seasons before it, holiday effects from the
-version known at the origin. Origins are weeks that have a value. seen is what profiles.with_effects() gives; write it
-as a table first, since the models read it several times.
+version known at the origin. Origins are weeks that have a value, but for the production models (analog, holiday
+profile and their blend), which also take origins_at(): weeks whose report is late are forecast from the last week that
+has one. seen is what profiles.with_effects() gives; write it as a table first, since the models read it several times.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from weekloom.functions.calendar import iso_week, iso_year, monday_of, wk
+from weekloom.functions.calendar import iso_week, iso_year, monday_of, season_of, wk
 from weekloom.operators.history import by_week
 from weekloom.operators.profiles import effect, growth_profile, holiday_profile, level_climatology, log_level
 from weekloom.params import Params
@@ -22,9 +23,9 @@ from weekloom.params import Params
 OUT = ["series_id", "origin_idx", "horizon", "lp"]
 
 
-def so_far() -> WindowSpec:
+def so_far(by: str = "horizon") -> WindowSpec:
     """The horizons of an origin up to each."""
-    return Window.partitionBy("series_id", "origin_idx").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
+    return Window.partitionBy("series_id", "origin_idx").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def rolling_origins(panel: DataFrame, p: Params) -> DataFrame:
@@ -33,6 +34,31 @@ def rolling_origins(panel: DataFrame, p: Params) -> DataFrame:
     return panel.withColumn("seen", seen).where((F.col("seen") >= p.min_seasons) & ~F.col("season").isin(*p.excluded)).select("series_id", F.col("week_idx").alias("origin_idx"), F.col("season").alias("s0"), "iso_year", "iso_week", "y")
 
 
+def origins_at(panel: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """(series_id, origin_idx, base_idx, s0) of wanted (series_id, origin_idx), weeks with or without a value.
+
+    base_idx is the last week up to the origin that has a value and is in no excluded season; s0 is the origin's own
+    season. Origins in excluded seasons, before min_seasons seasons and of series without a panel go.
+    """
+    rank = F.dense_rank().over(Window.partitionBy("series_id").orderBy("season"))
+    known = panel.withColumn("seen", rank).where(~F.col("season").isin(*p.excluded)).select("series_id", "week_idx", F.struct("week_idx", "seen").alias("base"))
+    asked = wanted.select("series_id", F.col("origin_idx").alias("week_idx"), F.lit(True).alias("asked")).distinct()
+    at = known.join(asked, ["series_id", "week_idx"], "full").withColumn("base", F.last("base", ignorenulls=True).over(by_week())).where("asked")
+    day = monday_of(F.col("week_idx"))
+    at = at.withColumn("s0", season_of(iso_year(day), iso_week(day))).where((F.col("base.seen") >= p.min_seasons) & ~F.col("s0").isin(*p.excluded))
+    return at.select("series_id", F.col("week_idx").alias("origin_idx"), F.col("base.week_idx").alias("base_idx"), "s0")
+
+
+def _gap() -> Column:
+    return F.col("origin_idx") - F.col("base_idx")
+
+
+def _steps(origins: DataFrame, p: Params) -> DataFrame:
+    """origins with each week after their base up to the last horizon: step, target_idx, and horizon, which is below 1 within a gap."""
+    t = origins.withColumn("step", F.explode(F.sequence(F.lit(1), (_gap() + p.horizon).cast("int"))))
+    return t.withColumns({"target_idx": F.col("base_idx") + F.col("step"), "horizon": (F.col("step") - _gap()).cast("int")})
+
+
 def targets(origins: DataFrame, p: Params) -> DataFrame:
     """origins with each horizon: target_idx, and year and week of the target (t_year, t_week)."""
     t = origins.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(p.horizon)))).withColumn("target_idx", F.col("origin_idx") + F.col("horizon"))
@@ -105,42 +131,44 @@ def clim_anomaly(panel: DataFrame, p: Params) -> DataFrame:
     return own_path.join(profile(panel, p), ["series_id", "origin_idx", "horizon"]).withColumn("lp", F.when(F.col("a0").isNull(), F.col("lp")).otherwise(F.col("own"))).select(OUT)
 
 
-def _known(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
-    """Origins with z, their holiday type, version (-1: none) and effects."""
-    known = seen.select("series_id", F.col("week_idx").alias("origin_idx"), "z", "htype", F.coalesce("version", F.lit(-1)).alias("version"), "effects")
-    return rolling_origins(panel, p).join(known, ["series_id", "origin_idx"])
+def _known(panel: DataFrame, seen: DataFrame, p: Params, origins: DataFrame | None = None) -> DataFrame:
+    """Origins (all weeks with a value, or those of origins_at) with z, holiday type, version (-1: none) and effects of their base."""
+    if origins is None:
+        origins = rolling_origins(panel, p).select("series_id", "origin_idx", F.col("origin_idx").alias("base_idx"), "s0")
+    known = seen.select("series_id", F.col("week_idx").alias("base_idx"), "z", "htype", F.coalesce("version", F.lit(-1)).alias("version"), "effects")
+    return origins.join(known, ["series_id", "base_idx"])
 
 
 def _target_type(t: DataFrame, cal: DataFrame) -> DataFrame:
     return t.join(F.broadcast(cal.select(F.col("week_idx").alias("target_idx"), F.col("htype").alias("t_htype"))), "target_idx", "left")
 
 
-def seasonal_profile_holiday(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
+def seasonal_profile_holiday(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params, origins: DataFrame | None = None) -> DataFrame:
     """Adjusted level plus pooled growth of past seasons, plus profile_phi**h times the recent pace over the profile's, plus the target's holiday effect."""
-    o = _known(panel, seen, cal, p)
+    o = _known(panel, seen, p, origins)
     g = holiday_profile(panel, cal, o.select("series_id", "s0", "version", "effects").dropDuplicates(["series_id", "s0", "version"]), p)
-    t = targets(o, p).withColumn("wk52", wk(F.col("t_week"))).join(g, ["series_id", "s0", "version", "wk52"], "left")
+    t = _steps(o, p).withColumn("wk52", wk(iso_week(monday_of(F.col("target_idx"))))).join(g, ["series_id", "s0", "version", "wk52"], "left")
     t = _target_type(t, cal)
     pace = F.lit(0.0)
     if p.profile_phi:
         m = seen.select("series_id", "week_idx", "wk52", F.col("z").alias("z_i"), F.col("htype").alias("type_i"), F.lag("week_idx").over(by_week()).alias("before_i"), F.lag("z").over(by_week()).alias("z_b"), F.lag("htype").over(by_week()).alias("type_b")).where("before_i = week_idx - 1")
-        steps = o.withColumn("week_idx", F.explode(F.sequence(F.col("origin_idx") - p.profile_n + 1, F.col("origin_idx")))).drop("z", "htype").join(m, ["series_id", "week_idx"])
+        steps = o.withColumn("week_idx", F.explode(F.sequence(F.col("base_idx") - p.profile_n + 1, F.col("base_idx")))).drop("z", "htype").join(m, ["series_id", "week_idx"])
         steps = steps.withColumn("change", F.col("z_i") - effect(F.col("type_i")) - F.col("z_b") + effect(F.col("type_b")))
-        # the profile is taken over as many weeks back from the origin as there are changes
+        # the profile is taken over as many weeks back from the base as there are changes
         per = steps.groupBy("series_id", "origin_idx").agg(F.greatest(F.lit(-p.profile_clip), F.least(F.lit(p.profile_clip), F.avg("change"))).alias("pace"), F.count("*").cast("int").alias("n"))
-        weeks = o.join(per, ["series_id", "origin_idx"]).withColumn("back", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("wk52", wk(iso_week(monday_of(F.col("origin_idx") - F.col("back")))))
+        weeks = o.join(per, ["series_id", "origin_idx"]).withColumn("back", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("wk52", wk(iso_week(monday_of(F.col("base_idx") - F.col("back")))))
         anom = weeks.join(g, ["series_id", "s0", "version", "wk52"], "left").groupBy("series_id", "origin_idx").agg((F.first("pace") - F.avg(F.coalesce("growth", F.lit(0.0)))).alias("anom"))
         t = t.join(anom, ["series_id", "origin_idx"], "left")
-        pace = F.pow(F.lit(p.profile_phi), F.col("horizon")) * F.coalesce("anom", F.lit(0.0))
-    path = F.sum(F.coalesce("growth", F.lit(0.0)) + pace).over(so_far())
-    return t.withColumn("lp", F.col("z") - effect(F.col("htype")) + path + effect(F.col("t_htype"))).select(OUT)
+        pace = F.pow(F.lit(p.profile_phi), F.col("step")) * F.coalesce("anom", F.lit(0.0))
+    path = F.sum(F.coalesce("growth", F.lit(0.0)) + pace).over(so_far("step"))
+    return t.withColumn("lp", F.col("z") - effect(F.col("htype")) + path + effect(F.col("t_htype"))).where("horizon > 0").select(OUT)
 
 
-def analog_align(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
-    """(series_id, s0, s, week_idx, season, shift, d, t_now, t_then): each week with the week of season s that holds the same date, for the seasons s0 whose windows reach it. d, the log difference, is null where the past week is missing."""
+def analog_align(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params, late: int = 0) -> DataFrame:
+    """(series_id, s0, s, week_idx, season, shift, d, t_now, t_then): each week with the week of season s that holds the same date, for the seasons s0 whose windows reach it. d, the log difference, is null where the past week is missing. late: the most seasons between an origin and its base."""
     m = seen.where(~F.col("season").isin(*p.excluded)).select("series_id", "week_idx", "season", "z", "htype")
     seasons = m.select("series_id", F.col("season").alias("s")).distinct()
-    back = -(-p.long_weeks // 52)
+    back = -(-p.long_weeks // 52) + late
     cur = m.withColumn("s0", F.explode(F.sequence(F.col("season"), F.col("season") + back))).join(seasons, "series_id").where("s < s0")
     july = lambda c: F.make_date(c, F.lit(7), F.lit(1))
     cur = cur.withColumn("shift", F.floor((3 - F.datediff(july(F.col("s0")), july(F.col("s")))) / 7).cast("long")).withColumn("past", F.col("week_idx") + F.col("shift"))
@@ -151,27 +179,27 @@ def analog_align(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params) -
 TYPES = ("xmas1", "xmas2", "autumn", "goodfri", "eastermon", "minor")
 
 
-def analog_weights(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
-    """(series_id, origin_idx, s0, s, shift, d2, o_now, o_long, w, effects, x0): the analogs of each origin.
+def analog_weights(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params, origins: DataFrame | None = None, late: int = 0) -> DataFrame:
+    """(series_id, origin_idx, base_idx, s0, s, shift, d2, o_now, o_long, w, effects, x0): the analogs of each origin.
 
     Effects enter a long window's mean linearly: raw differences and differences of holiday counts are summed by window
     frames once for each pair of seasons, and each origin applies its own effects to the sums.
     """
-    pairs = analog_align(panel, seen, cal, p)
+    pairs = analog_align(panel, seen, cal, p, late)
     frame = Window.partitionBy("series_id", "s0", "s").orderBy("week_idx").rangeBetween(-(p.long_weeks - 1), 0)
     counts = {f"c_{k}": F.sum(F.when(F.col("d").isNotNull(), (F.coalesce(F.col("t_now") == k, F.lit(False))).cast("int") - (F.coalesce(F.col("t_then") == k, F.lit(False))).cast("int"))).over(frame) for k in TYPES}
-    long = pairs.withColumns({"n_long": F.count("d").over(frame), "sum_d": F.sum("d").over(frame)} | counts).where("season = s0")
-    o = _known(panel, seen, cal, p).select("series_id", "origin_idx", "s0", "z", "htype", "effects")
-    at = long.withColumnRenamed("week_idx", "origin_idx").join(o, ["series_id", "origin_idx", "s0"])
+    long = pairs.withColumns({"n_long": F.count("d").over(frame), "sum_d": F.sum("d").over(frame)} | counts).where(f"s0 - season <= {late}")
+    o = _known(panel, seen, p, origins).select("series_id", "origin_idx", "base_idx", "s0", "z", "htype", "effects")
+    at = long.withColumnRenamed("week_idx", "base_idx").join(o, ["series_id", "base_idx", "s0"])
     taken = reduce(lambda a, k: a + F.col(f"c_{k}") * effect(F.lit(k)), TYPES, F.lit(0.0))
     at = at.withColumns({"o_long": (F.col("sum_d") - taken) / F.nullif(F.col("n_long"), F.lit(0)), "d_now": F.col("d") - effect(F.col("t_now")) + effect(F.col("t_then")), "x0": F.col("z") - effect(F.col("htype"))})
     own = pairs.where("d is not null").select("series_id", "s0", "s", "week_idx", F.col("d").alias("dj"), F.col("t_now").alias("tj"), F.col("t_then").alias("uj"))
-    lags = at.select("series_id", "s0", "s", "origin_idx", "effects", F.posexplode(F.expr(f"transform(sequence(0, {p.shape_weeks - 1}), j -> origin_idx - j)")).alias("j", "week_idx"))
+    lags = at.select("series_id", "s0", "s", "origin_idx", "effects", F.posexplode(F.expr(f"transform(sequence(0, {p.shape_weeks - 1}), j -> base_idx - j)")).alias("j", "week_idx"))
     shape = lags.join(own, ["series_id", "s0", "s", "week_idx"]).withColumns({"w": F.pow(F.lit(p.decay), F.col("j")), "r": F.col("dj") - effect(F.col("tj")) + effect(F.col("uj"))})
     mean = F.sum(F.col("w") * F.col("r")) / F.sum("w")
     shape = shape.groupBy("series_id", "s0", "s", "origin_idx").agg(F.count("*").alias("n_win"), mean.alias("o_win"), (F.sum(F.col("w") * F.col("r") * F.col("r")) / F.sum("w") - mean * mean).alias("d2"))
     a = at.join(shape, ["series_id", "s0", "s", "origin_idx"], "left")
-    future = at.select("series_id", "s0", "s", "origin_idx", F.explode(F.sequence(F.col("origin_idx") + F.col("shift") + 1, F.col("origin_idx") + F.col("shift") + p.horizon)).alias("week_idx")).join(panel.where(~F.col("season").isin(*p.excluded)).select("series_id", "week_idx"), ["series_id", "week_idx"]).select("series_id", "s0", "s", "origin_idx").distinct()
+    future = at.select("series_id", "s0", "s", "origin_idx", F.explode(F.sequence(F.col("base_idx") + F.col("shift") + 1, F.col("origin_idx") + F.col("shift") + p.horizon)).alias("week_idx")).join(panel.where(~F.col("season").isin(*p.excluded)).select("series_id", "week_idx"), ["series_id", "week_idx"]).select("series_id", "s0", "s", "origin_idx").distinct()
     a = a.join(future, ["series_id", "s0", "s", "origin_idx"], "left_semi")
     proper = F.coalesce(F.col("n_win") >= max(p.min_pairs, (p.shape_weeks + 1) // 2), F.lit(False))
     a = a.withColumn("kind", F.when(proper, 1).when(F.col("n_long") >= p.min_long_pairs, 2)).where("kind is not null")
@@ -182,25 +210,25 @@ def analog_weights(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params)
     a = a.withColumn("n", F.row_number().over(of.orderBy("d2", "s"))).where(F.col("n") <= p.nearest)
     w = F.exp(-F.col("d2") / (2 * p.tau * p.tau)) if p.tau > 0 else F.lit(1.0)
     a = a.withColumn("w", w).withColumn("w", F.when(F.sum("w").over(of) > 0, F.col("w")).otherwise(1.0))
-    return a.select("series_id", "origin_idx", "s0", "s", "shift", "d2", "o_now", "o_long", "w", "effects", "x0")
+    return a.select("series_id", "origin_idx", "base_idx", "s0", "s", "shift", "d2", "o_now", "o_long", "w", "effects", "x0")
 
 
-def analog(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
+def analog(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params, origins: DataFrame | None = None, late: int = 0) -> DataFrame:
     """Weighted mean of what each past season says; without any for a week the week before, without any at all the level; plus the target's holiday effect."""
-    a = analog_weights(panel, seen, cal, p)
+    a = analog_weights(panel, seen, cal, p, origins, late)
     then = seen.where(~F.col("season").isin(*p.excluded)).select("series_id", F.col("week_idx").alias("past"), F.col("z").alias("z_then"), F.col("htype").alias("t_then"))
-    each = a.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(p.horizon)))).withColumn("past", F.col("origin_idx") + F.col("horizon") + F.col("shift")).join(then, ["series_id", "past"])
-    said = F.col("z_then") - effect(F.col("t_then")) + F.col("o_long") + (F.col("o_now") - F.col("o_long")) * F.pow(F.lit(p.analog_rho), F.col("horizon"))
-    mean = each.groupBy("series_id", "origin_idx", "horizon").agg((F.sum(F.col("w") * said) / F.sum("w")).alias("v"))
-    t = _target_type(targets(_known(panel, seen, cal, p), p), cal).join(mean, ["series_id", "origin_idx", "horizon"], "left")
+    each = _steps(a, p).withColumn("past", F.col("target_idx") + F.col("shift")).join(then, ["series_id", "past"])
+    said = F.col("z_then") - effect(F.col("t_then")) + F.col("o_long") + (F.col("o_now") - F.col("o_long")) * F.pow(F.lit(p.analog_rho), F.col("step"))
+    mean = each.groupBy("series_id", "origin_idx", "step").agg((F.sum(F.col("w") * said) / F.sum("w")).alias("v"))
+    t = _target_type(_steps(_known(panel, seen, p, origins), p), cal).join(mean, ["series_id", "origin_idx", "step"], "left")
     level = F.col("z") - effect(F.col("htype"))
-    return t.withColumn("lp", F.coalesce(F.last("v", ignorenulls=True).over(so_far()), level) + effect(F.col("t_htype"))).select(OUT)
+    return t.withColumn("lp", F.coalesce(F.last("v", ignorenulls=True).over(so_far("step")), level) + effect(F.col("t_htype"))).where("horizon > 0").select(OUT)
 
 
-def point_forecast(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
-    """Blend of analog and profile, weighted by horizon."""
+def point_forecast(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params, origins: DataFrame | None = None, late: int = 0) -> DataFrame:
+    """Blend of analog and profile, weighted by horizon. origins: what origins_at() gives, with late, the most seasons between an origin and its base; else all weeks with a value."""
     w = F.element_at(F.array(*[F.lit(x) for x in p.blend]), F.least(F.col("horizon"), F.lit(len(p.blend))))
-    a, b = analog(panel, seen, cal, p), seasonal_profile_holiday(panel, seen, cal, p).withColumnRenamed("lp", "lp_b")
+    a, b = analog(panel, seen, cal, p, origins, late), seasonal_profile_holiday(panel, seen, cal, p, origins).withColumnRenamed("lp", "lp_b")
     return a.join(b, ["series_id", "origin_idx", "horizon"]).withColumn("lp", w * F.col("lp") + (1 - w) * F.col("lp_b")).select(OUT)
 
 
