@@ -170,12 +170,11 @@ def stream_ingest(spark, sf_dir):
     rows = _report_rows(spark, sf_dir).select("series_id", "week_idx", "value", "change_pct", F.when(F.col("week_idx") % 4 == 1, "scaled").otherwise("official").alias("source"))
     schema = ingest.STORE.rsplit(",", 1)[0]
     for k, part in enumerate((rows.where("week_idx % 2 = 1"), rows.where("week_idx % 2 = 0"), rows.where("week_idx % 4 = 1").withColumn("source", F.lit("official")).withColumn("value", F.col("value") + 1))):
-        part.coalesce(1).write.mode("append").parquet(f"{src}/{k}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+        part.repartition("series_id").write.parquet(f"{src}/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{src}/*")
     q = ingest.run_intake(spark, stream, out)
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return ingest.revise(spark.read.schema(ingest.STORE).parquet(f"{out}/v{last}"), P.revision).select("series_id", "week_idx", "value", "source")
+    return ingest.revise(ingest.read_store(spark, out), P.revision).select("series_id", "week_idx", "value", "source")
 
 
 def label_holidays(spark, sf_dir):
@@ -322,7 +321,7 @@ def _simple_residuals(spark, sf_dir):
     """Residuals of every model in models.MODELS."""
     panel = _stored(_panel(spark, sf_dir), "panel")
     every = reduce(DataFrame.unionByName, [f(panel, P).withColumn("model", F.lit(n)) for n, f in models.MODELS.items()])
-    return evaluate.residuals(panel, every)
+    return _stored(evaluate.residuals(panel, every), "residuals")
 
 
 def backtest_residuals(spark, sf_dir):
@@ -334,7 +333,7 @@ def residual_quantiles(spark, sf_dir):
 
 
 def backtest_summary(spark, sf_dir):
-    return _rounded(evaluate.backtest_summary(_stored(_simple_residuals(spark, sf_dir), "residuals"), P), 4)
+    return _rounded(evaluate.backtest_summary(_simple_residuals(spark, sf_dir), P), 4)
 
 
 def interval_coverage(spark, sf_dir):
@@ -342,11 +341,11 @@ def interval_coverage(spark, sf_dir):
 
 
 def model_score(spark, sf_dir):
-    return _rounded(evaluate.model_score(evaluate.backtest_summary(_stored(_simple_residuals(spark, sf_dir), "residuals"), P), P), 4)
+    return _rounded(evaluate.model_score(evaluate.backtest_summary(_simple_residuals(spark, sf_dir), P), P), 4)
 
 
 def backtest_report(spark, sf_dir):
-    return evaluate.backtest_report(evaluate.backtest_summary(_stored(_simple_residuals(spark, sf_dir), "residuals"), P), P)
+    return evaluate.backtest_report(evaluate.backtest_summary(_simple_residuals(spark, sf_dir), P), P)
 
 
 def backtest_candidate(spark, sf_dir):

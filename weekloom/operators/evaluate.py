@@ -9,6 +9,33 @@ from weekloom.functions.calendar import iso_week, iso_year, monday_of, phase, se
 from weekloom.params import Params
 
 QUANTILES = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
+#: Width of the bins by which errors (logs) are counted before those at a rank are put in order.
+BIN = 1 / 1024
+
+
+def at_ranks(rows: DataFrame, keys: list[str], value: Column, ranks: list[Column]) -> DataFrame:
+    """keys, n (the group's values) and at, a map from each rank to its value. Ranks are longs from 0, said by n; keys have no nulls, null values don't count.
+
+    Exact for groups of any size: values are counted by bins, and only bins that hold a rank are put in order, equal
+    values as one row. No task gets more than one bin of a group. rows are read twice: make them a table.
+    """
+    v = rows.select(*keys, value.alias("v")).where("v is not null").withColumn("bin", F.floor(F.col("v") / BIN))
+    own, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = v.groupBy(*keys, "bin").agg(F.count("*").alias("c")).withColumns({"n": F.sum("c").over(own), "before": F.sum("c").over(upto) - F.col("c")})
+    wanted = bins.withColumn("rank", F.explode(F.array_distinct(F.array(*ranks)))).where("rank >= before and rank < before + c").withColumn("rank_in", F.col("rank") - F.col("before")).drop("c", "before")
+    inside = v.join(wanted.select(*keys, "bin").distinct(), [*keys, "bin"], "left_semi").groupBy(*keys, "bin", "v").agg(F.count("*").alias("m"))
+    inside = inside.withColumn("end", F.sum("m").over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = inside.join(wanted, [*keys, "bin"]).where("rank_in >= end - m and rank_in < end")
+    return hit.groupBy(*keys).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: Column, qs: dict[str, float]) -> DataFrame:
+    """keys and exact quantiles, linear between the two nearest values; see at_ranks()."""
+    place = {n: F.lit(q) * (F.col("n") - 1) for n, q in qs.items()}
+    low, high = ({n: f(x).cast("long") for n, x in place.items()} for f in (F.floor, F.ceil))
+    at = at_ranks(rows, keys, value, [*low.values(), *high.values()])
+    value_at = lambda r: F.element_at("at", r)
+    return at.select(*keys, *[(value_at(low[n]) + (value_at(high[n]) - value_at(low[n])) * (place[n] - low[n])).alias(n) for n in qs])
 
 
 def residuals(panel: DataFrame, forecasts: DataFrame) -> DataFrame:
@@ -24,8 +51,7 @@ def split_of(p: Params) -> Column:
 
 
 def residual_quantiles(res: DataFrame) -> DataFrame:
-    q = F.percentile("err", F.array(*[F.lit(x) for x in QUANTILES.values()]))
-    return res.groupBy("model", "horizon").agg(q.alias("q")).select("model", "horizon", *[F.col("q")[k].alias(n) for k, n in enumerate(QUANTILES)])
+    return quantiles(res, ["model", "horizon"], F.col("err"), QUANTILES)
 
 
 def _splits(res: DataFrame, p: Params) -> DataFrame:
@@ -37,8 +63,8 @@ def _splits(res: DataFrame, p: Params) -> DataFrame:
 def backtest_summary(res: DataFrame, p: Params) -> DataFrame:
     """Metrics by split, model and horizon, and by phase of these (phase null: all). mae_pct takes the upper of two middle errors.
 
-    The two middle ranks are picked by row numbers within each group; metrics with sums are made with map-side sums.
-    Quantiles for the coverage always come from the tune split.
+    The middle errors are found by at_ranks(), all else by map-side sums: res should be a table. Quantiles for the
+    coverage always come from the tune split.
     """
     q = residual_quantiles(res.where(F.col("s0").between(*p.tune) & (F.col("horizon") <= p.eval_horizon)))
     s = _splits(res, p).join(F.broadcast(q), ["model", "horizon"], "left")
@@ -51,9 +77,8 @@ def backtest_summary(res: DataFrame, p: Params) -> DataFrame:
         (F.avg(F.when(moved, ((F.col("pchg") > 0) == (F.col("chg") > 0)).cast("double"))) * 100).alias("dir"),
         (F.avg(F.col("err").between(F.col("q25"), F.col("q75")).cast("double")) * 100).alias("cov50"), (F.avg(F.col("err").between(F.col("q10"), F.col("q90")).cast("double")) * 100).alias("cov80"),
     )
-    own = Window.partitionBy(*keys)
-    ranked = both.select(*keys, F.abs("err").alias("e")).withColumns({"r": F.row_number().over(own.orderBy("e")), "n_all": F.count("*").over(own)})
-    upper = ranked.where(F.expr("r = n_all div 2 + 1")).select(*keys, pct(F.col("e")).alias("mae_pct"))
+    middle = at_ranks(both, keys, F.abs("err"), [F.expr("n div 2")])
+    upper = middle.select(*keys, pct(F.element_at("at", F.expr("n div 2"))).alias("mae_pct"))
     return sums.join(upper, keys)
 
 

@@ -1,4 +1,4 @@
-"""Incremental intake: new rows are merged into a store by key and priority; revisions are worked out when the store is read."""
+"""Incremental intake: new rows are added to a store; priority, late rows and revisions are worked out when the store is read."""
 
 from __future__ import annotations
 
@@ -10,11 +10,16 @@ PRIORITY = {"official": 1, "scaled": 2, "interpolated": 3}
 STORE = "series_id string, week_idx long, value double, change_pct double, source string, version long"
 
 
-def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
+def latest(rows: DataFrame) -> DataFrame:
     """One row for each series and week: the better source, then the later version. Late rows count as any others."""
     rank = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("source")]
     own = Window.partitionBy("series_id", "week_idx").orderBy(rank, F.desc("version"))
-    return store.unionByName(batch).withColumn("n", F.row_number().over(own)).where("n = 1").drop("n")
+    return rows.withColumn("n", F.row_number().over(own)).where("n = 1").drop("n")
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """What the intake below path has taken, one row for each series and week."""
+    return latest(spark.read.schema(STORE).parquet(f"{path}/rows/batch=*"))
 
 
 def revise(store: DataFrame, tolerance: float) -> DataFrame:
@@ -30,14 +35,12 @@ def revise(store: DataFrame, tolerance: float) -> DataFrame:
 
 
 def run_intake(spark: SparkSession, source: DataFrame, path: str) -> StreamingQuery:
-    """Starts the intake of a streaming DataFrame (STORE without version) into Parquet versions below path; available data only.
+    """Starts the intake of a streaming DataFrame (STORE without version) below path; available data only.
 
-    Each micro-batch writes a whole new version from the one before, so that a batch that is run again gives the same
-    version. No watermark: weeks may come any number of weeks late.
+    Each micro-batch writes its own rows alone, in a folder by its number, so that a batch that is run again overwrites
+    itself and none costs more than its rows. No watermark: weeks may come any number of weeks late.
     """
-    def merge(batch: DataFrame, n: int) -> None:
-        rows = batch.withColumn("version", F.lit(n).cast("long"))
-        store = spark.read.schema(STORE).parquet(f"{path}/v{n - 1}") if n else rows.limit(0)
-        upsert(store, rows).write.mode("overwrite").parquet(f"{path}/v{n}")
+    def add(batch: DataFrame, n: int) -> None:
+        latest(batch.withColumn("version", F.lit(n).cast("long"))).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
 
-    return source.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
