@@ -13,8 +13,7 @@ from weekloom.functions.calendar import monday_of, phase, week_label, weeks_in_i
 from weekloom.operators import decide, evaluate, forecast, history, models, profiles
 from weekloom.params import ORDERS as P
 from weekloom.sources import reports
-from weekloom.sources.panel import orders_calendar as _orders_calendar
-from weekloom.sources.panel import orders_panel, read_history, read_week_map, with_calendar
+from weekloom.sources.panel import orders_panel, panel_calendar, read_history, read_week_map, with_calendar
 from weekloom.streaming import ingest
 
 
@@ -43,22 +42,22 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_CALENDARS: dict[str, str] = {}
+_CALENDARS: dict[tuple[str, str], str] = {}
 
 
-def orders_calendar(spark):
-    """The calendar, some hundred rows, written once for each application."""
-    app = spark.sparkContext.applicationId
-    if app not in _CALENDARS:
+def orders_calendar(spark, sf_dir):
+    """The calendar of the panel's years, some hundred rows, written once for each application and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _CALENDARS:
         path = _dir(spark, "calendar")
-        _orders_calendar(spark).coalesce(1).write.parquet(path)
-        _CALENDARS[app] = path
-    return spark.read.parquet(_CALENDARS[app])
+        panel_calendar(_panel(spark, sf_dir)).coalesce(1).write.parquet(path)
+        _CALENDARS[key] = path
+    return spark.read.parquet(_CALENDARS[key])
 
 
 def _seen(spark, sf_dir):
     """Panel, the same with the holiday effects known in each week, and the calendar, each a table."""
-    panel, cal = _stored(_panel(spark, sf_dir), "panel"), orders_calendar(spark)
+    panel, cal = _stored(_panel(spark, sf_dir), "panel"), orders_calendar(spark, sf_dir)
     return panel, _stored(profiles.with_effects(panel, cal, P), "seen"), cal
 
 
@@ -81,7 +80,7 @@ def iso_calendar(spark, sf_dir):
 
 def holiday_calendar(spark, sf_dir):
     used = _panel(spark, sf_dir).select("week_idx").distinct()
-    return orders_calendar(spark).join(used, "week_idx", "left_semi").select("week_idx", "iso_year", "iso_week", "htype", "hlabel")
+    return orders_calendar(spark, sf_dir).join(used, "week_idx", "left_semi").select("week_idx", "iso_year", "iso_week", "htype", "hlabel")
 
 
 def load_history(spark, sf_dir):
@@ -131,7 +130,7 @@ def history_entries(spark, sf_dir):
 
 def fill_gaps(spark, sf_dir):
     h = _panel(spark, sf_dir).where("week_idx % 11 <> 5").select("series_id", "week_idx", F.col("y").alias("value"), F.lit("official").alias("source"))
-    return _rounded(history.fill_single_gaps(h, orders_calendar(spark)), 4)
+    return _rounded(history.fill_single_gaps(h, orders_calendar(spark, sf_dir)), 4)
 
 
 def plausibility_gate(spark, sf_dir):
@@ -178,11 +177,11 @@ def stream_ingest(spark, sf_dir):
 
 
 def label_holidays(spark, sf_dir):
-    return _panel(spark, sf_dir).select("series_id", "week_idx", "y").join(F.broadcast(orders_calendar(spark).select("week_idx", "htype", "hlabel")), "week_idx", "left")
+    return _panel(spark, sf_dir).select("series_id", "week_idx", "y").join(F.broadcast(orders_calendar(spark, sf_dir).select("week_idx", "htype", "hlabel")), "week_idx", "left")
 
 
 def current_state(spark, sf_dir):
-    return history.current_state(_panel(spark, sf_dir), orders_calendar(spark), P)
+    return history.current_state(_panel(spark, sf_dir), orders_calendar(spark, sf_dir), P)
 
 
 def history_document(spark, sf_dir):
@@ -245,15 +244,15 @@ def level_climatology(spark, sf_dir):
 
 
 def holiday_occurrences(spark, sf_dir):
-    return _rounded(profiles.holiday_occurrences(_panel(spark, sf_dir), orders_calendar(spark), P))
+    return _rounded(profiles.holiday_occurrences(_panel(spark, sf_dir), orders_calendar(spark, sf_dir), P))
 
 
 def holiday_effects(spark, sf_dir):
-    return _rounded(profiles.holiday_effects(profiles.holiday_occurrences(_panel(spark, sf_dir), orders_calendar(spark), P), P))
+    return _rounded(profiles.holiday_effects(profiles.holiday_occurrences(_panel(spark, sf_dir), orders_calendar(spark, sf_dir), P), P))
 
 
 def adjusted_series(spark, sf_dir):
-    return _rounded(profiles.adjusted_series(_panel(spark, sf_dir), orders_calendar(spark), P))
+    return _rounded(profiles.adjusted_series(_panel(spark, sf_dir), orders_calendar(spark, sf_dir), P))
 
 
 def holiday_profile(spark, sf_dir):
@@ -435,7 +434,7 @@ def planning_phase(spark, sf_dir):
 
 
 def early_signal(spark, sf_dir):
-    return decide.early_signal(_secondary(spark, sf_dir).select("series_id", "week_idx", "y"), orders_calendar(spark), P)
+    return decide.early_signal(_secondary(spark, sf_dir).select("series_id", "week_idx", "y"), orders_calendar(spark, sf_dir), P)
 
 
 def situation(spark, sf_dir):
@@ -445,7 +444,7 @@ def situation(spark, sf_dir):
 
 def capacity_level(spark, sf_dir):
     """The ratchet over all weeks of each series, planned on the measured value."""
-    panel, cal = _panel(spark, sf_dir), orders_calendar(spark)
+    panel, cal = _panel(spark, sf_dir), orders_calendar(spark, sf_dir)
     prev = F.lag("y").over(history.by_week())
     w = panel.join(F.broadcast(cal.select("week_idx", "htype")), "week_idx", "left").select("series_id", "week_idx", "y", "iso_week", history.band_of(F.col("y"), P).alias("planned_band"), F.lit(False).alias("signal"), F.coalesce(F.col("y") < prev, F.lit(False)).alias("falling"), F.col("htype").isNotNull().alias("on_holiday"), F.when(F.col("iso_week").between(33, 47), "autumn").when(F.col("iso_week").between(22, 32), "summer").when(F.col("iso_week").between(11, 21), "spring").otherwise("winter_pre").alias("plan_phase"))
     return decide.capacity_level(w, P)

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.calendar import calendar, iso_week, iso_year, monday, season_of, week_idx, wk
 
-#: Years of the calendar that is joined to the orders table.
-YEARS = (1994, 2002)
-
-
 def with_calendar(df: DataFrame, date: Column) -> DataFrame:
     """Adds week_idx, iso_year, iso_week, wk52 and season of a date."""
     return df.withColumn("__d", date).withColumns({"week_idx": week_idx(F.col("__d")), "iso_year": iso_year(F.col("__d")), "iso_week": iso_week(F.col("__d"))}).withColumns({"wk52": wk(F.col("iso_week")), "season": season_of(F.col("iso_year"), F.col("iso_week"))}).drop("__d")
@@ -23,8 +19,10 @@ def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_calendar(weekly, F.col("monday")).where("y > 0").select("series_id", "week_idx", "iso_year", "iso_week", "wk52", "season", "y")
 
 
-def orders_calendar(spark: SparkSession) -> DataFrame:
-    return calendar(spark, *YEARS)
+def panel_calendar(panel: DataFrame) -> DataFrame:
+    """The calendar of a panel's years and one more on each side, which neighbours and forecasts reach."""
+    first, last = panel.agg(F.min("iso_year"), F.max("iso_year")).first()
+    return calendar(panel.sparkSession, (first or 2000) - 1, (last or 2000) + 1)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
