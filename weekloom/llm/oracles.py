@@ -88,4 +88,58 @@ select page_id, payload_bytes, payload_digest, case when page_id = first_id then
 from d
 """
 
-ORACLES = {"op1_decontaminate": DECONTAMINATE, "op2_line_dedup": LINE_DEDUP, "op3_warc": WARC, "op6_quality_rules": QUALITY, "op9_mix_sources": MIX}
+SUFFIX_DEDUP = """
+with d as (select doc_id, lower(hex(coalesce(text, ''))) as h from documents),
+n as (select doc_id, h, cast(length(h) // 2 as bigint) as n_bytes from d),
+b as (select doc_id, k, substring(h, 1000 * k + 1, 1098) as part from (select doc_id, h, unnest(generate_series(0, n_bytes // 500)) as k from n)),
+w as (select doc_id, 500 * k + j as p, substring(part, 2 * j + 1, 100) as s from (select doc_id, k, part, unnest(generate_series(0, least(499, length(part) // 2 - 50))) as j from b where length(part) >= 100)),
+f as (select s, min(doc_id) as first_id from w group by s having min(doc_id) < max(doc_id)),
+g as (select doc_id, p, max(p + 50) over (partition by doc_id order by p rows between unbounded preceding and 1 preceding) as upto
+  from (select distinct w.doc_id, w.p from w join f on w.s = f.s where f.first_id < w.doc_id)),
+i as (select doc_id, p, sum(case when upto is null or p > upto then 1 else 0 end) over (partition by doc_id order by p) as span from g),
+r as (select doc_id, span, min(p) as a, max(p) + 50 as b from i group by doc_id, span),
+l as (select doc_id, list(a order by a) as starts, list(b order by a) as ends, sum(b - a) as n_removed from r group by doc_id)
+select n.doc_id, n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(len(starts), 0) as bigint) as n_spans,
+  sha256(unhex(case when starts is null then h else list_aggregate(list_transform(generate_series(0, len(starts)), lambda k:
+    substring(h, 2 * coalesce(ends[k], 0) + 1, 2 * (coalesce(starts[k + 1], n_bytes) - coalesce(ends[k], 0)))), 'string_agg', '') end)) as kept_sha256
+from n left join l using (doc_id)
+"""
+
+_WHOLE = "list_transform(embedding, lambda x: cast(floor({} * cast(x as double)) as bigint))"
+_FINITE = "embedding is not null and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))"
+HARD_NEGATIVES = f"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_WHOLE.format(256)} as v from embeddings where label is not null and {_FINITE}),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_dot_product(cast(a.v as double[]), cast(b.v as double[])) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, other) as integer) as rank, other as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, other) <= 5
+"""
+
+
+def _ball_kmeans(clusters: int = 8, rounds: int = 10) -> str:
+    """Plain k-means: all distances in each round."""
+    steps = [
+        f"v as materialized (select vec_id, {_WHOLE.format(1024)} as v from embeddings where len(embedding) = 64 and {_FINITE})",
+        f"c0 as materialized (select cast(row_number() over (order by sha256('3:' || vec_id)) - 1 as integer) as k, v as c from v order by sha256('3:' || vec_id) limit {clusters})",
+    ]
+    for r in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"a{r} as materialized (select vec_id, any_value(v) as v, min_by(k, (d, k)) as k, min(d) as d from (select vec_id, v, k, cast({far} as bigint) as d from v, c{r}) group by vec_id)")
+        if r < rounds:
+            steps.append(f"m{r} as (select k, i, sum(x) as s, count(*) as n from (select k, unnest(v) as x, unnest(range(64)) as i from a{r}) group by k, i)")
+            mean = "cast((s - ((s % n) + n) % n) // n as bigint)"
+            steps.append(f"c{r + 1} as materialized (select k, coalesce(any_value(x), any_value(c)) as c from c{r} left join (select k, list({mean} order by i) as x from m{r} group by k) using (k) group by k)")
+    return (
+        "with " + ",\n".join(steps) + f"""
+select vec_id, k as cluster, d as distance, cast(sum(d) over (partition by k) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+  sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} using (k)
+"""
+    )
+
+
+BALL_KMEANS = _ball_kmeans()
+
+ORACLES = {"op1_decontaminate": DECONTAMINATE, "op2_line_dedup": LINE_DEDUP, "op3_warc": WARC, "op6_quality_rules": QUALITY, "op9_mix_sources": MIX, "op11_suffix_dedup": SUFFIX_DEDUP, "op12_hard_negatives": HARD_NEGATIVES, "op13_ball_kmeans": BALL_KMEANS}

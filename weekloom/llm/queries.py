@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from weekloom.llm import decontaminate, langid, licenses, linededup, mixing, neardup, quality, secrets, tokenfile, warc
+from pyspark.sql import functions as F
+
+from weekloom.llm import centroids, decontaminate, langid, licenses, linededup, mixing, neardup, negatives, quality, secrets, suffixes, tokenfile, warc
 from weekloom.llm.common import table
 
 
@@ -46,4 +48,17 @@ def op10_token_file(spark, sf_dir):
     return tokenfile.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_warc, op4_near_dedup, op5_language_id, op6_quality_rules, op7_secret_scan, op8_license_scan, op9_mix_sources, op10_token_file)}
+def op11_suffix_dedup(spark, sf_dir):
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op13_ball_kmeans(spark, sf_dir):
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_warc, op4_near_dedup, op5_language_id, op6_quality_rules, op7_secret_scan, op8_license_scan, op9_mix_sources, op10_token_file, op11_suffix_dedup, op12_hard_negatives, op13_ball_kmeans)}
