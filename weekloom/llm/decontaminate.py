@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import NOT_WORD, ascii_lower, split_words, written
+from weekloom.llm.common import NOT_WORD, ascii_lower, joined, split_words, written
 
 WINDOW, GRAM = 10, 5
 #: Bytes of a benchmark's windows, with their items' ids, that may be broadcast.
@@ -93,11 +93,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
         chosen = _places(docs, lengths, window, gram) if len(lengths) > 1 else _hashed(docs, key, gram).select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("i")).where(F.col("i") + lengths[0] <= F.col("n")).select(
             *key, F.lit(lengths[0]).alias("k"), "i", _fingerprint(F.col("i"), lengths[0], window, gram).alias("fp"), before.alias("before")
         ).where(F.col("before").isNull() | (F.col("fp") != F.col("before")))
-        able = written(chosen.where("i >= 0").select(*key, "k", "fp").join(fps, ["k", "fp"], "left_semi").select(*key).distinct(), "able")
+        chosen = chosen.where("i >= 0").select(*key, "k", "fp")
+        # counted with map-side sums; places of a passage that very many documents quote are dealt out by text
+        counts = written(chosen.groupBy("k", "fp").agg(F.count("*").alias("met")).join(fps.drop("known"), ["k", "fp"]), "counts")
+        total = counts.agg(F.sum("met")).first()[0] or 0
+        able = written(joined(chosen, counts, ["k", "fp"], "met", total, "text_hash").select(*key).distinct(), "able")
         alike = docs.doc_id.eqNullSafe(able.doc_id) & (docs.text_hash == able.text_hash)
-        found = _places(docs.join(able, alike, "left_semi"), lengths, window, gram).where("i >= 0").select(*key, "n", "i", "k", words.alias("words")).join(windows.drop("fp"), ["k", "words"])
-        each = docs.select(*key, F.size(split_words(ascii_lower(F.col("text")), NOT_WORD)).alias("n"), F.lit(-1).alias("i"), F.lit(0).alias("k"), F.lit(None).cast("array<bigint>").alias("items"))
-        extended = found.select(*key, "n", "i", "k", F.col("items").cast("array<bigint>").alias("items")).unionByName(each)
+        counted = written(windows.join(counts, ["k", "fp"]).drop("fp"), "counted")
+        places = _places(docs.join(able, alike, "left_semi"), lengths, window, gram).where("i >= 0").select(*key, "n", "i", "k", words.alias("words"))
+        found = joined(places, counted, ["k", "words"], "met", total, "text_hash")
+        items = windows.schema["items"].dataType
+        each = docs.select(*key, F.size(split_words(ascii_lower(F.col("text")), NOT_WORD)).alias("n"), F.lit(-1).alias("i"), F.lit(0).alias("k"), F.lit(None).cast(items).alias("items"))
+        extended = found.select(*key, "n", "i", "k", "items").unionByName(each)
     span = F.when(F.col("i") >= 0, F.struct("i", (F.col("i") + F.col("k")).alias("e")))
     covered = F.aggregate(
         F.array_sort("spans"),

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_DRAWN = np.random.default_rng(20).integers(1, 1 << 63, 257, np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUE = _DRAWN[:256].copy()
-_VALUE[65:91] = _VALUE[97:123]  # A-Z as a-z
-_BASE, _BACK = _DRAWN[256], np.uint64(pow(int(_DRAWN[256]), -1, 1 << 64))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32  # A-Z as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,34 +21,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, n at least; those of very long texts aren't kept."""
-    if n <= len(_POWERS[0]):
-        return _POWERS
-    made = [np.cumprod(np.full(n, x, np.uint64)) for x in (_BASE, _BACK)]
-    if n <= 1 << 21:
-        _POWERS[:] = made
-    return made
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the pieces of data between starts and ends, A-Z as a-z.
+
+    A piece is taken eight bytes at a time; each eight are mixed with their place, bit by bit, and the mixes are added. So
+    no pattern of letters, however long, makes sums meet; two pieces do with the chance of random 64-bit numbers.
+    """
+    folded = np.zeros(len(data) + 8, np.uint8)
+    folded[: len(data)] = _FOLD[data]
+    eight = np.ndarray(len(data) + 1, "<u8", folded, strides=(1,))
+    n = ends - starts
+    sums = mix((eight[starts] & _MASK[np.minimum(n, 8)]) ^ _STEP)
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        more = (n[long] - 1) // 8
+        first = np.cumsum(more) - more
+        nth = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at, left = np.repeat(starts[long], more) + 8 * nth, np.repeat(n[long], more) - 8 * nth
+        sums[long] += np.add.reduceat(mix((eight[at] & _MASK[np.minimum(left, 8)]) ^ mix((nth + 1).astype(np.uint64) * _STEP)), first)
+    return mix(sums + n.astype(np.uint64) * _STEP)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words between ASCII white space of all texts, A-Z as a-z, and the number of words of each text."""
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    powers = _powers(len(joined))
-    space = _SPACE[joined]
-    edge = np.diff(space.view(np.int8), prepend=np.int8(1))
+    edge = np.diff(_SPACE[joined].view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_VALUE[joined] * powers[0][: len(joined)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * powers[1][starts])
     upto = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))
-    return words, np.diff(upto, prepend=0)
+    return piece_hashes(joined, starts, ends), np.diff(upto, prepend=0)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's shingles of so many words; a text of fewer words is one shingle, of none empty."""
     words, counts = word_hashes(texts)
-    step = np.uint64(0x9E3779B97F4A7C15)
+    step = _STEP
     fold = mix(words + step)
     for j in range(1, width):
         upto = max(0, len(words) - j)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.llm.common import kept, new_path, tokenizer_path
-from weekloom.llm.hashing import text_chunks
+from weekloom.llm.hashing import piece_hashes, text_chunks
 
 BLOCK, PACK = 256, 1 << 19
 MAX_BITS = 18
@@ -48,7 +48,7 @@ class Encoder:
 
     SPACE, LETTER, STOP, OTHER = range(4)
 
-    def __init__(self, path: str, seed: int = 1):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,19 +61,9 @@ class Encoder:
         self.kind[[*b" \t\n\r\x0b\x0c"]] = self.SPACE
         self.kind[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = self.LETTER
         self.kind[[*b".,;:!?"]] = self.STOP
-        drawn = np.random.default_rng(seed).integers(1, 1 << 63, 258, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.value = drawn[:256].copy()
-        self.value[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = self.value[[*b"abcdefghijklmnopqrstuvwxyz"]]
-        self.base, self.back = drawn[256], np.uint64(pow(int(drawn[256]), -1, 1 << 64))
-        self.powers = self.inverse = np.ones(0, np.uint64)
         self.hashes, self.index = np.empty(0, np.uint64), np.empty(0, np.int32)  # sorted hashes of known pieces, and where their ids are
         self.begin, self.length, self.flat = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint32)
 
-    def _powers(self, n: int) -> None:
-        if n > len(self.powers):
-            self.powers = np.cumprod(np.full(n, self.base, np.uint64))
-            self.inverse = np.cumprod(np.full(n, self.back, np.uint64))
-
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
@@ -128,10 +118,7 @@ class Encoder:
         cut[0] = False
         edges = np.flatnonzero(cut)
         ends = edges[np.searchsorted(edges, starts, "right")] if len(starts) else starts
-        self._powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.value[data] * self.powers[: len(data)], out=sums[1:])
-        codes, distinct = pd.factorize((sums[ends] - sums[starts]) * self.inverse[starts])
+        codes, distinct = pd.factorize(piece_hashes(data, starts, ends))
         where, known = self._find(distinct)
         if not known.all():
             first = np.empty(len(distinct), np.int64)
@@ -159,8 +146,6 @@ class Encoder:
                 parts[k] = np.array([*ids, END_ID], np.uint32)
                 sizes[k] = len(ids)
             out = np.concatenate(parts)
-        if len(self.powers) > 1 << 21:  # those of a very long text
-            self.powers = self.inverse = np.ones(0, np.uint64)
         return out, sizes + 1
 
 
