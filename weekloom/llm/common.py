@@ -64,7 +64,7 @@ DEALT = 256
 
 
 def joined(rows: DataFrame, sums: DataFrame, keys: list[str], count: str, total: int, spread: str, how: str = "inner") -> DataFrame:
-    """rows joined with sums, a written table of one row for each key, by plain equality; hot keys are split.
+    """rows joined with sums, a written table of one row or a few for each key, by plain equality; hot keys are split.
 
     count names sums' column of how many of the total rows have the key. Keys with more than one in HOT of the rows, of
     which there are fewer than HOT, are broadcast as keys alone; their rows are dealt out by a hash of the column
@@ -72,7 +72,7 @@ def joined(rows: DataFrame, sums: DataFrame, keys: list[str], count: str, total:
     """
     hot = sums.where(F.col(count) * HOT > total)
     names = [f"hot_{k}" for k in keys]
-    known = F.broadcast(hot.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit(True).alias("is_hot")))
+    known = F.broadcast(hot.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit(True).alias("is_hot")).distinct())
     met = reduce(lambda c, x: c & x, [rows[k] == known[n] for k, n in zip(keys, names, strict=True)])
     dealt = rows.join(known, met, "left").withColumn("dealt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(spread), F.lit(DEALT))).otherwise(F.lit(0))).drop(*names, "is_hot")
     copies = F.when(F.col(count) * HOT > total, F.lit(DEALT - 1)).otherwise(0)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import kept, written
+from weekloom.llm.common import joined, kept, written
 from weekloom.llm.components import components
 from weekloom.llm.hashing import chunks, mix, shingle_sets, text_chunks
 
@@ -199,13 +199,15 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     key = ["h1", "h2", "doc_id", "t"]
     nodes = written(real.join(classes, key).groupBy(*key).agg(*[F.first(x).alias(y) for x, y in (("rep", "rep"), ("n_shingles", "n"), ("bands", "bands"), ("sketch", "sketch"))]).drop(*key), "nodes")
     placed = nodes.select("rep", "n", F.explode("bands").alias("key"))
-    # tables that meet rows by hot keys are written first: between two plain exchanges, Spark splits such keys
-    shared = written(placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    met = written(placed.join(shared, "key"), "met")
+    # rows meet what is said of their bucket by parts, where a bucket holds very many
+    shared = written(placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("members", F.col("size")), "shared")
+    by_key = lambda rows, sums, count, spread="rep": joined(rows, sums, ["key"], count, in_buckets, spread)
+    in_buckets = shared.agg(F.sum("size")).first()[0] or 0
+    met = written(by_key(placed, shared, "members"), "met")
     # the text that the others vary meets more of them than they meet one another: it is the best centre
     weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
     members = written(met.join(weight, "rep").select("key", "rep", "n", "weight"), "members")
-    centres = written(members.groupBy("key").agg(F.max_by("rep", "weight").alias("centre")), "centres")
+    centres = written(members.groupBy("key").agg(F.max_by("rep", "weight").alias("centre"), F.count("*").alias("members")), "centres")
 
     limit = most_bits(percent / 100 - SLACK)
     sketches = nodes.select("rep", "n", "sketch")
@@ -229,7 +231,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
         return written(near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm_batches(width, percent), "a long, b long"), "links")
 
     pair = [F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")]
-    tried = written(members.join(centres, "key").where("rep <> centre").select(*pair).distinct(), "tried")
+    tried = written(by_key(members, centres, "members").where("rep <> centre").select(*pair).distinct(), "tried")
     found = compared(tried, few=False)
     open_pairs = None
     while True:
@@ -241,28 +243,28 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
             F.max_by("component", "weight").alias("first"), F.max_by("c", "weight").alias("c"), F.max_by("component", "c").alias("largest"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.sum(square).alias("own")
         ).where("parts > 1")
         others = F.col("all") - F.col("c")
-        mixed = written(mixed.select("key", "first", "largest", ((F.col("all") * F.col("all") - F.col("own")) / 2 > DIRECT * F.col("all")).alias("large"), ((others * others - F.col("own") + square) / 2).alias("pairs")), "parted")
-        state = written(state.join(mixed, "key").select("key", "rep", "n", "weight", "component", "first", "largest", "large", "pairs"), "mixed")
+        mixed = written(mixed.select("key", "first", "largest", F.col("all").alias("members"), ((F.col("all") * F.col("all") - F.col("own")) / 2 > DIRECT * F.col("all")).alias("large"), ((others * others - F.col("own") + square) / 2).alias("pairs")), "parted")
+        state = written(by_key(state, mixed.withColumn("in_all", F.col("members")), "members").select("key", "rep", "n", "weight", "component", "first", "largest", "large", "pairs", "in_all"), "mixed")
         large = state.where("large and component <> first")
         rows, between = large.groupBy("key").agg(F.count("*").alias("rows"), F.first("pairs").alias("pairs")).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if between <= DIRECT * rows or (open_pairs is not None and between > 0.7 * open_pairs):
             break
         open_pairs = between
-        second = written(large.groupBy("key").agg(F.max_by("rep", "weight").alias("centre"), F.max_by("component", "weight").alias("of")), "second")
-        star = large.join(second, "key").where("component <> of").select(*pair).distinct()
+        second = written(large.groupBy("key").agg(F.max_by("rep", "weight").alias("centre"), F.max_by("component", "weight").alias("of"), F.count("*").alias("members")), "second")
+        star = by_key(large, second, "members").where("component <> of").select(*pair).distinct()
         star = written(star.join(tried, ["a", "b"], "left_anti"), "star")
         tried = tried.unionByName(star)
         found = found.unionByName(compared(star))
     # few pairs between components of a bucket: at most some 16 members are outside its largest one, or 32 are in it at all
-    x, y = (z.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")], *own) for s, z, own in (("a", state.where("not large and component <> largest"), ["largest"]), ("b", state.where("not large"), [])))
+    x, y = (z.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")], *own) for s, z, own in (("a", state.where("not large and component <> largest"), ["largest", "in_all"]), ("b", state.where("not large"), [])))
     once = (F.col("component_b") == F.col("largest")) | (F.col("rep_a") < F.col("rep_b"))
-    rest = x.join(y, "key").where((F.col("component_a") != F.col("component_b")) & once & _alike(F.col("n_a"), F.col("n_b"), percent))
+    rest = by_key(y, written(x, "outside"), "in_all", "rep_b").where((F.col("component_a") != F.col("component_b")) & once & _alike(F.col("n_a"), F.col("n_b"), percent))
     rest = rest.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
     # buckets whose centres are linked with one heavier text share that one, so that sets are compared with few centres
     linked = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = linked.join(centres.select(F.col("centre").alias("a")).distinct(), "a", "left_semi").unionByName(centres.select(F.col("centre").alias("a"), F.col("centre").alias("b")).distinct())
     lead = written(linked.join(weight.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("centre")).agg(F.max(F.struct("weight", "b"))["b"].alias("lead")), "leads")
-    around = state.where("large").select("key", "rep", "component").join(centres, "key").select("centre", "rep", "component").distinct()
+    around = by_key(state.where("large").select("key", "rep", "component"), centres, "members").select("centre", "rep", "component").distinct()
     around = written(around.join(lead, "centre").where("rep <> lead").select(F.col("lead").alias("centre"), "rep", "component").distinct(), "around")
     if not around.isEmpty():
         rest = rest.unionByName(_about_centres(texts_of, around, width, percent))
