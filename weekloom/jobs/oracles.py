@@ -172,6 +172,51 @@ ph as (select n.series_id, n.iso_week, case when n.iso_week between 33 and 47 th
     when peak >= 1000 and n.week_idx - peak_idx >= 3 and n.y <= 0.85 * peak and falling then 'winter_post' else 'winter_pre' end as plan_phase
   from now n join pk on pk.series_id = n.series_id and pk.season = n.season join tr on tr.series_id = n.series_id)"""
 
+#: Facts of all weeks, for two delays.
+_VINTAGES = f"""{_BLEND}, {_pool("1 and 99999")}, {_WIDE}, {_CHANCES}, {_FORECAST}, {_SECOND},
+pw as (select p.*, htype, lead(p.week_idx) over (partition by p.series_id order by p.week_idx) as next_idx from panel p left join cal using (week_idx)),
+kn as (select w.*, unnest(generate_series(week_idx, least(coalesce(next_idx, week_idx + 1) - 1, week_idx + 3))) as known_idx from pw w),
+vt as (select kn.*, known_idx + delay as today_idx, cast(delay as integer) as delay, (select list(a.y order by a.week_idx desc) from pw a where a.series_id = kn.series_id and a.htype is null and a.week_idx <= kn.week_idx) as c,
+    (select max(a.y) from panel a where a.series_id = kn.series_id and a.season = kn.season and a.week_idx <= kn.week_idx) as peak from kn, unnest([1, 2]) as t(delay)),
+vp as (select vt.*, (select min(a.week_idx) from panel a where a.series_id = vt.series_id and a.season = vt.season and a.week_idx <= vt.week_idx and a.y = peak) as peak_idx, date '1970-01-01' + cast(today_idx * 7 + 1 - 719163 as integer) as day from vt),
+fc as (select f.*, c.htype as tt from forecast f left join cal c using (week_idx)),
+sd as (select v.series_id, v.today_idx, v.delay, avg(f.median) filter (f.week_idx - today_idx between 1 and 4 and tt is null) as soon, max(f.q75) filter (f.week_idx - today_idx = 2) as q, max(tt) filter (f.week_idx - today_idx = 2) as q_type,
+    arg_max(f.q75, f.week_idx) filter (f.week_idx - today_idx < 2 and tt is null) as lo, arg_min(f.q75, f.week_idx) filter (f.week_idx - today_idx > 2 and tt is null) as hi,
+    max(p_1) filter (f.week_idx - today_idx between 1 and 4) as p_yellow, max(p_2) filter (f.week_idx - today_idx between 1 and 4) as p_amber, max(p_3) filter (f.week_idx - today_idx between 1 and 4) as p_red
+  from vp v join fc f on f.series_id = v.series_id and f.origin_idx = v.week_idx group by 1, 2, 3),
+sg0 as (select sec.*, htype, lag(y) over (partition by series_id order by week_idx) as prev from second sec left join cal using (week_idx)),
+sg as (select series_id, week_idx, coalesce(y >= 25 and y >= 1.5 * (select a.y from sg0 a where a.series_id = sg0.series_id and a.htype is null and a.week_idx <= sg0.week_idx - 2 order by a.week_idx desc limit 1) and y >= prev, false) as signal from sg0),
+vf as (select v.series_id, v.today_idx, v.delay, v.week_idx, v.y, greatest(v.y, case when q_type is null then cast(q as double) else sqrt(coalesce(lo, hi) * coalesce(hi, lo)) end) as planned, c[1] as plain_y, cast(weekofyear(day) as integer) as iso_week, peak, peak_idx, soon,
+    case when len(c) >= 4 then 0.5 * ln((c[1] + c[2]) / (c[3] + c[4])) end as g, len(c) >= 4 and ln(c[1] / c[2]) <= 0.02 and ln(c[2] / c[3]) <= 0.02 as down, coalesce(signal, false) as signal, v.htype is not null as on_holiday, p_yellow, p_amber, p_red
+  from vp v left join sd using (series_id, today_idx, delay) left join sg on sg.series_id = v.series_id and sg.week_idx = v.week_idx),
+vg as (select *, coalesce(g >= 0.10, false) as fast, coalesce(g >= 0.03, false) or coalesce(soon > 1.05 * y, false) as rising, coalesce(g <= -0.03 and down, false) as falling,
+    case when planned >= 1500 then 'red' when planned >= 1000 then 'amber' when planned >= 750 then 'yellow' else 'green' end as planned_band, case when y >= 1500 then 'red' when y >= 1000 then 'amber' when y >= 750 then 'yellow' else 'green' end as band from vf),
+vh as (select *, case when iso_week between 33 and 47 then 'autumn' when iso_week between 22 and 32 then 'summer' when iso_week between 11 and 16 and rising then 'winter_pre' when iso_week between 11 and 21 then 'spring'
+    when peak >= 1000 and week_idx - peak_idx >= 3 and y <= 0.85 * peak and falling then 'winter_post' else 'winter_pre' end as plan_phase from vg),
+vin as (select *, y >= 1500 and (rising or plan_phase = 'winter_pre') as crisis from vh)"""
+_LEVELS = f"""gr as (select o_orderpriority as series_id, {_IDX.format(d="o_orderdate")} as week_idx, {", ".join(f"round(cast(sum(case when o_custkey % 5 = {k} then cast(o_totalprice as decimal(18,2)) else 0 end) as double) / 200, 3) as g{k}" for k in range(5))} from orders group by 1, 2),
+ix as (select p.*, htype, 0.114 * g2 + 0.636 * g3 + 0.25 * g4 as ind from panel p left join gr using (series_id, week_idx) left join cal using (week_idx)),
+bs as (select a.series_id, a.week_idx, median(s.y) as base, median(s.ind) as base_ind from ix a join ix s on s.series_id = a.series_id and s.iso_week between 27 and 34 and s.iso_year between a.iso_year - 2 and a.iso_year and s.week_idx <= a.week_idx group by 1, 2),
+sh0 as (select a.series_id, a.week_idx, (select list(b.ind / b.y order by b.week_idx desc) from ix b where b.series_id = a.series_id and b.htype is null and b.week_idx <= a.week_idx) as r from ix a),
+sh as (select series_id, week_idx, base, least(1.5, greatest(0.5, greatest(r[1], r[2]) * base / base_ind)) as share from sh0 join bs using (series_id, week_idx)),
+vw as (select v.*, greatest(case planned_band when 'red' then 3 when 'amber' then 2 when 'yellow' then 1 else 0 end, case when signal or y >= 1500 then 3 else 0 end, case when plan_phase = 'autumn' then 1 else 0 end) as want,
+    falling and not on_holiday and (plan_phase in ('spring', 'winter_post') or (plan_phase = 'summer' and iso_week <= 32)) as may, 100 * (0.75 + 0.25 * (planned / base * share)) as low, 100 * (0.55 + 0.45 * (planned / base * share)) as high
+  from vin v left join sh using (series_id, week_idx)),
+dy as (select series_id, today_idx, max(want) as raw, bool_and(may) as down, bool_or(crisis) as crisis, max(low) as low, max(high) as high from vw group by 1, 2),
+hd8 as (select *, max(raw) over b as held, max(low) over b as held_low, max(high) over b as held_high, row_number() over (partition by series_id order by today_idx) as n from dy window b as (partition by series_id order by today_idx range between 8 preceding and 1 preceding)),
+lv as (select series_id, n, today_idx, raw, held, raw as level, crisis, low, high from hd8 where n = 1
+  union all select d.series_id, d.n, d.today_idx, d.raw, d.held, case when d.raw >= level then d.raw when d.down then greatest(d.raw, level - 1) else greatest(d.raw, least(level, d.held)) end, d.crisis,
+    case when lv.low is null or d.low >= lv.low then d.low when d.low is null then lv.low when d.down then (d.low + lv.low) / 2 else greatest(d.low, least(lv.low, held_low)) end,
+    case when lv.high is null or d.high >= lv.high then d.high when d.high is null then lv.high when d.down then (d.high + lv.high) / 2 else greatest(d.high, least(lv.high, held_high)) end
+  from hd8 d join lv on lv.series_id = d.series_id and d.n = lv.n + 1)"""
+
+_NOW = _VINTAGES.replace("unnest([1, 2])", "unnest([0])") + """,
+q as (select *, row_number() over (partition by series_id order by week_idx) as n from vin where today_idx = week_idx),
+wn as (select *, greatest(case planned_band when 'red' then 3 when 'amber' then 2 when 'yellow' then 1 else 0 end, case when signal or y >= 1500 then 3 else 0 end, case when plan_phase = 'autumn' then 1 else 0 end) as want,
+  falling and not on_holiday and (plan_phase in ('spring', 'winter_post') or plan_phase = 'summer' and iso_week <= 32) as may from q),
+l as (select series_id, n, week_idx, want as level from wn where n = 1
+  union all select w.series_id, w.n, w.week_idx, case when want >= level then want when may then greatest(want, level - 1) else level end from wn w join l on l.series_id = w.series_id and w.n = l.n + 1)"""
+
 _REPORTS = """rp as (select series_id, week_idx, iso_year, iso_week, round_even(y, 0) as value, case when lag(week_idx) over s = week_idx - 1 then lag(y) over s end as prev
   from panel window s as (partition by series_id order by week_idx)),
 reports as (select *, round_even((value / (prev * case when week_idx % 5 = 0 then 1.1 else 1.0 end) - 1) * 100, 2) as change_pct from rp)"""
@@ -259,12 +304,28 @@ select a.series_id, a.horizon, a.pct as mdae_pct, a.n_origins, a.n_seasons, b.pc
     "trend_class": f"with {_BLEND}, {_pool()}, {_WIDE}, {_CHANCES}, {_FORECAST}, {_FACTS} select * from tr",
     "planning_phase": f"with {_BLEND}, {_pool()}, {_WIDE}, {_CHANCES}, {_FORECAST}, {_FACTS} select * from ph",
     "history_document": f"""with {_PANEL} select series_id, cast(count(*) as integer) as n, '[' || string_agg('{{"week_idx":' || week_idx || ',"week":"' || format('{{}}-W{{:02d}}', iso_year, iso_week) || '","value":' || cast(round_even(y, 0) as bigint) || '}}', ',' order by week_idx) || ']' as document from panel group by 1""",
-    "capacity_level": f"""with recursive {_PANEL}, {_HOLS}, q as (select p.series_id, p.week_idx, y, iso_week, htype is not null as hol, y < lag(y) over s as falling, row_number() over s as n,
-    case when iso_week between 33 and 47 then 'autumn' when iso_week between 22 and 32 then 'summer' when iso_week between 11 and 21 then 'spring' else 'winter_pre' end as ph from panel p left join cal using (week_idx) window s as (partition by p.series_id order by p.week_idx)),
-wn as (select *, greatest(case when y >= 1500 then 3 when y >= 1000 then 2 when y >= 750 then 1 else 0 end, case when ph = 'autumn' then 1 else 0 end) as want, coalesce(falling, false) and not hol and ph in ('spring', 'summer') as may from q),
-l as (select series_id, n, week_idx, want as level from wn where n = 1
-  union all select w.series_id, w.n, w.week_idx, case when want >= level then want when may then greatest(want, level - 1) else level end from wn w join l on l.series_id = w.series_id and w.n = l.n + 1)
-select series_id, week_idx, level from l""",
+    "capacity_level": f"""with recursive {_NOW} select series_id, week_idx, level from l""",
+    "situation": f"""with recursive {_NOW}, st as (select q.*, level from q join l using (series_id, week_idx))
+select series_id, week_idx, planned_band, plan_phase, level, case
+  when signal and y < 1500 and plan_phase not in ('spring', 'winter_post') then 'S6'
+  when plan_phase = 'winter_post' and (planned_band = 'red' and not rising or planned_band = 'amber' and falling) then 'S10'
+  when planned_band = 'red' then case when plain_y >= 1500 then 'S9' else 'S9a' end
+  when on_holiday and not rising and not falling then 'S12'
+  when plan_phase = 'summer' and (fast or rising and planned_band <> 'green') then 'S14'
+  when falling and plan_phase not in ('autumn', 'winter_pre') then 'S11'
+  when planned_band = 'amber' and plan_phase = 'winter_pre' then case when rising or p_red >= 0.30 then 'S7' else 'S8' end
+  when planned_band = 'amber' and plan_phase = 'autumn' and rising then case when band in ('amber', 'red') then 'S4' else 'S4a' end
+  when planned_band = 'yellow' and plan_phase in ('autumn', 'winter_pre') and (rising or p_amber >= 0.50) then case when band = 'green' and not rising then 'S3a' else 'S3' end
+  when planned_band = 'green' and plan_phase = 'autumn' and (rising or p_yellow >= 0.30) then 'S2'
+  when planned_band in ('amber', 'yellow') and plan_phase in ('winter_post', 'spring') then 'S8j'
+  when planned_band = 'amber' and plan_phase = 'autumn' or planned_band = 'yellow' and plan_phase in ('autumn', 'winter_pre') then 'S5'
+  when (planned_band = 'green' or planned_band = 'yellow' and plan_phase = 'summer') and level >= 1 then 'S1b' else 'S1' end as situation from st""",
+    "capacity_pct": f"""with recursive {_NOW}, {_LEVELS.split("vw as (")[0].rstrip().rstrip(",")},
+z as (select q.series_id, planned, base, share from q join sh using (series_id, week_idx) qualify row_number() over (partition by q.series_id order by q.week_idx desc) = 1)
+select series_id, round(base, 6) as base, greatest(100.0, round_even((0.75 + 0.25 * (planned / base * share)) * 100 / 5, 0) * 5) as low_pct, greatest(100.0, round_even((0.55 + 0.45 * (planned / base * share)) * 100 / 5, 0) * 5) as high_pct from z""",
+    "vintages": f"""with {_VINTAGES} select series_id, today_idx, delay, week_idx, round(y, 6) as y, round(planned, 6) as planned, planned_band, band, round(plain_y, 6) as plain_y, iso_week, plan_phase, fast, rising, falling, signal, on_holiday, crisis, p_yellow, p_amber, p_red from vin""",
+    "capacity_replay": f"""with recursive {_VINTAGES}, {_LEVELS}
+select series_id, today_idx, raw, held, level, crisis, case when low is not null then greatest(100.0, round_even(round(low / 5, 9), 0) * 5) end as low_pct, case when high is not null then greatest(100.0, round_even(round(high / 5, 9), 0) * 5) end as high_pct from lv""",
     "current_state": f"""with {_PANEL}, {_HOLS}, l as (select p.series_id, p.week_idx, y, htype, hlabel, row_number() over (partition by p.series_id order by p.week_idx desc) as n from panel p left join cal using (week_idx) qualify n <= 8),
 c as (select series_id, y, row_number() over (partition by series_id order by n) as k from l where htype is null),
 x as (select series_id, max(y) filter (k = 1) as x0, max(y) filter (k = 2) as x1, max(y) filter (k = 3) as x2, max(y) filter (k = 4) as x3 from c group by 1),

@@ -6,11 +6,11 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.calendar import monday_of, phase, week_label, weeks_in_iso_year
-from weekloom.operators import decide, evaluate, forecast, history, models, profiles
+from weekloom.operators import decide, evaluate, forecast, history, models, profiles, replay
 from weekloom.params import ORDERS as P
 from weekloom.sources import reports
 from weekloom.sources.panel import orders_panel, panel_calendar, read_history, read_week_map, with_calendar
@@ -437,23 +437,54 @@ def early_signal(spark, sf_dir):
     return decide.early_signal(_secondary(spark, sf_dir).select("series_id", "week_idx", "y"), orders_calendar(spark, sf_dir), P)
 
 
+def _now(spark, sf_dir):
+    """Panel, calendar, and facts of every week as they were known in it."""
+    panel, cal, v = _vintages(spark, sf_dir, (0,))
+    return panel, cal, _stored(v.where("today_idx = week_idx"), "facts")
+
+
 def situation(spark, sf_dir):
-    level = capacity_level(spark, sf_dir).groupBy("series_id").agg(F.max_by("level", "week_idx").alias("level"))
-    return decide.situation(_facts(spark, sf_dir)[2].join(level, "series_id"), P).select("series_id", "planned_band", "plan_phase", "situation")
+    """The class of every week, with the level that was held then."""
+    _, _, facts = _now(spark, sf_dir)
+    return decide.situation(facts.join(decide.capacity_level(facts, P), ["series_id", "week_idx"]), P).select("series_id", "week_idx", "planned_band", "plan_phase", "level", "situation")
 
 
 def capacity_level(spark, sf_dir):
-    """The ratchet over all weeks of each series, planned on the measured value."""
-    panel, cal = _panel(spark, sf_dir), orders_calendar(spark, sf_dir)
-    prev = F.lag("y").over(history.by_week())
-    w = panel.join(F.broadcast(cal.select("week_idx", "htype")), "week_idx", "left").select("series_id", "week_idx", "y", "iso_week", history.band_of(F.col("y"), P).alias("planned_band"), F.lit(False).alias("signal"), F.coalesce(F.col("y") < prev, F.lit(False)).alias("falling"), F.col("htype").isNotNull().alias("on_holiday"), F.when(F.col("iso_week").between(33, 47), "autumn").when(F.col("iso_week").between(22, 32), "summer").when(F.col("iso_week").between(11, 21), "spring").otherwise("winter_pre").alias("plan_phase"))
-    return decide.capacity_level(w, P)
+    """The ratchet over all weeks of each series, planned on the forecast from each week."""
+    return decide.capacity_level(_now(spark, sf_dir)[2], P)
 
 
 def capacity_pct(spark, sf_dir):
-    panel, _, facts = _facts(spark, sf_dir)
-    share = facts.select("series_id", F.lit(1.1).alias("share"))
-    return decide.capacity_pct(facts.select("series_id", "planned"), panel, share)
+    panel, cal, facts = _now(spark, sf_dir)
+    last = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("week_idx"))) == 1
+    share = replay.capacity_share(panel, _groups(spark, sf_dir), cal)
+    at = facts.withColumn("last", last).where("last").join(share, ["series_id", "week_idx"]).select("series_id", "planned", "share")
+    return _rounded(decide.capacity_pct(at.drop("share"), panel, at.drop("planned")))
+
+
+def _groups(spark, sf_dir):
+    """Rates of five groups of customers, which stand for ages: their weekly order value, five times."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("series_id"), F.date_trunc("week", "o_orderdate").cast("date").alias("monday"), (F.col("o_custkey") % 5).alias("g"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    sums = o.groupBy("series_id", "monday").agg(*[F.sum(F.when(F.col("g") == k, F.col("v")).otherwise(0)).alias(f"g{k}") for k in range(5)])
+    return with_calendar(sums, F.col("monday")).select("series_id", "week_idx", F.array(*[F.round(F.col(f"g{k}").cast("double") / 200, 3) for k in range(5)]).alias("groups"))
+
+
+def _vintages(spark, sf_dir, delays):
+    """Facts of each week's recommendation, from forecasts of all origins."""
+    panel, cal, points, res = _products(spark, sf_dir)
+    rows = _stored(forecast.make_forecast(points, res, models.rolling_origins(panel, P), cal, P), "forecasts")
+    signal = decide.early_signal(_secondary(spark, sf_dir).select("series_id", "week_idx", "y"), cal, P)
+    return panel, cal, replay.vintages(panel, rows, cal, signal, P, delays)
+
+
+def vintages(spark, sf_dir):
+    return _rounded(_vintages(spark, sf_dir, (1, 2))[2])
+
+
+def capacity_replay(spark, sf_dir):
+    """Levels and capacities of all weeks, each from the forecasts known then, for reports one and two weeks late."""
+    panel, cal, v = _vintages(spark, sf_dir, (1, 2))
+    return replay.capacity_replay(v, replay.capacity_share(panel, _groups(spark, sf_dir), cal), P)
 
 
 _NAMES = """iso_calendar holiday_calendar load_history load_week_map case_rates merge_sources source_counts calibration_ratio history_entries
@@ -463,5 +494,5 @@ holiday_occurrences holiday_effects adjusted_series holiday_profile rolling_orig
 model_profile model_profile_momentum model_clim_anomaly model_holiday_profile analog_align analog_weights model_analog point_forecast late_forecast
 backtest_residuals residual_quantiles backtest_summary interval_coverage model_score backtest_report backtest_candidate phase_pool
 weighted_quantile widened_pool exceedance_prob make_forecast forecast_past forecast_violations skill_summary planned_value trend_class
-planning_phase early_signal situation capacity_level capacity_pct""".split()
+planning_phase early_signal situation capacity_level capacity_pct vintages capacity_replay""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
