@@ -323,6 +323,28 @@ select series_id, week_idx, planned_band, plan_phase, level, case
     "capacity_pct": f"""with recursive {_NOW}, {_LEVELS.split("vw as (")[0].rstrip().rstrip(",")},
 z as (select q.series_id, planned, base, share from q join sh using (series_id, week_idx) qualify row_number() over (partition by q.series_id order by q.week_idx desc) = 1)
 select series_id, round(base, 6) as base, greatest(100.0, round_even((0.75 + 0.25 * (planned / base * share)) * 100 / 5, 0) * 5) as low_pct, greatest(100.0, round_even((0.55 + 0.45 * (planned / base * share)) * 100 / 5, 0) * 5) as high_pct from z""",
+    "report_intake": f"""with recursive {_PANEL}, {_REPORTS},
+t0 as (select series_id, week_idx, week_idx + case when week_idx % 13 = 5 then 3 else 0 end as told_idx, value * case when week_idx % 9 = 4 then 5 else 1 end as v, change_pct from reports),
+off as (select series_id, week_idx, round_even(y, 0) as v from panel where week_idx % 7 = 3),
+t1 as (select t.*, o.week_idx is not null as known from t0 t left join off o on o.series_id = t.series_id and o.week_idx = told_idx),
+t2 as (select t.*, case when known then 'known' when week_idx % 6 = 0 or v < 200 then 'unreadable' when week_idx % 13 = 5 then 'other week' end as status from (select * from t1 qualify row_number() over (partition by series_id, told_idx order by week_idx) >= 1) t),
+st as (select series_id, week_idx, 0 as kind, v, true as official from off union all select series_id, week_idx, 0, round_even(y * 1.1, 0), false from panel where week_idx % 4 = 1 and week_idx % 7 <> 3
+  union all select series_id, week_idx, 1, v, true from t2 where status is null),
+so as (select *, row_number() over (partition by series_id order by week_idx, kind) as n from st),
+fo as (select series_id, n, week_idx as idx, kind, v as now_v, official as now_off, cast(null as bigint) as b_idx, cast(null as double) as b_v, case when kind = 1 then 'accepted' end as said from so where n = 1
+  union all select series_id, n, week_idx, kind, case when kind = 0 or verdict = 'accepted' then v when same then now_v end, case when kind = 0 then official when verdict = 'accepted' then true else same and now_off end, p_idx, p_v, case when kind = 1 then verdict end
+  from (select *, case when same and now_off then 'known' when p_idx = week_idx - 1 and p_v is not null and not (v / p_v between 0.4 and 2.5) then 'implausible' else 'accepted' end as verdict
+    from (select s.*, f.idx = s.week_idx as same, f.now_v, f.now_off, case when f.idx = s.week_idx then f.b_idx else f.idx end as p_idx, case when f.idx = s.week_idx then f.b_v else f.now_v end as p_v
+      from fo f join so s on s.series_id = f.series_id and s.n = f.n + 1)))
+select series_id, idx as week_idx, t.v as value, t.change_pct, said as status from fo join t2 t using (series_id) where kind = 1 and t.week_idx = idx and t.status is null
+union all select series_id, case when status = 'other week' then week_idx else told_idx end, case when status = 'other week' then v end, case when status = 'other week' then change_pct end, status from t2 where status is not null""",
+    "stream_revisions": f"""with {_PANEL}, {_REPORTS}, again as (select * replace (value + case when week_idx % 4 = 1 then 1 else 0 end as value) from reports), {_REVISED.format(t="again", also="")}
+select series_id, week_idx, value as old, round_even(implied, 0) as new, round_even(implied2, 0) as second_group, 'revised by the report of ' || format('{{}}-W{{:02d}}', isoyear(by_day), weekofyear(by_day)) || ', before ' || cast(value as bigint) as note from r where revised""",
+    "stream_alerts": f"""with {_PANEL}, r as (select series_id, week_idx, lead(week_idx) over (partition by series_id order by week_idx) as nxt, (select max(week_idx) + 6 from panel) as clock from panel where week_idx % 40 > 6),
+a as (select *, date '1970-01-01' + cast((week_idx + 4) * 7 + 1 - 719163 as integer) as due, date '1970-01-01' + cast(nxt * 7 + 9 - 719163 as integer) as came, date '1970-01-01' + cast(clock * 7 + 9 - 719163 as integer) as upto from r),
+b as (select * from a where coalesce(came, upto) > due)
+select series_id, week_idx as last_idx, strftime(due, '%Y-%m-%d 00:00:00') as at, 'alert' as kind from b
+union all select series_id, nxt, strftime(came, '%Y-%m-%d 00:00:00'), 'withdrawn' from b where nxt is not null""",
     "vintages": f"""with {_VINTAGES} select series_id, today_idx, delay, week_idx, round(y, 6) as y, round(planned, 6) as planned, planned_band, band, round(plain_y, 6) as plain_y, iso_week, plan_phase, fast, rising, falling, signal, on_holiday, crisis, p_yellow, p_amber, p_red from vin""",
     "capacity_replay": f"""with recursive {_VINTAGES}, {_LEVELS}
 select series_id, today_idx, raw, held, level, crisis, case when low is not null then greatest(100.0, round_even(round(low / 5, 9), 0) * 5) end as low_pct, case when high is not null then greatest(100.0, round_even(round(high / 5, 9), 0) * 5) end as high_pct from lv""",

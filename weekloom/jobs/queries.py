@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from weekloom.operators import decide, evaluate, forecast, history, models, prof
 from weekloom.params import ORDERS as P
 from weekloom.sources import reports
 from weekloom.sources.panel import orders_panel, panel_calendar, read_history, read_week_map, with_calendar
-from weekloom.streaming import ingest
+from weekloom.streaming import ingest, watch
+from weekloom.streaming.intake import ReportIntake, judged
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -487,6 +489,95 @@ def capacity_replay(spark, sf_dir):
     return replay.capacity_replay(v, replay.capacity_share(panel, _groups(spark, sf_dir), cal), P)
 
 
+def _texts(spark, sf_dir):
+    """A report text for each week of the panel, with its url: some values five times too high, some texts that can't be read, some under the url of three weeks later."""
+    r = _report_rows(spark, sf_dir)
+    n = (F.col("value") * F.when(F.col("week_idx") % 9 == 4, 5).otherwise(1)).cast("long")
+    row = lambda v: F.concat_ws(" ", *[(v + k).cast("string") for k in (20, 10, 0, -10, -20, 0)])
+    change = F.when(F.col("change_pct").isNotNull(), F.concat(F.lit("\nZměna - Change [%] "), F.concat_ws(" ", *[F.replace(F.format_string("%.2f", "change_pct"), F.lit("."), F.lit(","))] * 6)))
+    text = F.concat(
+        F.format_string("%d. týden %d\nČeská republika - the Czech Republic ", "iso_week", "iso_year"), row(n), F.coalesce(change, F.lit("")),
+        F.lit("\nČeská republika - the Czech Republic "), F.when(F.col("week_idx") % 6 == 0, F.lit("496* 3")).otherwise(row(F.floor(n / 10))),
+    )
+    told = F.col("week_idx") + F.when(F.col("week_idx") % 13 == 5, 3).otherwise(0)
+    put = F.date_add(monday_of(told), 9)
+    url = F.format_string("https://example.org/%d/wp-content/uploads/%04d/%02d/%02d_tyden.pdf", "week_idx", F.year(put), F.month(put), F.weekofyear(monday_of(told)))
+    return r.select("series_id", "week_idx", url.alias("url"), text.alias("text"))
+
+
+def _estimates(spark, sf_dir):
+    """What is stored before any report: estimates of some weeks."""
+    return _panel(spark, sf_dir).where("week_idx % 4 = 1").select("series_id", "week_idx", F.bround(F.col("y") * 1.1).alias("value"), F.lit("scaled").alias("source"))
+
+
+def report_intake(spark, sf_dir):
+    """All texts in one intake, judged against a store with estimates and official weeks."""
+    official = _panel(spark, sf_dir).where("week_idx % 7 = 3").select("series_id", "week_idx", F.bround("y").alias("value"), F.lit("official").alias("source"))
+    stored = official.unionByName(_estimates(spark, sf_dir).where("week_idx % 7 <> 3"))
+    texts = _texts(spark, sf_dir).drop("week_idx")
+    none = spark.createDataFrame([], ReportIntake.PENDING)
+    return judged(_stored(texts, "texts"), none, _stored(stored, "stored"), P).select("series_id", "week_idx", "value", "change_pct", "status")
+
+
+def stream_reports(spark, sf_dir):
+    """The texts as a stream of files, those of even weeks late; the history as it is read in the end."""
+    src, intake = _dir(spark, "texts"), ReportIntake(spark, _dir(spark, "intake"), P)
+    intake.seed(_estimates(spark, sf_dir))
+    texts = _stored(_texts(spark, sf_dir), "all")
+    for k, part in enumerate((texts.where("week_idx % 2 = 1"), texts.where("week_idx % 2 = 0"))):
+        part.drop("week_idx").coalesce(1).write.parquet(f"{src}/{k}")  # a file for each intake
+    stream = spark.readStream.schema("series_id string, url string, text string").option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    intake.run(stream).awaitTermination()
+    return intake.revised().select("series_id", "week_idx", "value", "source", "note")
+
+
+@contextmanager
+def _by_state(spark):
+    """Streams by state need their own kind of store; the session's is put back."""
+    before = spark.conf.get(watch.PROVIDER[0], None)
+    spark.conf.set(*watch.PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(watch.PROVIDER[0], before) if before else spark.conf.unset(watch.PROVIDER[0])
+
+
+def _ended(spark, stream, schema, name):
+    """All that a stream of available data gives, read back."""
+    out = _dir(spark, name)
+    with _by_state(spark):
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/rows")
+
+
+def stream_revisions(spark, sf_dir):
+    """The log of a stream of reports, those of even weeks late and some again; the newest entry of each week that still holds."""
+    src = _dir(spark, "reports")
+    r = _report_rows(spark, sf_dir).select("series_id", "week_idx", "value", "change_pct", F.array("change_pct", "change_pct").alias("groups_change_pct"))
+    parts = (r.where("week_idx % 2 = 1"), r.where("week_idx % 2 = 0"), r.where("week_idx % 4 = 1").withColumn("value", F.col("value") + 1))
+    for k, part in enumerate(parts):
+        part.withColumns({"groups": F.array("value", F.col("value") + 5), "version": F.col("week_idx") + k * 1_000_000}).repartition(2, "series_id").write.parquet(f"{src}/{k}")
+    schema = "series_id string, week_idx long, value double, change_pct double, groups array<double>, groups_change_pct array<double>, version long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{src}/*")
+    log = _ended(spark, watch.revision_log(stream, P.revision), watch.LOG, "log")
+    newest = log.groupBy("series_id", "week_idx").agg(F.max_by(F.struct("old", "new", "groups", "note"), "version").alias("e")).where("e.new is not null")
+    return newest.select("series_id", "week_idx", "e.old", "e.new", F.element_at("e.groups", 2).alias("second_group"), "e.note")
+
+
+def stream_alerts(spark, sf_dir):
+    """Alerts of series whose reports stop for seven weeks now and then; a clock's rows come each week."""
+    src = _dir(spark, "arrivals")
+    at = F.to_timestamp(F.date_add(monday_of(F.col("week_idx")), 8))
+    panel = _panel(spark, sf_dir)
+    weeks = panel.agg(F.min("week_idx").alias("a"), F.max("week_idx").alias("b")).select(F.lit("~").alias("series_id"), F.explode(F.sequence("a", F.col("b") + 6)).alias("week_idx"))
+    rows = _stored(panel.where("week_idx % 40 > 6").select("series_id", "week_idx").unionByName(weeks).withColumn("at", at), "rows")
+    first = rows.agg(F.min("week_idx")).first()[0] or 0
+    for k in range(4):  # by quarters of ten years: files in the order of arrival
+        rows.where((F.col("week_idx") >= first + 130 * k) & ((F.col("week_idx") < first + 130 * (k + 1)) | F.lit(k == 3))).coalesce(1).write.parquet(f"{src}/{k}")
+    stream = spark.readStream.schema("series_id string, week_idx long, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    return _ended(spark, watch.stale_alerts(stream), watch.ALERTS, "alerts").where("series_id <> '~'").select("series_id", "last_idx", F.col("at").cast("string").alias("at"), "kind")
+
+
 _NAMES = """iso_calendar holiday_calendar load_history load_week_map case_rates merge_sources source_counts calibration_ratio history_entries
 fill_gaps plausibility_gate parse_reports apply_revisions stream_ingest label_holidays current_state history_document changed_rows staleness
 history_violations season_peak seasonal_change_stats extract_links url_week new_reports weekly_growth growth_profile level_climatology
@@ -494,5 +585,6 @@ holiday_occurrences holiday_effects adjusted_series holiday_profile rolling_orig
 model_profile model_profile_momentum model_clim_anomaly model_holiday_profile analog_align analog_weights model_analog point_forecast late_forecast
 backtest_residuals residual_quantiles backtest_summary interval_coverage model_score backtest_report backtest_candidate phase_pool
 weighted_quantile widened_pool exceedance_prob make_forecast forecast_past forecast_violations skill_summary planned_value trend_class
-planning_phase early_signal situation capacity_level capacity_pct vintages capacity_replay""".split()
+planning_phase early_signal situation capacity_level capacity_pct vintages capacity_replay
+report_intake stream_reports stream_revisions stream_alerts""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

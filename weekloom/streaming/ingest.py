@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weekloom.operators.history import apply_revisions
+from weekloom.params import Params
+
 PRIORITY = {"official": 1, "scaled": 2, "interpolated": 3}
 STORE = "series_id string, week_idx long, value double, change_pct double, source string, version long"
 
@@ -27,11 +32,9 @@ def revise(store: DataFrame, tolerance: float) -> DataFrame:
 
     The store itself keeps what was reported, so that the result doesn't depend on how rows came in batches.
     """
-    w = Window.partitionBy("series_id").orderBy("week_idx")
-    near = F.lead("week_idx").over(w) == F.col("week_idx") + 1
-    implied = F.when(near, F.lead("value").over(w) / (1 + F.lead("change_pct").over(w) / 100))
-    off = (F.col("source") == "official") & (F.abs(implied / F.col("value") - 1) > tolerance)
-    return store.withColumn("value", F.when(F.coalesce(off, F.lit(False)), F.bround(implied)).otherwise(F.col("value")))
+    none = F.lit(None).cast("array<double>")
+    told = apply_revisions(store.withColumns({"groups": none, "groups_change_pct": none}), replace(Params(), revision=tolerance))
+    return told.withColumn("value", F.col("value_revised")).select(*store.columns)
 
 
 def run_intake(spark: SparkSession, source: DataFrame, path: str) -> StreamingQuery:
