@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.llm.common import joined, kept, written
@@ -41,6 +41,10 @@ _MUL = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.ui
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 #: Classes that share a bucket (three numbers each) up to which these are broadcast.
 MAX_BROADCAST = 1_000_000
+#: One class in so many tells which buckets are large.
+EVERY = 64
+#: Documents that go (two numbers each) up to which these are broadcast, so that texts aren't moved to be left out.
+MAX_GONE = 500_000
 #: Parts among which the members of one centre are dealt out.
 PARTS = 256
 SIGNATURE_SCHEMA = "doc_id long, t long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
@@ -183,6 +187,21 @@ def _about_centres(texts_of: Callable[[DataFrame], DataFrame], around: DataFrame
     return met.unionByName(sets.where(up * F.col("d") <= down * (F.col("n") + F.col("n_c"))).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")))
 
 
+def _in_company(placed: DataFrame, classes: int) -> DataFrame:
+    """(rep, n, key, size) of the rows whose bucket has size > 1 members, moved once.
+
+    Buckets that look large among one class in EVERY are counted by map-side sums, so that their rows stay where they are; there are
+    at most some 100,000 of these. The others' rows are counted by window. Which way a bucket goes makes no difference.
+    """
+    some = placed.where(F.pmod(F.xxhash64("rep"), F.lit(EVERY)) == 0).groupBy("key").agg(F.count("*").alias("c"))
+    large = F.broadcast(written(some.where(F.col("c") >= max(2, classes // (2000 * EVERY))).select("key", F.lit(True).alias("large")), "large"))
+    told = placed.join(large, "key", "left")
+    sizes = F.broadcast(written(told.where("large").groupBy("key").agg(F.count("*").alias("size")), "sizes"))
+    by_sum = told.where("large").join(sizes, "key").select("rep", "n", "key", "size")
+    by_window = told.where("large is null").select("rep", "n", "key", F.count("*").over(Window.partitionBy("key")).alias("size"))
+    return by_sum.unionByName(by_window).where("size > 1")
+
+
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(signatures, class components): (doc_id, t, n_shingles, h1, h2) of each row, and (h1, h2, component) of each class.
 
@@ -199,11 +218,10 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     key = ["h1", "h2", "doc_id", "t"]
     nodes = written(real.join(classes, key).groupBy(*key).agg(*[F.first(x).alias(y) for x, y in (("rep", "rep"), ("n_shingles", "n"), ("bands", "bands"), ("sketch", "sketch"))]).drop(*key), "nodes")
     placed = nodes.select("rep", "n", F.explode("bands").alias("key"))
+    met = written(_in_company(placed, nodes.count()), "met")
     # rows meet what is said of their bucket by parts, where a bucket holds very many
-    shared = written(placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("members", F.col("size")), "shared")
+    in_buckets = met.count()
     by_key = lambda rows, sums, count, spread="rep": joined(rows, sums, ["key"], count, in_buckets, spread)
-    in_buckets = shared.agg(F.sum("size")).first()[0] or 0
-    met = written(by_key(placed, shared, "members"), "met")
     # the text that the others vary meets more of them than they meet one another: it is the best centre
     weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
     members = written(met.join(weight, "rep").select("key", "rep", "n", "weight"), "members")
@@ -296,12 +314,13 @@ def report(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return _marked(docs, width, percent).drop("t")
 
 
-def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 5, percent: int = 80, max_broadcast: int = MAX_GONE) -> DataFrame:
     """docs, all columns, with one document of each component: the one with the smallest doc_id.
 
     Rows go by doc_id and text, so that of two texts under one doc_id the one that is no copy stays. Equal rows of one
     doc_id are one document and stay or go together. Rows without a doc_id, text or words stay.
     """
     gone = written(_marked(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("t").alias("__gone_text")).distinct(), "copies")
+    gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone.hint("merge")
     same = (docs["doc_id"].cast("long") == gone["__gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__gone_text"])
     return docs.join(gone, same, "left_anti")
