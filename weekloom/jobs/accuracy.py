@@ -6,11 +6,11 @@ Prints the mean upper median error in % of the blend and of the legacy model, fo
 from __future__ import annotations
 
 import sys
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekloom.jobs.folders import new_dir
 from weekloom.operators import evaluate, models, profiles
 from weekloom.params import Params
 from weekloom.sources.panel import as_series, panel_calendar, read_week_map
@@ -36,8 +36,7 @@ def scores(panel: DataFrame, seen: DataFrame, cal: DataFrame, folder: str, p: Pa
 
 def main() -> None:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weekloom-")
-    p, folder = Params(), f"{root.rstrip('/')}/accuracy-{spark.sparkContext.applicationId}"
+    p, folder = Params(), new_dir(spark, "accuracy")
     for r in scores(*tables(spark, sys.argv[1], folder, p), folder, p).orderBy("split", "model").collect():
         print(f"{r.split:8} {r.model:16} {r.score:6.2f}")
 

@@ -247,9 +247,12 @@ select cast(day as varchar) as day, week_idx, iso_year, iso_week, wk52, season,
 select iso_year, iso_week, round(cast(sum(c) as double) / cast(sum(p) as double) * 1e5, 4) as rate, round(cast(sum(c) filter (s) as double) / cast(sum(p) filter (s) as double) * 1e5, 4) as sub_rate from r group by 1, 2 having sum(p) >= 1e5""",
     "merge_sources": f"with {_PANEL}, {_SECOND}, {_HIST} select * from merged",
     "source_counts": f"with {_PANEL}, {_SECOND}, {_HIST} select source, count(*) as n from merged group by 1",
-    "new_reports": f"with {_PANEL} select series_id, week_idx, y from panel where not (week_idx % 7 <> 3 and season >= 1996)",
-    "calibration_ratio": f"""with {_PANEL}, {_SECOND}, r as (select p.series_id, p.season, p.y / s.y as r from panel p join second s using (series_id, week_idx) where s.y > 0)
-select series_id, season, round(median(r), 6) as ratio, round(stddev_samp(r), 6) as spread, count(*) as n from r group by grouping sets ((series_id), (series_id, season))""",
+    "new_reports": f"""with {_PANEL}, t as (select series_id, week_idx, week_idx + case when week_idx % 13 = 5 then 3 else 0 end as told_idx from panel),
+d as (select *, date '1970-01-01' + cast(told_idx * 7 + 1 - 719163 as integer) as day from t)
+select d.series_id, 'https://example.org/' || d.week_idx || '/wp-content/uploads/' || strftime(day + 9, '%Y/%m/') || format('{{:02d}}_tyden.pdf', weekofyear(day)) as url
+from d left join panel o on o.series_id = d.series_id and o.week_idx = told_idx and o.week_idx % 7 <> 3 and o.season >= 1996 where o.week_idx is null""",
+    "calibration_ratio": f"""with {_PANEL}, {_SECOND}, r as (select p.series_id, p.season, cast(least(4, ceil(p.iso_week / 13.0)) as integer) as quarter, p.y / s.y as r from panel p join second s using (series_id, week_idx) where s.y > 0)
+select series_id, season, quarter, round(median(r), 6) as ratio, round(stddev_samp(r), 6) as spread, count(*) as n from r group by grouping sets ((series_id), (series_id, season), (series_id, quarter))""",
     "history_entries": f"""with {_PANEL} select series_id, week_idx, format('{{}}-W{{:02d}}', iso_year, iso_week) as week, iso_year, iso_week, cast(date '1970-01-01' + cast(week_idx * 7 + 1 - 719163 as integer) as varchar) as monday,
   cast(round_even(y, 0) as integer) as value, round_even(y / 7, 1) as sub_value, 'official' as source from panel""",
     "fill_gaps": f"""with {_PANEL}, {_HOLS}, h as (select series_id, week_idx, y from panel where week_idx % 11 <> 5),
@@ -294,7 +297,8 @@ select series_id, origin_idx, horizon, round(wt * lp_a + (1 - wt) * lp_b, 6) as
     "make_forecast": f"with {_BLEND}, {_pool()}, {_WIDE}, {_CHANCES}, {_FORECAST} select * from forecast",
     "forecast_past": f"with {_BLEND}, {_pool('2 and 9')}, {_WIDE}, {_CHANCES}, {_FORECAST} select * from forecast",
     "forecast_violations": f"""with {_BLEND}, {_pool('2 and 9')}, {_WIDE}, {_CHANCES}, {_FORECAST},
-a as (select series_id, origin_idx, count(*) as n, max(week_idx) - min(week_idx) + 1 as span, bool_and(q10 <= q25 and q25 <= median and median <= q75 and q75 <= q90) as ok, bool_and(p_1 >= p_2 and p_2 >= p_3) as mono from forecast group by 1, 2)
+bad as (select * replace (case when origin_idx % 3 = 0 and horizon = 4 then q90 + 1 else q10 end as q10, case when origin_idx % 5 = 2 and horizon = 2 then p_1 + 0.1 else p_3 end as p_3) from forecast where not (origin_idx % 4 = 1 and horizon = 7)),
+a as (select series_id, origin_idx, count(*) as n, max(week_idx) - min(week_idx) + 1 as span, bool_and(q10 <= q25 and q25 <= median and median <= q75 and q75 <= q90) as ok, bool_and(p_1 >= p_2 and p_2 >= p_3) as mono from bad group by 1, 2)
 select series_id, origin_idx, problem from a, unnest([case when n <> 10 or span <> n then 'rows' end, case when not ok then 'quantiles' end, case when not mono then 'probabilities' end]) as t(problem) where problem is not null""",
     "skill_summary": f"""with {_BLEND}, {_pool()}, both_ as (select 'blend' as model, series_id, origin_idx, s0, horizon, err from bres union all select model, series_id, origin_idx, s0, horizon, err from res where model = 'legacy'),
 k as (select model, series_id, horizon, round_even((exp(list_sort(list(abs(err)))[count(*) // 2 + 1]) - 1) * 100, 1) as pct, count(distinct origin_idx) as n_origins, count(distinct s0) as n_seasons
@@ -345,16 +349,26 @@ a as (select *, date '1970-01-01' + cast((week_idx + 4) * 7 + 1 - 719163 as inte
 b as (select * from a where coalesce(came, upto) > due)
 select series_id, week_idx as last_idx, strftime(due, '%Y-%m-%d 00:00:00') as at, 'alert' as kind from b
 union all select series_id, nxt, strftime(came, '%Y-%m-%d 00:00:00'), 'withdrawn' from b where nxt is not null""",
+    "merge_files": f"""with {_PANEL}, c0 as (select {_IDX.format(d="o_orderdate")} as week_idx, o_orderpriority as g, l_quantity as q, l_extendedprice as e, l_returnflag = 'R' as r from lineitem join orders on l_orderkey = o_orderkey),
+c1 as (select week_idx, sum(q) as a, sum(e) as b, sum(q) filter (r) as c, sum(e) filter (r) as d from c0 where g <> '4-NOT SPECIFIED' and not (week_idx % 17 = 0 and g = '1-URGENT') and not (week_idx % 19 = 0 and g = '2-HIGH') group by 1),
+o as (select 'all' as series_id, week_idx, avg(round(y * 1.5, 1)) as value, avg(round(y / 9, 1)) as sub_value from panel where week_idx % 3 > 0 and week_idx % 10 <> 5 group by 2),
+e as (select 'all' as series_id, week_idx, a / b * 1e5 * 1.2 as value, case when c > 0 then c / d * 1e5 * 1.163 end as sub_value from c1 where b >= 1e5)
+select series_id, week_idx, round(value, 4) as value, round(sub_value, 4) as sub_value, 'official' as source, cast(null as varchar) as note from o
+union all select series_id, week_idx, round(value, 4), round(sub_value, 4), 'scaled', case when week_idx >= (select min(week_idx) from o) then 'official report missing' end from e where week_idx not in (select week_idx from o)""",
+    "file_rejects": f"""with {_PANEL}, c0 as (select distinct {_IDX.format(d="o_orderdate")} as week_idx, o_orderpriority as g from lineitem join orders on l_orderkey = o_orderkey)
+select 'cases' as kind, 'cells' as reason, count(*) as n from c0 where week_idx % 17 = 0 and g = '1-URGENT' union all select 'cases', 'no such week', count(*) from c0 where week_idx % 19 = 0 and g = '2-HIGH'
+union all select 'official', 'no value', count(*) from panel where week_idx % 3 > 0 and week_idx % 10 = 5 union all select 'official', 'no list', 1""",
+    "kept_forecasts": f"with {_PANEL}, {_HOLS}, {_OCC}, {_KNOWN}, {_ALIGN}, {_ANALOG} select series_id, origin_idx, horizon, round(lp, 6) as lp from points",
     "vintages": f"""with {_VINTAGES} select series_id, today_idx, delay, week_idx, round(y, 6) as y, round(planned, 6) as planned, planned_band, band, round(plain_y, 6) as plain_y, iso_week, plan_phase, fast, rising, falling, signal, on_holiday, crisis, p_yellow, p_amber, p_red from vin""",
     "capacity_replay": f"""with recursive {_VINTAGES}, {_LEVELS}
 select series_id, today_idx, raw, held, level, crisis, case when low is not null then greatest(100.0, round_even(round(low / 5, 9), 0) * 5) end as low_pct, case when high is not null then greatest(100.0, round_even(round(high / 5, 9), 0) * 5) end as high_pct from lv""",
-    "current_state": f"""with {_PANEL}, {_HOLS}, l as (select p.series_id, p.week_idx, y, htype, hlabel, row_number() over (partition by p.series_id order by p.week_idx desc) as n from panel p left join cal using (week_idx) qualify n <= 8),
+    "current_state": f"""with {_PANEL}, {_HOLS}, {_SECOND}, l as (select p.series_id, p.week_idx, y, htype, hlabel, row_number() over (partition by p.series_id order by p.week_idx desc) as n from panel p left join cal using (week_idx) qualify n <= 8),
 c as (select series_id, y, row_number() over (partition by series_id order by n) as k from l where htype is null),
 x as (select series_id, max(y) filter (k = 1) as x0, max(y) filter (k = 2) as x1, max(y) filter (k = 3) as x2, max(y) filter (k = 4) as x3 from c group by 1),
 s as (select series_id, max(week_idx) as week_idx, max(y) filter (n = 1) as y, max(y) filter (n = 2) as y1, max(y) filter (n = 3) as y2, max(hlabel) filter (n = 1) as holiday from l group by 1)
-select series_id, week_idx, y, case when y >= 1500 then 'red' when y >= 1000 then 'amber' when y >= 750 then 'yellow' else 'green' end as band, round_even((y / y1 - 1) * 100, 1) as change_1w_pct, round_even((y / y2 - 1) * 100, 1) as change_2w_pct,
-  case when x3 is null then 'stable' when 0.5 * ln((x0 + x1) / (x2 + x3)) >= 0.03 then 'rising' when 0.5 * ln((x0 + x1) / (x2 + x3)) <= -0.03 and ln(x0 / x1) <= 0.02 and ln(x1 / x2) <= 0.02 then 'falling' else 'stable' end as trend, holiday
-from s left join x using (series_id)""",
+select s.series_id, s.week_idx, s.y, case when s.y >= 1500 then 'red' when s.y >= 1000 then 'amber' when s.y >= 750 then 'yellow' else 'green' end as band, round_even((s.y / y1 - 1) * 100, 1) as change_1w_pct, round_even((s.y / y2 - 1) * 100, 1) as change_2w_pct,
+  case when x3 is null then 'stable' when 0.5 * ln((x0 + x1) / (x2 + x3)) >= 0.03 then 'rising' when 0.5 * ln((x0 + x1) / (x2 + x3)) <= -0.03 and ln(x0 / x1) <= 0.02 and ln(x1 / x2) <= 0.02 then 'falling' else 'stable' end as trend, holiday, round(e.y, 1) as sub_value, 'official' as source, 'https://example.org/' || s.week_idx as url
+from s left join x using (series_id) left join second e on e.series_id = s.series_id and e.week_idx = s.week_idx""",
     "changed_rows": f"""with {_PANEL}, a as (select series_id, week_idx, round_even(y, 0) + case when week_idx % 50 = 0 then 1 else 0 end as value from panel), b as (select series_id, week_idx, round_even(y, 0) as value from panel where week_idx % 70 <> 1)
 select *, 'new' as side from (select * from a except all select * from b) union all select *, 'old' from (select * from b except all select * from a)""",
     "staleness": f"""with {_PANEL}, m as (select max(week_idx) + 3 as today from panel)
@@ -387,3 +401,9 @@ b as (select series_id, week_idx, y, lag(y) over (partition by series_id order b
   (select a.y from s a where a.series_id = s.series_id and a.htype is null and a.week_idx <= s.week_idx - 2 order by a.week_idx desc limit 1) as base from s)
 select series_id, week_idx, coalesce(y >= 25 and y >= 1.5 * base and y >= prev, false) as signal from b""",
 }
+ORACLES["published_products"] = f"""with {_PANEL}, u as (select 'history' as "table", cast(season as varchar) as part, count(*) as rows, case when season = 2000 then 2 else 1 end as version from panel group by season
+union all select 'current', series_id, 1, 1 from (select distinct series_id from panel)
+union all select 'forecast', series_id, 10, 1 from (select distinct series_id from origins)
+union all select 'forecast_past', series_id, 10 * count(*), 1 from (select * from origins qualify row_number() over (partition by series_id order by origin_idx desc) between 2 and 9) group by series_id
+union all select 'model', series_id, count(*), 1 from ({ORACLES["skill_summary"]}) group by series_id)
+select "table", part, cast(rows as bigint) as rows, cast(version as bigint) as version from u"""

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekloom.functions.calendar import monday_of, phase, week_label, weeks_in_iso_year
-from weekloom.operators import decide, evaluate, forecast, history, models, profiles, replay
+from weekloom.functions.calendar import calendar, monday, monday_of, phase, week_idx, week_label, weeks_in_iso_year
+from weekloom.jobs.folders import new_dir as _dir
+from weekloom.operators import decide, evaluate, forecast, history, kept, models, profiles, replay
 from weekloom.params import ORDERS as P
-from weekloom.sources import reports
-from weekloom.sources.panel import orders_panel, panel_calendar, read_history, read_week_map, with_calendar
+from weekloom.sinks.store import ProductStore
+from weekloom.sources import files, reports
+from weekloom.sources.panel import orders_panel, read_history, read_week_map, with_calendar
 from weekloom.streaming import ingest, watch
 from weekloom.streaming.intake import ReportIntake, judged
 
@@ -28,31 +28,22 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _dir(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors share one: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="weekloom-")
-    return f"{root.rstrip('/')}/weekloom-{uuid.uuid4().hex}/{name}"
-
-
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = _dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_CALENDARS: dict[tuple[str, str], str] = {}
+_CALENDARS: dict[tuple[str, int, int], str] = {}
 
 
 def orders_calendar(spark, sf_dir):
-    """The calendar of the panel's years, some hundred rows, written once for each application and folder."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The calendar of the panel's years and one more on each side, some hundred rows, written once for each application and span of years."""
+    first, last = _panel(spark, sf_dir).agg(F.min("iso_year"), F.max("iso_year")).first()
+    key = spark.sparkContext.applicationId, (first or 2000) - 1, (last or 2000) + 1
     if key not in _CALENDARS:
         path = _dir(spark, "calendar")
-        panel_calendar(_panel(spark, sf_dir)).coalesce(1).write.parquet(path)
+        calendar(spark, *key[1:]).coalesce(1).write.parquet(path)
         _CALENDARS[key] = path
     return spark.read.parquet(_CALENDARS[key])
 
@@ -183,7 +174,9 @@ def label_holidays(spark, sf_dir):
 
 
 def current_state(spark, sf_dir):
-    return history.current_state(_panel(spark, sf_dir), orders_calendar(spark, sf_dir), P)
+    sub = _secondary(spark, sf_dir).select("series_id", "week_idx", F.round("y", 1).alias("sub_value"))
+    panel = _panel(spark, sf_dir).join(sub, ["series_id", "week_idx"], "left").withColumns({"source": F.lit("official"), "url": F.concat(F.lit("https://example.org/"), F.col("week_idx"))})
+    return history.current_state(panel, orders_calendar(spark, sf_dir), P)
 
 
 def history_document(spark, sf_dir):
@@ -229,8 +222,11 @@ def url_week(spark, sf_dir):
 
 
 def new_reports(spark, sf_dir):
+    """Of the texts' urls those whose week is not official yet."""
     official, _, _ = _sources(spark, sf_dir)
-    return _panel(spark, sf_dir).select("series_id", "week_idx", "y").join(official.select("series_id", "week_idx"), ["series_id", "week_idx"], "left_anti")
+    weeks = _panel(spark, sf_dir).select("series_id", "week_idx", "iso_year", "iso_week")
+    stored = official.join(weeks, ["series_id", "week_idx"]).withColumn("source", F.lit("official"))
+    return reports.unread(_texts(spark, sf_dir).select("series_id", "url"), stored)
 
 
 def weekly_growth(spark, sf_dir):
@@ -346,7 +342,9 @@ def model_score(spark, sf_dir):
 
 
 def backtest_report(spark, sf_dir):
-    return evaluate.backtest_report(evaluate.backtest_summary(_simple_residuals(spark, sf_dir), P), P)
+    res = _simple_residuals(spark, sf_dir)
+    tuned = evaluate.residual_quantiles(res.where(F.col("s0").between(*P.tune) & (F.col("horizon") <= P.eval_horizon)))
+    return evaluate.backtest_report(evaluate.backtest_summary(res, P), P, tuned)
 
 
 def backtest_candidate(spark, sf_dir):
@@ -402,7 +400,12 @@ def forecast_past(spark, sf_dir):
 
 
 def forecast_violations(spark, sf_dir):
-    return forecast.forecast_violations(forecast_past(spark, sf_dir), P)
+    """Past forecasts of which some are spoilt: quantiles or probabilities the wrong way round, weeks missing."""
+    o, h = F.col("origin_idx"), F.col("horizon")
+    rows = forecast_past(spark, sf_dir).where(~((o % 4 == 1) & (h == 7)))
+    swapped, chance = (o % 3 == 0) & (h == 4), (o % 5 == 2) & (h == 2)
+    rows = rows.withColumns({"q10": F.when(swapped, F.col("q90") + 1).otherwise(F.col("q10")), "p_3": F.when(chance, F.col("p_1") + 0.1).otherwise(F.col("p_3"))})
+    return forecast.forecast_violations(rows, P)
 
 
 def skill_summary(spark, sf_dir):
@@ -578,6 +581,73 @@ def stream_alerts(spark, sf_dir):
     return _ended(spark, watch.stale_alerts(stream), watch.ALERTS, "alerts").where("series_id <> '~'").select("series_id", "last_idx", F.col("at").cast("string").alias("at"), "kind")
 
 
+def _made_files(spark, sf_dir):
+    """A case table in CSV and official weeks in JSON, as people would make them: with lines of too many cells, weeks that don't exist, and weeks without a value."""
+    case, json = _dir(spark, "cases"), _dir(spark, "official")
+    li = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("AGEGROUP_CODE"), "o_orderdate"), "l_orderkey")
+    sums = lambda c, only: F.sum(F.when(only, F.col(c).cast("decimal(18,2)"))).cast("string")
+    some, every = F.col("l_returnflag") == "R", F.lit(True)
+    rows = with_calendar(li, F.col("o_orderdate")).groupBy("week_idx", "iso_year", "iso_week", "AGEGROUP_CODE").agg(
+        sums("l_quantity", every).alias("ARI_CASE"), sums("l_extendedprice", every).alias("ARI_POP_COV"), sums("l_quantity", some).alias("ILI_CASE"), sums("l_extendedprice", some).alias("ILI_POP_COV")
+    )
+    week = F.when((F.col("week_idx") % 19 == 0) & (F.col("AGEGROUP_CODE") == "2-HIGH"), 99).otherwise(F.col("iso_week"))
+    more = F.when((F.col("week_idx") % 17 == 0) & (F.col("AGEGROUP_CODE") == "1-URGENT"), ",7,7").otherwise("")
+    line = F.concat(F.concat_ws(",", "iso_year", week, "ARI_POP_COV", "AGEGROUP_CODE", "ARI_CASE", F.coalesce("ILI_POP_COV", F.lit("")), F.coalesce("ILI_CASE", F.lit(""))), more)
+    head = spark.createDataFrame([("\ufeffISO_YEAR,ISO_WEEK,ARI_POP_COV,AGEGROUP_CODE,ARI_CASE,ILI_POP_COV,ILI_CASE", 0)], "value string, n int")
+    head.unionByName(rows.select(line.alias("value"), F.lit(1).alias("n"))).repartition(1).sortWithinPartitions("n").select("value").write.text(case)
+    ari = F.when(F.col("week_idx") % 10 != 5, F.round(F.col("y") * 1.5, 1))
+    entry = F.struct(F.col("iso_year").alias("year"), F.col("iso_week").alias("week"), ari.alias("ari"), F.round(F.col("y") / 9, 1).alias("ili"), F.array("y").alias("ari_groups"), F.lit("https://example.org").alias("url"))
+    weeks = _panel(spark, sf_dir).where("week_idx % 3 > 0").select("series_id", entry.alias("e"))
+    lists = weeks.groupBy("series_id").agg(F.to_json(F.collect_list("e"), {"ignoreNullFields": "false"}).alias("value")).select("value")
+    lists.unionByName(spark.createDataFrame([("[{'year': ",)], "value string")).repartition(6).write.option("maxRecordsPerFile", 1).text(json)
+    return files.read_case_table(spark, case), files.read_official_tables(spark, json)
+
+
+def merge_files(spark, sf_dir):
+    """One history from the two files: official weeks of the first series, the case table's rates brought to their scale where these are missing."""
+    (cases, _), (official, _) = _made_files(spark, sf_dir)
+    rates = history.case_rates(cases, ["iso_year", "iso_week"], ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"])
+    day = monday(F.col("iso_year").cast("int"), F.col("iso_week").cast("int"))
+    other = history.scale_source(rates, P).select(F.lit("all").alias("series_id"), week_idx(day).alias("week_idx"), "value", "sub_value")
+    mean = official.groupBy("week_idx").agg(F.avg("value").alias("value"), F.avg("sub_value").alias("sub_value")).select(F.lit("all").alias("series_id"), "*", F.lit(None).cast("string").alias("note"))
+    none = spark.createDataFrame([], "series_id string, week_idx long, value double, sub_value double, note string")
+    return _rounded(history.merge_sources(mean, other, none), 4)
+
+
+def file_rejects(spark, sf_dir):
+    (_, lines), (_, entries) = _made_files(spark, sf_dir)
+    return lines.select(F.lit("cases").alias("kind"), "reason").unionByName(entries.select(F.lit("official").alias("kind"), "reason")).groupBy("kind", "reason").agg(F.count("*").alias("n"))
+
+
+def published_products(spark, sf_dir):
+    """History, current state, forecast, past forecasts and skill in a store, published again after one season changed: since which version each partition is as it is."""
+    panel, cal, points, res = _products(spark, sf_dir)
+    origins = models.rolling_origins(panel, P)
+    legacy = evaluate.residuals(panel, models.legacy(panel, P).withColumn("model", F.lit("legacy")))
+    tables = {
+        "history": panel, "current": history.current_state(panel, cal, P), "forecast": forecast.make_forecast(points, res, forecast.latest_origins(origins), cal, P),
+        "forecast_past": forecast.make_forecast(points, res, forecast.latest_origins(origins, 2, 9), cal, P), "model": evaluate.skill_summary(res, legacy, P),
+    }
+    tables = {n: _stored(df, n) for n, df in tables.items()}
+    by = {"history": "season"} | {n: "series_id" for n in tables if n != "history"}
+    store = ProductStore(spark, _dir(spark, "products"))
+    store.publish(tables, by)
+    store.publish(tables | {"history": panel.withColumn("y", F.when(F.col("season") == 2000, F.col("y") + 1).otherwise(F.col("y")))}, by)
+    return store.written()
+
+
+def kept_forecasts(spark, sf_dir):
+    """Forecasts kept from before each series' last three weeks and one week's revision, extended to all weeks."""
+    panel, seen, cal = _seen(spark, sf_dir)
+    last = Window.partitionBy("series_id").orderBy(F.desc("week_idx"))
+    before = _stored(panel.withColumn("n", F.row_number().over(last)).where("n > 3").withColumn("y", F.when(F.col("n") == 12, F.col("y") * 1.1).otherwise(F.col("y"))).drop("n"), "before")
+    first = spark.createDataFrame([], kept.KEPT)
+    old = kept.extended(first, _stored(kept.stale_origins(first, before, P), "stale"), before, _stored(profiles.with_effects(before, cal, P), "seen"), cal, P)
+    old = _stored(old, "kept")
+    stale = _stored(kept.stale_origins(old, panel, P), "stale")
+    return _rounded(kept.extended(old, stale, panel, seen, cal, P).drop("known"))
+
+
 _NAMES = """iso_calendar holiday_calendar load_history load_week_map case_rates merge_sources source_counts calibration_ratio history_entries
 fill_gaps plausibility_gate parse_reports apply_revisions stream_ingest label_holidays current_state history_document changed_rows staleness
 history_violations season_peak seasonal_change_stats extract_links url_week new_reports weekly_growth growth_profile level_climatology
@@ -586,5 +656,6 @@ model_profile model_profile_momentum model_clim_anomaly model_holiday_profile an
 backtest_residuals residual_quantiles backtest_summary interval_coverage model_score backtest_report backtest_candidate phase_pool
 weighted_quantile widened_pool exceedance_prob make_forecast forecast_past forecast_violations skill_summary planned_value trend_class
 planning_phase early_signal situation capacity_level capacity_pct vintages capacity_replay
-report_intake stream_reports stream_revisions stream_alerts""".split()
+report_intake stream_reports stream_revisions stream_alerts
+merge_files file_rejects published_products kept_forecasts""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -87,10 +87,18 @@ def model_score(summary: DataFrame, p: Params) -> DataFrame:
     return summary.where("phase = '*'").groupBy("split", "model").agg(F.avg("mae_pct").alias("score"), F.avg(F.when(F.col("horizon") <= 4, F.col("dir"))).alias("dir1_4"), F.avg("cov50").alias("cov50"), F.avg("cov80").alias("cov80"))
 
 
-def backtest_report(summary: DataFrame, p: Params) -> DataFrame:
-    """One JSON text for each split and model: its score and metrics by horizon."""
-    h = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("horizon").cast("string").alias("h"), F.struct("n", F.round("mae_pct", 6).alias("mae_pct"))))))
-    return summary.where("phase = '*'").groupBy("split", "model").agg(F.round(F.avg("mae_pct"), 6).alias("score"), h.alias("by_h")).select("split", "model", F.to_json(F.struct("score", "by_h")).alias("report"))
+def backtest_report(summary: DataFrame, p: Params, tuned: DataFrame | None = None) -> DataFrame:
+    """One JSON text for each split and model: its score, metrics by horizon, by_h of each phase, and the quantiles of the tune split's errors by horizon (tuned: residual_quantiles() of these)."""
+    metrics = ["n", *[F.round(c, 6).alias(c) for c in ("mae_pct", "mean_pct", "bias_pct", "dir", "cov50", "cov80")]]
+    by = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("horizon").cast("string").alias("h"), value))))
+    h = summary.groupBy("split", "model", "phase").agg(by(F.struct(*metrics)).alias("by_h"), F.round(F.avg("mae_pct"), 6).alias("score"))
+    whole = h.where("phase = '*'").select("split", "model", "score", "by_h")
+    phases = h.where("phase <> '*'").groupBy("split", "model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("phase", F.struct("score", "by_h"))), lambda a, b: F.when(a["phase"] < b["phase"], -1).otherwise(1))).alias("phases"))
+    told = whole.join(phases, ["split", "model"], "left")
+    if tuned is not None:
+        q = tuned.groupBy("model").agg(by(F.struct(*[F.round(n, 6).alias(n) for n in QUANTILES])).alias("tune_quantiles"))
+        told = told.join(q, "model", "left")
+    return told.select("split", "model", F.to_json(F.struct(*[c for c in told.columns if c not in ("split", "model")])).alias("report"))
 
 
 def skill_summary(res: DataFrame, legacy: DataFrame, p: Params) -> DataFrame:

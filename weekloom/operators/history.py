@@ -41,9 +41,10 @@ def scale_source(rates: DataFrame, p: Params) -> DataFrame:
 
 
 def calibration_ratio(official: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Median, spread and number of official / secondary over shared weeks: for each series, and by season of it."""
+    """Median, spread and number of official / secondary over shared weeks: for each series, by season of it, and by quarter (of 13 weeks; the last has 14 in long years)."""
     shared = official.join(secondary.select("series_id", "week_idx", F.col("y").alias("other")), ["series_id", "week_idx"]).where("other > 0").withColumn("r", F.col("y") / F.col("other"))
-    return shared.groupingSets([["series_id"], ["series_id", "season"]], "series_id", "season").agg(F.median("r").alias("ratio"), F.stddev("r").alias("spread"), F.count("*").alias("n"))
+    shared = shared.withColumn("quarter", F.least(F.lit(4), F.ceil(F.col("iso_week") / 13)).cast("int"))
+    return shared.groupingSets([["series_id"], ["series_id", "season"], ["series_id", "quarter"]], "series_id", "season", "quarter").agg(F.median("r").alias("ratio"), F.stddev("r").alias("spread"), F.count("*").alias("n"))
 
 
 def history_entries(rows: DataFrame) -> DataFrame:
@@ -111,18 +112,19 @@ def trend_growth(clean: Column) -> tuple[Column, Column]:
 
 
 def current_state(panel: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
-    """For each series its latest week: value, band, changes in %, trend, holiday. Changes and trend go by rows, not weeks."""
+    """For each series its latest week: value, band, changes in %, trend, holiday, and the panel's sub_value, source and url, if it has them. Changes and trend go by rows, not weeks."""
+    more = [c for c in ("sub_value", "source", "url") if c in panel.columns]
     newest = Window.partitionBy("series_id").orderBy(F.desc("week_idx"))
-    last = panel.select("series_id", "week_idx", "y").withColumn("n", F.row_number().over(newest)).where("n <= 8").join(F.broadcast(cal.select("week_idx", "htype", "hlabel")), "week_idx", "left")
+    last = panel.select("series_id", "week_idx", "y", *more).withColumn("n", F.row_number().over(newest)).where("n <= 8").join(F.broadcast(cal.select("week_idx", "htype", "hlabel")), "week_idx", "left")
     at = lambda k, c="y": F.max(F.when(F.col("n") == k, F.col(c)))
     rows = last.groupBy("series_id").agg(
-        at(1, "week_idx").alias("week_idx"), at(1).alias("y"), at(2).alias("y1"), at(3).alias("y2"), at(1, "hlabel").alias("holiday"),
+        at(1, "week_idx").alias("week_idx"), at(1).alias("y"), at(2).alias("y1"), at(3).alias("y2"), at(1, "hlabel").alias("holiday"), *[at(1, c).alias(c) for c in more],
         F.transform(F.array_sort(F.collect_list(F.when(F.col("htype").isNull(), F.struct("n", "y")))), lambda s: s["y"]).alias("clean"),
     )
     g, falling = trend_growth(F.col("clean"))
     trend = F.when(F.size("clean") < 4, "stable").when(g >= 0.03, "rising").when((g <= -0.03) & falling, "falling").otherwise("stable")
     pct = lambda c: F.bround((F.col("y") / F.col(c) - 1) * 100, 1)
-    return rows.select("series_id", "week_idx", "y", band_of(F.col("y"), p).alias("band"), pct("y1").alias("change_1w_pct"), pct("y2").alias("change_2w_pct"), trend.alias("trend"), "holiday")
+    return rows.select("series_id", "week_idx", "y", band_of(F.col("y"), p).alias("band"), pct("y1").alias("change_1w_pct"), pct("y2").alias("change_2w_pct"), trend.alias("trend"), "holiday", *more)
 
 
 def changed_rows(new: DataFrame, old: DataFrame) -> DataFrame:

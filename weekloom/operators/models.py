@@ -235,8 +235,8 @@ def point_forecast(panel: DataFrame, seen: DataFrame, cal: DataFrame, p: Params,
 MODELS: dict[str, Callable] = {"persistence": persistence, "legacy": legacy, "seasonal_naive": seasonal_naive, "profile": profile, "profile_momentum": profile_momentum, "clim_anomaly": clim_anomaly}
 
 
-def candidate(panel: DataFrame, p: Params, predict: Callable) -> DataFrame:
-    """A user's predict(weeks, values, horizon) -> logs, called for each origin with the data up to it. Origins at which it fails are left out.
+def candidate_runs(panel: DataFrame, p: Params, predict: Callable) -> DataFrame:
+    """A user's predict(weeks, values, horizon) -> logs, called for each origin with the data up to it: (series_id, origin_idx, horizon, lp, error). An origin at which it fails has one row, with what went wrong.
 
     Origins are dealt out in chunks of one season, so that no task holds more than one series' history and one season's origins.
     """
@@ -253,9 +253,20 @@ def candidate(panel: DataFrame, p: Params, predict: Callable) -> DataFrame:
                 for at in origins:
                     upto = bisect_right(weeks, at)
                     try:
-                        out += [(series, int(at), h, float(v)) for h, v in enumerate(predict(weeks[:upto], values[:upto], p.horizon), 1)]
-                    except Exception:  # a candidate may fail at an origin; the contract is to skip it
-                        continue
-                yield pd.DataFrame(out, columns=OUT)
+                        out += [(series, int(at), h, float(v), None) for h, v in enumerate(predict(weeks[:upto], values[:upto], p.horizon), 1)]
+                    except Exception as e:  # a candidate may fail at an origin
+                        out.append((series, int(at), 0, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(out, columns=[*OUT, "error"])
+
+    return o.select("series_id", "origins", "weeks", "ys").mapInPandas(run, "series_id string, origin_idx long, horizon int, lp double, error string")
+
+
+def candidate(panel: DataFrame, p: Params, predict: Callable) -> DataFrame:
+    """Forecasts of a user's model; origins at which it fails are left out, see candidate_failures()."""
+    return candidate_runs(panel, p, predict).where("error is null").select(OUT)
+
 
-    return o.select("series_id", "origins", "weeks", "ys").mapInPandas(run, "series_id string, origin_idx long, horizon int, lp double")
+def candidate_failures(panel: DataFrame, p: Params, predict: Callable) -> DataFrame:
+    """(series_id, n_origins, n_failed, error): how many origins of each series a user's model was asked for, at how many it failed, and one of the errors."""
+    runs = candidate_runs(panel, p, predict)
+    return runs.groupBy("series_id").agg(F.count_distinct("origin_idx").alias("n_origins"), F.count("error").alias("n_failed"), F.min("error").alias("error"))

@@ -52,14 +52,39 @@ def holiday_occurrences(panel: DataFrame, cal: DataFrame, p: Params) -> DataFram
     return near.where(F.col("htype").isNotNull() & F.col("lo").isNotNull() & F.col("hi").isNotNull() & ~F.col("season").isin(*p.excluded)).select("series_id", "week_idx", "season", "htype", (F.col("z") - line).alias("diff"), F.col("hi.week_idx").alias("known_at"))
 
 
+def _middle(ordered: Column) -> Column:
+    """Median of an ordered array, null of an empty one."""
+    n = F.size(ordered)
+    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+
 def holiday_effects(occurrences: DataFrame, p: Params) -> DataFrame:
-    """(series_id, version, htype, effect): medians over what was known at each version, a week at which something became known. Some types use recent occurrences alone once there are two."""
-    versions = occurrences.select("series_id", F.col("known_at").alias("version")).distinct()
-    known = occurrences.join(versions, "series_id").where("known_at <= version")
+    """(series_id, version, htype, effect): medians over what was known at each version, a week at which something became known. Some types use recent occurrences alone once there are two.
+
+    A fold over each type's occurrences of a series in order keeps ordered lists and gives the medians after each; other
+    versions carry them forward. So the work is linear in occurrences, of which a type has a few a year.
+    """
     recent = F.col("season") >= p.recent_effects_from
-    m = known.groupBy("series_id", "version", "htype").agg(F.median("diff").alias("all"), F.count("*").alias("n"), F.median(F.when(recent, F.col("diff"))).alias("new"), F.count_if(recent).alias("n_new"))
-    use_new = F.col("htype").isin(*RECENT_TYPES) & (F.col("n_new") >= 2)
-    return m.select("series_id", "version", "htype", F.when(use_new, F.col("new")).when(F.col("n") >= 2, F.col("all")).alias("effect")).where("effect is not null")
+    steps = occurrences.groupBy("series_id", "htype").agg(F.array_sort(F.collect_list(F.struct("known_at", "diff", recent.alias("recent")))).alias("steps"))
+    empty = F.array().cast("array<double>")
+    start = F.struct(empty.alias("all"), empty.alias("new"), F.array().cast("array<struct<version:bigint,effect:double>>").alias("out"))
+    own_recent = F.col("htype").isin(*RECENT_TYPES)
+
+    def step(a: Column, s: Column) -> Column:
+        every = F.array_sort(F.concat(a["all"], F.array(s["diff"])))
+        new = F.when(s["recent"], F.array_sort(F.concat(a["new"], F.array(s["diff"])))).otherwise(a["new"])
+        effect = F.when(own_recent & (F.size(new) >= 2), _middle(new)).when(F.size(every) >= 2, _middle(every))
+        return F.struct(every.alias("all"), new.alias("new"), F.concat(a["out"], F.array(F.struct(s["known_at"].alias("version"), effect.alias("effect")))).alias("out"))
+
+    each = steps.select("series_id", "htype", F.posexplode(F.aggregate("steps", start, step, lambda a: a["out"])))
+    # of several occurrences that became known in one week, the last one has them all
+    known = each.groupBy("series_id", "htype", F.col("col.version").alias("version")).agg(F.max_by(F.col("col.effect"), "pos").alias("own"), F.lit(True).alias("known"))
+    versions = occurrences.groupBy("series_id").agg(F.collect_set("known_at").alias("versions"))
+    every = steps.select("series_id", "htype").join(versions, "series_id").select("series_id", "htype", F.explode("versions").alias("version"))
+    upto = Window.partitionBy("series_id", "htype").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.last(F.when(F.col("known"), F.struct("own")), ignorenulls=True).over(upto)
+    filled = every.join(known, ["series_id", "htype", "version"], "left").withColumn("effect", carried["own"])
+    return filled.where("effect is not null").select("series_id", "version", "htype", "effect")
 
 
 def effect_maps(effects: DataFrame) -> DataFrame:
@@ -87,11 +112,25 @@ def adjusted_series(panel: DataFrame, cal: DataFrame, p: Params) -> DataFrame:
 
 
 def holiday_profile(panel: DataFrame, cal: DataFrame, versions: DataFrame, p: Params) -> DataFrame:
-    """(series_id, s0, version, wk52, growth): median adjusted change to each week and its neighbours, over seasons before s0, for each (series_id, s0, version, effects) of versions."""
+    """(series_id, s0, version, wk52, growth): median adjusted change to each week and its neighbours, over seasons before s0, for each (series_id, s0, version, effects) of versions.
+
+    A week whose terms hold no holiday has one median for all versions of a season; the others have one for each
+    different set of effects of the types that their terms hold, which versions share as long as these don't change.
+    """
     m = marked(panel, cal)
     near = F.lag("week_idx").over(by_week()) == F.col("week_idx") - 1
     changes = m.withColumns({"change": F.when(near, F.col("z") - F.lag("z").over(by_week())), "before": F.when(near, F.lag("htype").over(by_week()))}).where("change is not null").where(~F.col("season").isin(*p.excluded))
-    used = versions.select("series_id", "s0", F.coalesce("version", F.lit(-1)).alias("version"), "effects").join(changes.select("series_id", "season", "wk52", "change", "htype", "before"), "series_id").where("season < s0")
-    adjusted = used.withColumn("change", F.col("change") - effect(F.col("htype")) + effect(F.col("before")))
-    spread = adjusted.withColumn("wk52", F.explode(F.array(*[F.pmod(F.col("wk52") - 1 + d, F.lit(52)) + 1 for d in (-1, 0, 1)])))
-    return spread.groupBy("series_id", "s0", "version", "wk52").agg(F.median("change").alias("growth"))
+    spread = changes.select("series_id", "season", F.explode(F.array(*[F.pmod(F.col("wk52") - 1 + d, F.lit(52)) + 1 for d in (-1, 0, 1)])).alias("wk52"), "change", "htype", "before")
+    versions = versions.select("series_id", "s0", F.coalesce("version", F.lit(-1)).alias("version"), "effects")
+    terms = spread.join(versions.select("series_id", "s0").distinct(), "series_id").where("season < s0")
+    # what a week's median depends on: the effects of the types that its terms hold
+    plain = F.col("htype").isNull() & F.col("before").isNull()
+    key = ["series_id", "s0", "wk52"]
+    weeks = terms.groupBy(*key).agg(F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_set(F.array("htype", "before")))))).alias("types"), F.median(F.when(plain, F.col("change"))).alias("growth"))
+    still = weeks.where("size(types) = 0").drop("types")
+    moved = versions.join(weeks.where("size(types) > 0").select(*key, "types"), ["series_id", "s0"])
+    moved = moved.select(*key, "version", "types", F.transform("types", lambda t: F.coalesce(F.element_at("effects", t), F.lit(0.0))).alias("at"))
+    told = moved.select(*key, "types", "at").distinct().withColumn("effects", F.map_from_arrays("types", "at"))
+    adjusted = terms.join(told, key).withColumn("change", F.col("change") - effect(F.col("htype")) + effect(F.col("before")))
+    growth = adjusted.groupBy(*key, "at").agg(F.median("change").alias("growth"))
+    return versions.select("series_id", "s0", "version").join(still, ["series_id", "s0"]).select(*key, "version", "growth").unionByName(moved.join(growth, [*key, "at"]).select(*key, "version", "growth")).select("series_id", "s0", "version", "wk52", "growth")

@@ -43,8 +43,3 @@ def read_week_map(spark: SparkSession, path: str) -> DataFrame:
 def as_series(rows: DataFrame, series_id: str) -> DataFrame:
     """A panel of one series from (iso_year, iso_week, value)."""
     return with_calendar(rows.where("value > 0").withColumn("series_id", F.lit(series_id)), monday(F.col("iso_year"), F.col("iso_week"))).select("series_id", "week_idx", "iso_year", "iso_week", "wk52", "season", F.col("value").alias("y"))
-
-
-def read_case_table(spark: SparkSession, path: str) -> DataFrame:
-    """A case table in CSV, all columns as text; a byte-order mark is dropped."""
-    return spark.read.csv(path, header=True)

@@ -77,7 +77,8 @@ def checked_reports(texts: DataFrame) -> DataFrame:
 
 
 def unread(links: DataFrame, history: DataFrame) -> DataFrame:
-    """links (url) whose week isn't in history (iso_year, iso_week, source, value) as official; those without a week in the url stay."""
-    have = history.where((F.col("source") == "official") & F.col("value").isNotNull()).select("iso_year", "iso_week").distinct()
-    told = links.withColumn("told", url_week(F.col("url")))
-    return told.join(have, (F.col("told.year") == have["iso_year"]) & (F.col("told.week") == have["iso_week"]), "left_anti").drop("told")
+    """links (url) whose week isn't in history (iso_year, iso_week, source, value) as official; those without a week in the url stay. With a series_id on both sides, weeks are those of the series."""
+    keys = [c for c in ("series_id",) if c in links.columns and c in history.columns]
+    have = history.where((F.col("source") == "official") & F.col("value").isNotNull()).select(*keys, F.col("iso_year").alias("__y"), F.col("iso_week").alias("__w")).distinct()
+    told = links.withColumn("__told", url_week(F.col("url"))).withColumns({"__y": F.col("__told.year"), "__w": F.col("__told.week")})
+    return told.join(have, [*keys, "__y", "__w"], "left_anti").drop("__told", "__y", "__w")
