@@ -344,6 +344,7 @@ select series_id, idx as week_idx, t.v as value, t.change_pct, said as status fr
 union all select series_id, case when status = 'other week' then week_idx else told_idx end, case when status = 'other week' then v end, case when status = 'other week' then change_pct end, status from t2 where status is not null""",
     "stream_revisions": f"""with {_PANEL}, {_REPORTS}, again as (select * replace (value + case when week_idx % 4 = 1 then 1 else 0 end as value) from reports), {_REVISED.format(t="again", also="")}
 select series_id, week_idx, value as old, round_even(implied, 0) as new, round_even(implied2, 0) as second_group, 'revised by the report of ' || format('{{}}-W{{:02d}}', isoyear(by_day), weekofyear(by_day)) || ', before ' || cast(value as bigint) as note from r where revised""",
+    "stream_panel": f"""select event_type as series_id, {_IDX.format(d="ts")} as week_idx, count(*) as n, round(cast(sum(cast(coalesce(value, 0) as decimal(28,6))) as double), 6) as total from events where ts is not null group by 1, 2""",
     "stream_alerts": f"""with {_PANEL}, r as (select series_id, week_idx, lead(week_idx) over (partition by series_id order by week_idx) as nxt, (select max(week_idx) + 6 from panel) as clock from panel where week_idx % 40 > 6),
 a as (select *, date '1970-01-01' + cast((week_idx + 4) * 7 + 1 - 719163 as integer) as due, date '1970-01-01' + cast(nxt * 7 + 9 - 719163 as integer) as came, date '1970-01-01' + cast(clock * 7 + 9 - 719163 as integer) as upto from r),
 b as (select * from a where coalesce(came, upto) > due)

@@ -17,6 +17,7 @@ from weekloom.sources import files, reports
 from weekloom.sources.panel import orders_panel, read_history, read_week_map, with_calendar
 from weekloom.streaming import ingest, watch
 from weekloom.streaming.intake import ReportIntake, judged
+from weekloom.streaming.weeks import WeeklyPanel
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -648,6 +649,16 @@ def kept_forecasts(spark, sf_dir):
     return _rounded(kept.extended(old, stale, panel, seen, cal, P).drop("known"))
 
 
+def stream_panel(spark, sf_dir):
+    """Weekly sums of the events by type, from a stream whose files come newest first."""
+    src, panel = _dir(spark, "events"), WeeklyPanel(spark, _dir(spark, "weeks"), "INTERVAL 7 DAYS")
+    events = _t(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", "value").repartitionByRange(4, F.desc("ts"))
+    events.write.parquet(f"{src}/0")
+    stream = spark.readStream.schema("series_id string, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    panel.run(stream).awaitTermination()
+    return _rounded(panel.panel())
+
+
 _NAMES = """iso_calendar holiday_calendar load_history load_week_map case_rates merge_sources source_counts calibration_ratio history_entries
 fill_gaps plausibility_gate parse_reports apply_revisions stream_ingest label_holidays current_state history_document changed_rows staleness
 history_violations season_peak seasonal_change_stats extract_links url_week new_reports weekly_growth growth_profile level_climatology
@@ -656,6 +667,6 @@ model_profile model_profile_momentum model_clim_anomaly model_holiday_profile an
 backtest_residuals residual_quantiles backtest_summary interval_coverage model_score backtest_report backtest_candidate phase_pool
 weighted_quantile widened_pool exceedance_prob make_forecast forecast_past forecast_violations skill_summary planned_value trend_class
 planning_phase early_signal situation capacity_level capacity_pct vintages capacity_replay
-report_intake stream_reports stream_revisions stream_alerts
+report_intake stream_reports stream_revisions stream_alerts stream_panel
 merge_files file_rejects published_products kept_forecasts""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
