@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.llm.common import kept
+
 #: Phrases whose places are counted, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -219,7 +221,7 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 def _scan_batches(templates, phrases):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(templates)
+        automaton = kept(("automaton", repr(templates)), lambda: Automaton(templates))
         ids = dict(automaton.ids)
         wanted = [([ids.setdefault(w, len(ids)) for w in words_of(x.encode())], label) for x, label in phrases]
         own_words = len(automaton.ids)
@@ -269,4 +271,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return scan(docs).drop("spans")
+    """scan() with spans as a text, label:first-last of each, in order, comma-joined; see there."""
+    told = F.transform("spans", lambda s: F.concat(s["label"], F.lit(":"), s["first"].cast("string"), F.lit("-"), s["last"].cast("string")))
+    return scan(docs).withColumn("spans", F.array_join(told, ","))
