@@ -49,3 +49,15 @@ def test_rare_noise_words_are_no_entries(spark):
     texts = [" ".join([*(f"{w}{c}{d}" for w in WORDS for c in "abcdefghij" for d in "klmnopqrst"), "qxzj" if k % 100 == 0 else "", str(k)]) for k in range(2000)]
     got = grams(spark, texts)
     assert "qxzj" not in got and "wate" in got
+
+
+def test_forest_and_plain_rule_differ_and_the_forest_is_right(spark):
+    """Keys without a name, and digests, numbers and words under one: the rule of prefix, name and path is wrong, the forest isn't, even on kinds it never saw."""
+    rng = random.Random(2)
+    docs = docs_of(spark, [" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(200)])
+    got = secrets.held_out_counts(docs)
+    n = sum(got[k] for k in ("tp", "fp", "fn", "tn"))
+    assert n > 1000 and got["tp"] + got["tn"] >= 0.98 * n and got["rule"] <= 0.8 * n
+    kinds = [k for k, x in enumerate(secrets.KINDS) if x[0] == 1 and x[-1] == "plain"] + [secrets.KINDS.index((0, "", secrets.DIGITS, 16, 19, "", "named"))]
+    for found, forest, rule in secrets.left_out_kinds(docs, kinds).values():
+        assert found > 200 and forest >= 0.9 * found and rule <= 0.3 * found

@@ -38,10 +38,15 @@ KINDS = (
     (1, "AKIA", LETTERS[:26] + "234567", 16, 16, "", "any"),
     (1, "ghp_", LETTERS + DIGITS, 36, 36, "", "any"),
     (1, "sk_live_", LETTERS + DIGITS, 24, 32, "", "any"),
-    (1, "", HEX, 32, 64, "", "named"),
-    (1, "", HEX.upper(), 32, 64, "", "named"),
+    (1, "", HEX, 32, 48, "", "named"),
+    (1, "", HEX.upper(), 32, 48, "", "named"),
     (1, "", LETTERS + DIGITS, 20, 48, "", "named"),
     (1, "", LETTERS + DIGITS + "+/", 40, 43, "=", "named"),
+    (1, "", LETTERS + DIGITS, 32, 48, "", "plain"),
+    (1, "", LETTERS + DIGITS + "+/", 40, 43, "=", "plain"),
+    (0, "", HEX, 64, 64, "", "named"),
+    (0, "", HEX.upper(), 64, 64, "", "named"),
+    (0, "", DIGITS, 16, 19, "", "named"),
     (0, "", HEX, 40, 40, "", "plain"),
     (0, "", HEX, 32, 64, "", "plain"),
     (0, "", DIGITS, 16, 19, "", "plain"),
@@ -107,7 +112,8 @@ def labelled_findings(spark: SparkSession, words: list[str], n: int = PLANTED, s
     """(doc_id, text, source, label): n texts with one planted finding each, of KINDS in turn, among the words given.
 
     All choices come from hashes of a row's number and the seed. Keys are drawn letter by letter; findings of words are
-    joined from the words. Contexts of the kind "named" assign to a name of a secret, "plain" don't, "any" are either,
+    joined from the words. A finding's kind is its number modulo that of KINDS. Neither a name of a secret before it nor its shape alone tells a
+    label: there are keys without a name, and digests, numbers and words under one. Contexts of the kind "named" assign to a name of a secret, "plain" don't, "any" are either,
     and what is "made up" is a key that is named, but stands in a path of tests or examples.
     """
     words = words or ["some", "other", "word"]
@@ -206,15 +212,39 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
     return scored.withColumn("is_secret", F.col("score") >= 0.5)
 
 
-def held_out_counts(docs: DataFrame, seed: int = 7) -> dict[str, int]:
-    """Planted findings of every fifth text, judged by a forest that learned from the others: tp, fp, fn, tn."""
+def _planted(docs: DataFrame, seed: int) -> DataFrame:
     counts = written(word_counts(docs), "words")
-    judged = written(planted_findings(docs, written(dictionary(docs, counts), "dictionary"), counts, seed), "judged")
+    return written(planted_findings(docs, written(dictionary(docs, counts), "dictionary"), counts, seed), "judged")
+
+
+def _told(teach: DataFrame, judged: DataFrame, seed: int) -> DataFrame:
+    """judged with prediction, by a forest that learned from teach, and by_rule: an issued prefix, or a name of a secret outside of made-up paths."""
+    assembler, forest = _fit(teach.select("label", *FEATURES), seed)
+    rule = (F.col("issued") == 1) | ((F.col("named") == 1) & (F.col("made_up_path") == 0))
+    return forest.transform(assembler.transform(judged)).withColumn("by_rule", rule.cast("double"))
+
+
+def held_out_counts(docs: DataFrame, seed: int = 7) -> dict[str, int]:
+    """Planted findings of every fifth text, judged by a forest that learned from the others: tp, fp, fn, tn, and how many the plain rule tells right (rule)."""
+    judged = _planted(docs, seed)
     apart = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(5)) == 0
-    assembler, forest = _fit(judged.where(~apart).select("label", *FEATURES), seed)
-    told = forest.transform(assembler.transform(judged.where(apart))).groupBy("label", "prediction").count().collect()
+    told = _told(judged.where(~apart), judged.where(apart), seed).groupBy("label", "prediction", "by_rule").count().collect()
     name = {(1.0, 1.0): "tp", (0.0, 1.0): "fp", (1.0, 0.0): "fn", (0.0, 0.0): "tn"}
-    return dict.fromkeys(name.values(), 0) | {name[r.label, r.prediction]: r["count"] for r in told}
+    out = dict.fromkeys([*name.values(), "rule"], 0)
+    for r in told:
+        out[name[r.label, r.prediction]] += r["count"]
+        out["rule"] += r["count"] if r.label == r.by_rule else 0
+    return out
+
+
+def left_out_kinds(docs: DataFrame, kinds: list[int] | None = None, seed: int = 7) -> dict[int, tuple[int, int, int]]:
+    """For each of KINDS, by place: findings, and how many of them are told right by a forest that saw no finding of the kind, and by the plain rule."""
+    judged, out = _planted(docs, seed), {}
+    for k in range(len(KINDS)) if kinds is None else kinds:
+        own = F.pmod(F.col("doc_id"), F.lit(len(KINDS))) == k
+        right = lambda c: F.count_if(F.col("label") == F.col(c))
+        out[k] = tuple(_told(judged.where(~own), judged.where(own), seed).agg(F.count("*"), right("prediction"), right("by_rule")).first())
+    return out
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
