@@ -96,6 +96,7 @@ def test_url_week(spark):
     assert [tuple(r.w) if r.w else None for r in got] == [(2025, 52), (2026, 1), (2026, 39), None]
 
 
+#: Numbers of published reports, which must come out as published.
 def test_revision(spark):
     week = [2211.0, 1311.0, 1321.0, 665.0, 402.0], [0.14, -9.83, 20.2, 14.85, 14.86]
     rows = [("a", 1, 851.0, None, [2079.0, 1468.0, 1013.0, 554.0, 324.0], None), ("a", 2, 955.0, 7.3, *week), ("b", 1, 744.0, None, [1.0], None), ("b", 2, 738.0, -0.81, [1.0], [0.0])]
@@ -161,3 +162,13 @@ def test_no_model_looks_ahead(spark, tmp_path):
         seen = spark.read.parquet(f"{tmp_path}/{k}")
         out.append({(r.origin_idx, r.horizon): r.lp for r in models.point_forecast(panel, seen, cal, p).where(F.col("origin_idx") <= cut).collect()})
     assert out[0].keys() == out[1].keys() and len(out[0]) > 4000 and all(abs(v - out[1][k]) < 1e-9 for k, v in out[0].items()) and all(math.isfinite(v) for v in out[0].values())
+
+
+def test_weeks_to_skip_are_not_filled(spark):
+    rows = [("a", i, 100.0 * i, "official") for i in (1, 3, 5, 8, 10)]
+    h = spark.createDataFrame(rows, "series_id string, week_idx long, value double, source string")
+    cal = spark.createDataFrame([(9, "minor")], "week_idx long, htype string")
+    skip = spark.createDataFrame([("a", 4), ("b", 2)], "series_id string, week_idx long")
+    filled = lambda **k: {r.week_idx: r.value for r in history.fill_single_gaps(h, cal, **k).where("source = 'interpolated'").collect()}
+    # two missing weeks and a holiday stay missing
+    assert filled() == {2: round((100 * 300) ** 0.5), 4: round((300 * 500) ** 0.5)} and filled(skip=skip) == {2: round((100 * 300) ** 0.5)}
