@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import joined, kept, written
+from weekloom.llm.common import HOT, joined, kept, written
 from weekloom.llm.components import components
 from weekloom.llm.hashing import chunks, mix, shingle_sets, text_chunks
 
@@ -167,17 +167,26 @@ def _about_centres(texts_of: Callable[[DataFrame], DataFrame], around: DataFrame
     schema = "centre long, rep long, component long, n long, n_c long, differs array<long>"
     sets = both.mapInArrow(_difference_batches(width), schema)
     sets = written(sets.withColumn("d", F.size("differs").cast("long")).where("d > 0"), "differences")
-    single = sets.select("centre", "rep", F.explode("differs").alias("differs"))
-    found_in = single.groupBy("centre", "differs").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = single.join(found_in, ["centre", "differs"]).groupBy("centre", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "differs"))).alias("common"))
+    # hot differences, of which there are fewer than HOT, are looked up in each set, so that their rows meet nowhere; the others are counted by window
+    total = sets.agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
+    counts = sets.select("centre", F.explode("differs").alias("differs")).groupBy("centre", "differs").agg(F.count("*").alias("df"))
+    hot = counts.where((F.col("df") > 1) & (F.col("df") * HOT > total)).groupBy("centre").agg(F.sort_array(F.collect_list(F.struct("df", "differs"))).alias("hot"))
+    hot = F.broadcast(written(hot.select("centre", F.col("hot.differs").alias("hot")), "hot"))
+    none = F.array().cast("array<long>")
+    told = sets.join(hot, "centre", "left").withColumn("hot", F.coalesce("hot", none))
+    single = told.select("centre", "rep", F.explode(F.array_except("differs", "hot")).alias("differs"))
+    light = single.withColumn("df", F.count("*").over(Window.partitionBy("centre", "differs"))).where("df > 1")
+    ranked = light.groupBy("centre", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "differs"))).alias("light"))
+    in_order = F.sort_array(F.transform(F.array_intersect("hot", "differs"), lambda x: F.struct(F.array_position(F.col("hot"), x).alias("at"), x.alias("differs"))))
+    common = F.concat(F.coalesce("light.differs", none), F.transform(in_order, lambda x: x["differs"]))
     ceil_half = lambda x: F.greatest(F.lit(1), F.ceil(x / (2 * up)))
-    own = sets.drop("differs").join(ranked, ["centre", "rep"]).withColumn("linked", up * F.col("d") <= down * (F.col("n") + F.col("n_c")))
+    own = told.join(ranked, ["centre", "rep"], "left").withColumn("common", common).drop("differs", "hot", "light").where(F.size("common") > 0).withColumn("linked", up * F.col("d") <= down * (F.col("n") + F.col("n_c")))
     half = ceil_half(up * F.col("d") + down * (F.col("n_c") - F.col("n")))
     few = ceil_half(up * F.col("d") + 2 * percent - down * (F.col("n") + F.col("n_c")))
     own = own.select("*", (F.col("d") - half + 1).alias("short"), (F.col("d") - F.when(F.col("linked"), half).otherwise(F.least(half, few)) + 1).alias("long"), (F.col("d") - F.size("common")).alias("alone"))
     # differences of one set alone are the rarest and come first; they take places but meet nothing
     placed = own.select("centre", "rep", "component", "n", "d", "linked", "short", "long", "alone", F.posexplode("common")).withColumn("place", F.col("pos") + F.col("alone") + 1).where("place <= long")
-    placed = written(placed.select("centre", "rep", "component", "n", "d", "linked", "place", (F.col("place") <= F.col("short")).alias("short"), F.col("col.differs").alias("differs")), "placed")
+    placed = written(placed.select("centre", "rep", "component", "n", "d", "linked", "place", (F.col("place") <= F.col("short")).alias("short"), F.col("col").alias("differs")), "placed")
     x, y = (placed.select("centre", "differs", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "d", "linked", "place", "short")]) for s in "ab")
     needed = up * (F.col("d_a") + F.col("d_b")) - down * (F.col("n_a") + F.col("n_b"))
     still = 2 * up * (1 + F.least(F.col("d_a") - F.col("place_a"), F.col("d_b") - F.col("place_b")))
