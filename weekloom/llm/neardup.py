@@ -281,7 +281,10 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
         star = by_key(large, second, "members").where("component <> of").select(*pair).distinct()
         star = written(star.join(tried, ["a", "b"], "left_anti"), "star")
         tried = tried.unionByName(star)
-        found = found.unionByName(compared(star))
+        new = compared(star)
+        if new.isEmpty():
+            break  # components, and with them all that would be made of them again, are the same
+        found = found.unionByName(new)
     # few pairs between components of a bucket: at most some 16 members are outside its largest one, or 32 are in it at all
     x, y = (z.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")], *own) for s, z, own in (("a", state.where("not large and component <> largest"), ["largest", "in_all"]), ("b", state.where("not large"), [])))
     once = (F.col("component_b") == F.col("largest")) | (F.col("rep_a") < F.col("rep_b"))
