@@ -111,6 +111,15 @@ def test_line_dedup_both_ways(spark):
     assert rows[0] == rows[1] and sum(r[2] for r in rows[0]) > 20
 
 
+def test_line_dedup_joins_texts_alike_at_any_size(spark, capsys):
+    docs = docs_of(spark, [(k, f"a line that is long enough and stands in all of the documents\nown {k}") for k in range(8)])
+    for n in (0, 100):
+        out = linededup.report(docs, max_broadcast=n)
+        out.explain()
+        assert "SortMergeJoin" in capsys.readouterr().out
+        assert sorted(r.n_dropped for r in out.collect()) == [0] + [1] * 7
+
+
 @pytest.mark.parametrize("bits", [64, 12, 2])
 def test_repeated_windows_when_hashes_meet(spark, bits):
     rng = random.Random(bits)

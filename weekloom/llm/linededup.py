@@ -3,7 +3,8 @@
 A line's key is hashed to 128 bits, once; only hashes, ids and positions are written and shuffled. Documents of each
 hash are counted in two steps (distinct hash and document, then the hash), both with map-side sums. Lines over the
 threshold meet their places by hash, those that very many documents hold by parts; positions to drop are gathered for
-each document, and meet its text once.
+each document, and meet its text once. That join is a sort-merge join at any size: files of positions are so small that
+Spark would broadcast them for a small input and move texts for a larger one.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         .agg(F.collect_set("pos").alias("gone"))
     )
     gone = written(gone, "gone")
+    positions = gone.hint("merge")
     lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
     same = lambda own, id, hash: own.doc_id.eqNullSafe(F.col(id)) & (own.text_hash == F.col(hash))
@@ -56,9 +58,9 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         told = docs.join(known, same(docs, "known_id", "known_hash"), "left").select("doc_id", "text", "text_hash", "known")
         changed = told.where("known").drop("known")
         rest = told.where("known is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"))
-        whole = changed.join(gone, same(changed, "id", "hash")).select("doc_id", "text", "gone").unionByName(rest)
+        whole = changed.join(positions, same(changed, "id", "hash")).select("doc_id", "text", "gone").unionByName(rest)
     else:
-        whole = docs.join(gone, same(docs, "id", "hash"), "left")
+        whole = docs.join(positions, same(docs, "id", "hash"), "left")
     return whole.select("doc_id", "text", "gone", F.when(F.col("gone").isNotNull(), lines).alias("lines"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")).select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text")
     )
